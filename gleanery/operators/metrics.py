@@ -213,7 +213,10 @@ def health_rollup(components: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def threshold_alerts(metrics: DataFrame, limits: Mapping[str, tuple] = ALERT_LIMITS) -> DataFrame:
-    """Rows of ``(.., metric, value)`` over their limit, with component, severity and message."""
+    """Rows of ``(.., metric, value)`` over their limit, with component, severity and message.
+
+    Messages are formatted on the JVM, where a half rounds up.
+    """
     limit = component = message = F.lit(None)
     for name, (bound, owner, template) in limits.items():
         here = F.col("metric") == name

@@ -31,16 +31,16 @@ TRANSITIONS = {
     "completed": (),
 }
 
-# What JSON values are called, by the head of their VARIANT type.
+# What JSON values are called, by the first letters of their VARIANT type.
 JSON_KINDS = {
-    "STRING": "string",
-    "BIGINT": "int",
-    "DECIMAL": "number",
-    "DOUBLE": "number",
-    "BOOLEAN": "bool",
-    "VOID": "null",
-    "ARRAY": "array",
-    "OBJECT": "object",
+    "STR": "string",
+    "BIG": "int",
+    "DEC": "number",
+    "DOU": "number",
+    "BOO": "bool",
+    "VOI": "null",
+    "ARR": "array",
+    "OBJ": "object",
 }
 
 # Recognition settings.
@@ -106,7 +106,7 @@ def json_kind(config: Column, path: str) -> Column:
     """'string', 'int', 'number', 'bool', 'array', 'object', 'null', or 'missing'."""
     schema = F.schema_of_variant(F.try_variant_get(config, path, "variant"))
     names = F.create_map(*[F.lit(x) for item in JSON_KINDS.items() for x in item])
-    return F.coalesce(F.element_at(names, F.regexp_extract(schema, "^[A-Z]+", 0)), F.lit("missing"))
+    return F.coalesce(F.element_at(names, F.substring(schema, 1, 3)), F.lit("missing"))
 
 
 def json_text(config: Column, path: str) -> Column:

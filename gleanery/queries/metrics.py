@@ -187,7 +187,7 @@ def health_rollup(spark, sf):
 @query(
     "e13_threshold_alerts",
     """WITH m AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'latency_ms' WHEN 'view' THEN 'cpu_percent' WHEN 'click' THEN 'memory_percent' ELSE 'disk' END AS metric,
-              CASE WHEN event_type = 'error' THEN value * 10 ELSE value END AS value FROM events)
+              CASE WHEN event_type = 'error' THEN value * 10 ELSE value END + 0.001 AS value FROM events)
        SELECT event_id, metric, "limit", 'WARNING' AS severity, CASE metric WHEN 'latency_ms' THEN 'api' ELSE 'system' END AS component,
               CASE metric WHEN 'latency_ms' THEN printf('High API latency: %.1fms', value) WHEN 'cpu_percent' THEN printf('High CPU usage: %.1f%%', value)
                    ELSE printf('High memory usage: %.1f%%', value) END AS message
@@ -196,8 +196,8 @@ def health_rollup(spark, sf):
 def threshold_alerts(spark, sf):
     kind = F.col("event_type")
     metric = F.when(kind == "error", F.lit("latency_ms")).when(kind == "view", F.lit("cpu_percent")).when(kind == "click", F.lit("memory_percent")).otherwise(F.lit("disk"))
-    # Values end on a half cent, so that no engine has to break a rounding tie.
-    value = F.when(kind == "error", F.col("value") * 10).otherwise(F.col("value"))
+    # The shift keeps values off the halves, which formatters round either way.
+    value = F.when(kind == "error", F.col("value") * 10).otherwise(F.col("value")) + 0.001
     m = table(spark, sf, "events").select("event_id", metric.alias("metric"), value.alias("value"))
     return metrics.threshold_alerts(m).drop("value")
 
@@ -296,17 +296,17 @@ def increase(spark, sf):
     return rounded(metrics.increase(e, ["user_id"], "ts", "event_id", "value", 3600), "increase", digits=4)
 
 
-@query("f11_rate", f"WITH {_rate_sql('user_id', 'value', 36000)} SELECT user_id, second, round(grown / 36000, 6) AS rate FROM grown")
+@query("f11_rate", f"WITH {_rate_sql('user_id', 'value', 10000)} SELECT user_id, second, round(grown / 10000, 6) AS rate FROM grown")
 def rate(spark, sf):
-    return rounded(metrics.rate(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "value", 36_000), "rate")
+    return rounded(metrics.rate(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "value", 10_000), "rate")
+
+
+_HOURLY = "(SELECT event_id, user_id, event_type, value, date_trunc('hour', ts) AS ts FROM events)"
 
 
 @query(
     "e20_request_rates",
-    f"WITH {_rate_sql('event_type, user_id', 'value', 300, '(SELECT * REPLACE (date_trunc(' || chr(39) || 'hour' || chr(39) || ', ts) AS ts) FROM events)')} SELECT 1".replace(
-        "(SELECT * REPLACE (date_trunc(' || chr(39) || 'hour' || chr(39) || ', ts) AS ts) FROM events)",
-        "(SELECT event_id, user_id, event_type, value, date_trunc('hour', ts) AS ts FROM events)",
-    ).replace("SELECT 1", "SELECT event_type, second, round(sum(grown / 300), 4) AS rate FROM grown GROUP BY ALL"),
+    f"WITH {_rate_sql('event_type, user_id', 'value', 300, _HOURLY)} SELECT event_type, second, round(sum(grown / 300), 4) AS rate FROM grown GROUP BY ALL",
 )
 def request_rates(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.date_trunc("hour", F.col("ts").cast("timestamp")))
@@ -354,14 +354,14 @@ def utilization_memory(spark, sf):
     return rounded(metrics.utilization(cpu, memory)[1].select("event_id", "memory_utilization"), "memory_utilization")
 
 
+_MINUTES = "(SELECT endpoint, seconds, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS tick FROM requests)"
+_P95 = _quantile_sql(f"WITH {REQUESTS}, h AS ({_histogram_sql(_MINUTES, 'seconds', metrics.API_BUCKETS, 'endpoint, tick')})", "endpoint, tick", 0.95)
+
+
 @query(
     "f08_latency_alerts",
-    _quantile_sql(
-        f"WITH {REQUESTS}, h AS ({_histogram_sql('(SELECT endpoint, ts, seconds, CAST(epoch(date_trunc(' + chr(39) + 'minute' + chr(39) + ', ts)) AS BIGINT) AS tick FROM requests)', 'seconds', metrics.API_BUCKETS, 'endpoint, tick')})",
-        "endpoint, tick",
-        0.95,
-    ).join(["WITH q AS (", ")"])
-    + """, st AS (SELECT endpoint, tick, quantile > 0.5 AS active, sum(CAST(NOT quantile > 0.5 AS INTEGER)) OVER (PARTITION BY endpoint ORDER BY tick) AS run FROM q),
+    f"""WITH q AS ({_P95}),
+         st AS (SELECT endpoint, tick, quantile > 0.5 AS active, sum(CAST(NOT quantile > 0.5 AS INTEGER)) OVER (PARTITION BY endpoint ORDER BY tick) AS run FROM q),
          sn AS (SELECT *, min(tick) FILTER (WHERE active) OVER (PARTITION BY endpoint, run) AS since FROM st)
        SELECT endpoint AS service, tick, since AS active_since, 'email-warnings' AS receiver, 'APIHighLatency_' || endpoint AS dedup_key
        FROM sn WHERE active AND tick - since >= 300""",
