@@ -11,9 +11,8 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import partial
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanery.functions.text import clean_text
 
@@ -183,15 +182,7 @@ def _grid(table: dict) -> tuple[list[str], list[list[str | None]]]:
     return names, [line + [None] * (width - len(line)) for _, line in lines]
 
 
-TABLE_ROWS = T.StructType(
-    [
-        T.StructField("page_id", T.StringType()),
-        T.StructField("table_idx", T.IntegerType()),
-        T.StructField("row_idx", T.IntegerType()),
-        T.StructField("names", T.ArrayType(T.StringType())),
-        T.StructField("cells", T.ArrayType(T.StringType())),
-    ]
-)
+TABLES = "page_id string, table_idx int, names array<string>, rows array<array<string>>"
 
 
 def _parse_tables(batches: Iterator) -> Iterator:
@@ -201,81 +192,71 @@ def _parse_tables(batches: Iterator) -> Iterator:
         out = []
         for page_id, html in zip(pdf["page_id"], pdf["html"]):
             tables = _Tables().run(html or "").tables
-            if not tables:
-                out.append((page_id, None, None, None, None))
-            for t, table in enumerate(tables):
-                names, rows = _grid(table)
-                if not rows:
-                    out.append((page_id, t, None, names, None))
-                out += [(page_id, t, r, names, row) for r, row in enumerate(rows)]
-        yield pd.DataFrame(out, columns=TABLE_ROWS.names).astype({"table_idx": "Int32", "row_idx": "Int32"})
+            out += [(page_id, i, *_grid(table)) for i, table in enumerate(tables)] or [(page_id, None, None, None)]
+        yield pd.DataFrame(out, columns=["page_id", "table_idx", "names", "rows"]).astype({"table_idx": "Int32"})
 
 
 def scan_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Every table row of every page, names and cells cleaned, empty cells null.
+    """One row per ``<table>``: cleaned column names and rows of cells, empty cells null.
 
-    A table without rows gives one row without ``row_idx``; a page without tables
-    one row without ``table_idx``.
+    A page without tables gives one row without ``table_idx``. A table is part
+    of one page's text, so a row is never larger than a page.
     """
     slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(html_col).alias("html"))
-    raw = slim.mapInPandas(_parse_tables, TABLE_ROWS)
-    tidy = lambda x: F.when(x.isNotNull(), clean_text(x, normalised=True))
-    return raw.withColumns({"names": F.transform("names", tidy), "cells": F.transform("cells", tidy)})
+    raw = slim.mapInPandas(_parse_tables, TABLES)
+
+    def tidy(cells: Column) -> Column:
+        return F.transform(cells, lambda x: F.when(x.isNotNull(), clean_text(x, normalised=True)))
+
+    return raw.withColumns({"names": tidy(F.col("names")), "rows": F.transform("rows", tidy)})
 
 
-def table_records(rows: DataFrame) -> DataFrame:
+def table_records(tables: DataFrame) -> DataFrame:
     """``(page_id, table_idx, row_idx, record map)`` from :func:`scan_tables`."""
-    return rows.filter(F.col("row_idx").isNotNull()).select(
-        "page_id", "table_idx", "row_idx", F.map_from_arrays("names", "cells").alias("record")
-    )
+    rows = tables.select("page_id", "table_idx", "names", F.posexplode("rows").alias("row_idx", "cells"))
+    return rows.select("page_id", "table_idx", "row_idx", F.map_from_arrays("names", "cells").alias("record"))
 
 
-def pages_without_tables(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("table_idx").isNull()).select("page_id", F.lit("No tables found").alias("error"))
+def pages_without_tables(tables: DataFrame) -> DataFrame:
+    return tables.filter(F.col("table_idx").isNull()).select("page_id", F.lit("No tables found").alias("error"))
 
 
-def validate_tables(rows: DataFrame, min_rows: int = MIN_TABLE_ROWS, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
-    """One verdict per table: row count, duplicate names, empty columns, mixed types.
+def validate_tables(tables: DataFrame, min_rows: int = MIN_TABLE_ROWS, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
+    """Add ``row_count``, ``valid`` and ``problem`` to each table, within its row.
 
-    A column is mixed when some of its values read as numbers and others do not.
-    Cells are reduced to per-column flags on the map side before columns meet.
+    Checked in this order: row count, duplicate names, columns without a value,
+    columns where some values read as numbers and others do not.
     """
-    tables = rows.filter(F.col("table_idx").isNotNull())
-    shape = tables.groupBy("page_id", "table_idx").agg(
-        F.count("row_idx").alias("rows"),
-        F.max(F.size(F.array_distinct("names")) < F.size("names")).alias("duplicate_names"),
-    )
-    cell = F.posexplode("cells").alias("col_idx", "value")
-    columns = (
-        tables.filter(F.col("row_idx").isNotNull())
-        .select("page_id", "table_idx", cell)
-        .groupBy("page_id", "table_idx", "col_idx")
-        .agg(
-            F.count("value").alias("values"),
-            F.count(F.col("value").try_cast("double")).alias("numbers"),
-        )
-        .groupBy("page_id", "table_idx")
-        .agg(
-            F.bool_or(F.col("values") == 0).alias("empty_column"),
-            F.bool_or((F.col("numbers") > 0) & (F.col("numbers") < F.col("values"))).alias("mixed_column"),
-        )
-    )
+    rows = F.col("rows")
+
+    def some_column(test: Callable[[Column], Column]) -> Column:
+        return F.exists(F.sequence(F.lit(0), F.size("names") - 1), test)
+
+    def is_empty(i: Column) -> Column:
+        return F.forall(rows, lambda r: r[i].isNull())
+
+    def is_mixed(i: Column) -> Column:
+        number = F.exists(rows, lambda r: r[i].try_cast("double").isNotNull())
+        return number & F.exists(rows, lambda r: r[i].isNotNull() & r[i].try_cast("double").isNull())
+
+    count = F.size(rows)
     problem = (
-        F.when(F.col("rows") < min_rows, F.lit("too few rows"))
-        .when(F.col("rows") > max_rows, F.lit("too many rows"))
-        .when(F.col("duplicate_names"), F.lit("duplicate column names"))
-        .when(F.col("empty_column"), F.lit("empty columns"))
-        .when(F.col("mixed_column"), F.lit("mixed data types"))
+        F.when(count < min_rows, F.lit("too few rows"))
+        .when(count > max_rows, F.lit("too many rows"))
+        .when(F.size(F.array_distinct("names")) < F.size("names"), F.lit("duplicate column names"))
+        .when(some_column(is_empty), F.lit("empty columns"))
+        .when(some_column(is_mixed), F.lit("mixed data types"))
     )
-    verdicts = shape.join(columns, ["page_id", "table_idx"], "left")
-    return verdicts.select("page_id", "table_idx", "rows", problem.isNull().alias("valid"), problem.alias("problem"))
+    judged = tables.filter(F.col("table_idx").isNotNull()).withColumns({"row_count": count, "problem": problem})
+    return judged.withColumn("valid", F.col("problem").isNull())
 
 
 def extract_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", min_rows: int = MIN_TABLE_ROWS, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
-    """Records of the valid tables; a bad table is skipped and its page goes on."""
-    rows = scan_tables(pages, html_col, id_col)
-    good = validate_tables(rows, min_rows, max_rows).filter("valid").select("page_id", "table_idx")
-    return table_records(rows).join(good, ["page_id", "table_idx"], "left_semi")
+    """Records of the valid tables; a bad table is skipped and its page goes on.
+
+    One pass over the pages and no shuffle: a table is judged inside its row.
+    """
+    return table_records(validate_tables(scan_tables(pages, html_col, id_col), min_rows, max_rows).filter("valid"))
 
 
 class _Matches(_Tree):

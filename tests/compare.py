@@ -43,7 +43,7 @@ def _plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return f"{value:.6f}"
+        return repr(value)
     return f"{type(value).__name__}:{value}"
 
 
