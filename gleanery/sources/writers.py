@@ -64,6 +64,38 @@ def store_results(df: DataFrame, content_path: str, catalog_path: str, object_id
     manifest.write.mode("errorifexists").parquet(catalog_path)
 
 
+def write_with_sidecar(df: DataFrame, root: str, name: str, content: str, metadata: str) -> int:
+    """One file per object and a ``<name>.meta`` JSON beside it; returns the objects written.
+
+    Tasks write to the shared file system ``root`` names. A retried task writes
+    the same files again. The sidecar goes last, so an object without one was
+    never finished and ``read_with_sidecar`` leaves it out.
+    """
+    body = df.select(
+        F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"), F.to_json(metadata).alias("meta")
+    )
+
+    def store(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                path = f"{base}/{row.name}"
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
+                for suffix, data in (("", bytes(row.content)), (".meta", row.meta.encode())):
+                    with target.open_output_stream(path + suffix) as out:
+                        out.write(data)
+            yield pd.DataFrame({"written": [len(pdf)]})
+
+    return body.mapInPandas(store, "written long").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+
+
 def export_listing(df: DataFrame, fmt: str, path: str) -> None:
     """The fixed listing columns as JSON or CSV files."""
     listing = df.select(*LISTING_COLUMNS)

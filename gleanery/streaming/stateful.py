@@ -54,27 +54,32 @@ class SlidingQuota:
 
 
 def admission_counts(requests: DataFrame, client: str, ts: str, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS, per_second: bool = False) -> DataFrame:
-    """Per client and second: requests, how many are admitted, quota used before."""
+    """Per client and second: requests, how many are admitted, quota used before.
+
+    Requests without a client belong to no quota and are left out.
+    """
     if limit < 1 or seconds < 1:
         raise ValueError("limit and window must be positive")
     counts = requests.groupBy(client, epoch_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("requests"))
-    # A pause of a whole window empties the quota, so what follows is independent.
-    order = Window.partitionBy(client).orderBy("second")
-    pause = (F.col("second") - F.lag("second").over(order)) >= seconds
-    stretches = counts.withColumn("stretch", F.count_if(pause).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    def walk(pdf):
-        quota = SlidingQuota(limit, seconds, per_second)
-        pdf = pdf.sort_values("second")
-        decided = [quota.offer(s, n) for s, n in zip(pdf["second"].tolist(), pdf["requests"].tolist())]
-        pdf["admitted"] = [d[0] for d in decided]
-        pdf["used_before"] = [d[1] for d in decided]
-        pdf["oldest"] = [d[2] for d in decided]
-        return pdf.drop(columns="stretch")
+
+    def walk(batches):
+        current, quota = object(), None
+        for pdf in batches:
+            decided = []
+            for key, second, wanted in zip(pdf[client].tolist(), pdf["second"].tolist(), pdf["requests"].tolist()):
+                if key != current:
+                    current, quota = key, SlidingQuota(limit, seconds, per_second)
+                decided.append(quota.offer(second, wanted))
+            yield pdf.assign(**{name: [d[i] for d in decided] for i, name in enumerate(("admitted", "used_before", "oldest"))})
 
     kind = requests.schema[client].dataType.simpleString()
     schema = f"`{client}` {kind}, second long, requests long, admitted long, used_before long, oldest long"
-    return stretches.groupBy(client, "stretch").applyInPandas(walk, schema)
+    return _in_sequence(counts, client).mapInPandas(walk, schema)
+
+
+def _in_sequence(per_second: DataFrame, key: str) -> DataFrame:
+    """Whole keys per task, each in time order: tasks stream through them, holding one state."""
+    return per_second.filter(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, "second")
 
 
 def rate_limit(requests: DataFrame, client: str, ts: str, tie: str, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS, per_second: bool = False) -> DataFrame:
@@ -155,17 +160,22 @@ def breaker_intervals(outcomes: DataFrame, key: str, ts: str, tie: str, failed:
         (F.max("run") > 0).alias("succeeded"),
     )
 
-    def walk(pdf):
-        breaker = Breaker(n, recover)
-        pdf = pdf.sort_values("second")
-        columns = ["second", "leading", "inner", "trailing", "succeeded"]
-        opened = [breaker.second(*row) for row in pdf[columns].itertuples(index=False, name=None)]
-        hits = pdf.loc[opened, [key, "second"]].rename(columns={"second": "opened_at"})
-        hits["closes_at"] = hits["opened_at"] + recover
-        return hits
+    def walk(batches):
+        import pandas as pd
+
+        current, breaker = object(), None
+        columns = [key, "second", "leading", "inner", "trailing", "succeeded"]
+        for pdf in batches:
+            hits = []
+            for name, *outcome in zip(*[pdf[c].tolist() for c in columns]):
+                if name != current:
+                    current, breaker = name, Breaker(n, recover)
+                if breaker.second(*outcome):
+                    hits.append((name, outcome[0], outcome[0] + recover))
+            yield pd.DataFrame(hits, columns=[key, "opened_at", "closes_at"])
 
     kind = outcomes.schema[key].dataType.simpleString()
-    return seconds.groupBy(key).applyInPandas(walk, f"`{key}` {kind}, opened_at long, closes_at long")
+    return _in_sequence(seconds, key).mapInPandas(walk, f"`{key}` {kind}, opened_at long, closes_at long")
 
 
 # --- streams ---------------------------------------------------------------
