@@ -10,7 +10,6 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +44,9 @@ def _may_change_under_nfkc() -> str:
 
 @lru_cache(maxsize=1)
 def _nfkc_udf():
+    # pyarrow's own utf8_normalize leaves characters decomposed.
     def nfkc(texts: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(texts, form="NFKC")
+        return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(nfkc, T.StringType())
 

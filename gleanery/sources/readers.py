@@ -50,7 +50,10 @@ def _relative(root: str):
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "", suffixes: Sequence[str] = (), recursive: bool = True, max_results: int | None = None) -> DataFrame:
-    """``(name, size_bytes, content_suffix, modified_at)``; file contents are never read."""
+    """``(name, size_bytes, content_suffix, modified_at)``; file contents are never read.
+
+    Spark's file source skips empty files; a stored object has at least a byte.
+    """
     files = _binary(spark, root, recursive).select(
         _relative(root).alias("name"),
         F.col("length").alias("size_bytes"),
