@@ -25,19 +25,25 @@ NOISE_CHARS = "?#@$"
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
 # Personal data patterns and their replacements, applied in order.
+# The third value is a character every match contains.
 PII_PATTERNS = (
-    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "[EMAIL]"),
-    (r"(\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "[PHONE]"),
-    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]"),
-    (r"[0-9]{13,19}", "[CARD]"),
+    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "[EMAIL]", "@"),
+    (r"(\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "[PHONE]", "("),
+    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]", "."),
+    (r"[0-9]{13,19}", "[CARD]", ""),
 )
 
 
 @lru_cache(maxsize=1)
-def _may_change_under_nfkc() -> str:
-    """A class holding every character NFKC could touch (a superset above Latin-1)."""
+def _unusual() -> str:
+    """A class holding every character NFKC could touch and every non-ASCII control or separator.
+
+    Exact within Latin-1, a superset above it.
+    """
     latin1 = "".join(
-        rf"\x{{{c:X}}}" for c in range(0x80, 0x100) if unicodedata.normalize("NFKC", chr(c)) != chr(c)
+        rf"\x{{{c:X}}}"
+        for c in range(0x80, 0x100)
+        if unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.category(chr(c))[0] in "CZ"
     )
     return rf"[{latin1}\x{{100}}-\x{{10FFFF}}]"
 
@@ -53,7 +59,7 @@ def _nfkc_udf():
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC. Rows that cannot change are passed to Python as nulls only."""
-    candidate = F.when(F.regexp_like(text, F.lit(_may_change_under_nfkc())), text)
+    candidate = F.when(F.regexp_like(text, F.lit(_unusual())), text)
     return F.coalesce(_nfkc_udf()(candidate), text)
 
 
@@ -65,12 +71,16 @@ def clean_text(text: Column, strict: bool = False, normalised: bool = False) ->
     give the empty string. ``normalised=True`` says the text is in NFKC already.
     """
     out = F.regexp_replace(text if normalised else nfkc(text), r"&[a-zA-Z]+;", " ")
-    if not strict:
-        out = F.regexp_replace(out, r"[\t-\r\x1C-\x1F\x{85}]+", " ")
-    out = F.regexp_replace(out, r"\p{C}+", "")
-    out = F.regexp_replace(out, r"[ \p{Z}]+", " ")
-    out = F.regexp_replace(out, r"[^\x00-\x7F]+", "")
-    return F.coalesce(F.trim(out), F.lit(""))
+    # Other controls and non-ASCII separators are rare and dear to look for. Where
+    # the raw text has none of the unusual characters, no later form of it has.
+    odd = F.regexp_replace(out, r"\x{85}", "" if strict else " ")
+    controls = r"\x00-\x1F\x7F" if strict else r"\x00-\x08\x0E-\x1B\x7F"
+    odd = F.regexp_replace(odd, rf"[{controls}]+|[\p{{C}}&&[^\x00-\x7F]]+", "")
+    odd = F.regexp_replace(odd, r"[\p{Z}&&[^ ]]+", " ")
+    out = F.when(F.regexp_like(text, F.lit(rf"[{controls}]|{_unusual()}")), odd).otherwise(out)
+    # A single space stays as it is: only other runs are rewritten.
+    out = F.regexp_replace(out, r"[\t-\r\x1C-\x1F][\t-\r\x1C-\x20]*| [\t-\r\x1C-\x20]+", " ")
+    return F.coalesce(F.trim(F.regexp_replace(out, r"[^\x00-\x7F]+", "")), F.lit(""))
 
 
 def word_count(text: Column) -> Column:
@@ -91,10 +101,11 @@ def noise_ratio(text: Column, chars: str = NOISE_CHARS) -> Column:
 
 def mask_text(text: Column) -> Column:
     """Overwrite the value in ``name = value`` for every secret name, case-insensitively."""
+    masked = text
     for name in SECRET_NAMES:
         pattern = rf"""(?iu){name}["']?[{_SPACE}]*[:=][{_SPACE}]*["']?[^"'{_SPACE}]+["']?"""
-        text = F.regexp_replace(text, pattern, f"{name}={MASK}")
-    return text
+        masked = F.regexp_replace(masked, pattern, f"{name}={MASK}")
+    return F.when(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")), masked).otherwise(text)
 
 
 def mask_map(entries: Column, value_type: T.DataType | None = None) -> Column:
@@ -118,6 +129,8 @@ def mask_map(entries: Column, value_type: T.DataType | None = None) -> Column:
 
 def redact_pii(text: Column) -> Column:
     """Replace e-mail addresses, phone numbers, IPv4 addresses and card numbers."""
-    for pattern, replacement in PII_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    out = text
+    for pattern, replacement, sign in PII_PATTERNS:
+        redacted = F.regexp_replace(out, pattern, replacement)
+        out = F.when(F.contains(text, F.lit(sign)), redacted).otherwise(out) if sign else redacted
+    return out

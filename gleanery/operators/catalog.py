@@ -235,13 +235,14 @@ def delete_rows(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
     return current.join(ids.select(key), key, "left_anti")
 
 
-def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id", seq_width: float = 100_000) -> tuple[DataFrame, DataFrame]:
     """Apply a batch ``(op, seq, <current columns>)`` of create / update / delete.
 
     Per key the operations run in ``seq`` order; the last legal one decides.
     Returns (new state, rejected operations with a reason): creating what
     exists, updating or deleting what does not. A create after a delete in the
-    same batch is legal, so existence is followed operation by operation.
+    same batch is legal, so existence is followed operation by operation. A key
+    with very many operations is worked on in slices of ``seq_width`` numbers.
     """
     columns = current.columns
     # Create leaves the key present and delete leaves it absent, legal or not;
@@ -249,7 +250,7 @@ def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id") -> tuple[D
     stored = current.select(key, F.lit(True).alias("__stored"))
     present = F.when(F.col("op") == "create", F.lit(True)).when(F.col("op") == "delete", F.lit(False))
     ordered = slices.running(
-        slices.by_width(ops, "seq", 10_000), [key], ["seq"], {"__exists": slices.Running("before", present)}
+        slices.by_width(ops, [key], "seq", seq_width), [key], ["seq"], {"__exists": slices.Running("before", present)}
     )
     judged = (
         ordered.join(stored, key, "left")

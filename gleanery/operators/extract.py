@@ -212,9 +212,14 @@ def scan_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
 
 
 def table_records(tables: DataFrame) -> DataFrame:
-    """``(page_id, table_idx, row_idx, record map)`` from :func:`scan_tables`."""
-    rows = tables.select("page_id", "table_idx", "names", F.posexplode("rows").alias("row_idx", "cells"))
-    return rows.select("page_id", "table_idx", "row_idx", F.map_from_arrays("names", "cells").alias("record"))
+    """``(page_id, table_idx, row_idx, record map)`` of the tables, or of the valid ones once judged."""
+    wanted = F.when(F.col("valid"), F.col("rows")) if "valid" in tables.columns else F.col("rows")
+    # Filtering before the explode would be pushed below the cleaning and repeat
+    # it; a rejected table explodes to a null row instead.
+    rows = tables.select("page_id", "table_idx", "names", F.posexplode_outer(wanted).alias("row_idx", "cells"))
+    return rows.filter(F.col("row_idx").isNotNull()).select(
+        "page_id", "table_idx", "row_idx", F.map_from_arrays("names", "cells").alias("record")
+    )
 
 
 def pages_without_tables(tables: DataFrame) -> DataFrame:
@@ -256,7 +261,7 @@ def extract_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page
 
     One pass over the pages and no shuffle: a table is judged inside its row.
     """
-    return table_records(validate_tables(scan_tables(pages, html_col, id_col), min_rows, max_rows).filter("valid"))
+    return table_records(validate_tables(scan_tables(pages, html_col, id_col), min_rows, max_rows))
 
 
 class _Matches(_Tree):

@@ -86,6 +86,32 @@ def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = (), cou
     return placed.groupBy(*by).agg(F.min_by(F.when(hit, value), F.when(hit, F.col("le"))).alias("quantile"))
 
 
+def duration_quantile(df: DataFrame, value: str, buckets: Sequence[float], q: float, by: Sequence[str] = ()) -> DataFrame:
+    """``histogram_quantile`` of ``duration_histogram`` in one aggregation.
+
+    The bucket counts of a group stay side by side in its row, so nothing is laid
+    out per bound, shuffled again or ordered.
+    """
+    if not 0 <= q <= 1:
+        raise ValueError("q must lie in [0, 1]")
+    bounds = [float(b) for b in buckets]
+    if bounds != sorted(bounds):
+        raise ValueError("bucket bounds must ascend")
+    names = [f"__{i}" for i in range(len(bounds))]
+    counts = df.groupBy(*by).agg(
+        *[F.count_if(F.col(value) <= b).cast("double").alias(n) for n, b in zip(names, bounds)],
+        F.count(value).cast("double").alias("__total"),
+    )
+    rank = F.col("__total") * F.lit(float(q))
+    found = F.when(F.col("__total") >= rank, F.lit(bounds[-1] if bounds else 0.0))
+    low, below = [0.0, *bounds], [F.lit(0.0), *map(F.col, names)]
+    for i in reversed(range(len(bounds))):
+        share = F.try_divide(rank - below[i], F.col(names[i]) - below[i])
+        inside = F.lit(low[i]) + F.lit(bounds[i] - low[i]) * share
+        found = F.when(F.col(names[i]) >= rank, inside).otherwise(found)
+    return counts.select(*by, F.when(rank > 0, found).alias("quantile"))
+
+
 def processing_summary(df: DataFrame, by: Sequence[str], status: str, seconds: str, memory: str, quality: str) -> DataFrame:
     """Totals, mean time, peak memory and mean quality; zero where nothing was measured."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
@@ -279,7 +305,7 @@ def execution_history(executions: DataFrame, task: str, order: Sequence[str], va
     A part holds at most ``part_size`` ids, so that a task with very many
     executions stays spread; an ordinary task has the single part 0.
     """
-    placed = slices.number_rows(slices.by_time(executions, order[0], slice_seconds), [task], list(order), "__no")
+    placed = slices.number_rows(slices.by_time(executions, [task], order[0], slice_seconds), [task], list(order), "__no")
     listed = placed.groupBy(task, F.floor((F.col("__no") - 1) / F.lit(part_size)).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("__no", value))).alias("__l")
     )
@@ -341,7 +367,7 @@ def system_status(df: DataFrame, by: Sequence[str], failed: Column, seconds: str
 def counter_deltas(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, slice_seconds: int = 3600) -> DataFrame:
     """Add ``delta``: growth since the sample before. A drop is a reset, counted from zero."""
     with_prev = slices.running(
-        slices.by_time(samples, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.col(value))}
+        slices.by_time(samples, series, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.col(value))}
     )
     grown = F.when(F.col(value) < F.col("__prev"), F.col(value)).otherwise(F.col(value) - F.col("__prev"))
     return with_prev.withColumn("delta", grown).drop("__prev")
@@ -372,7 +398,7 @@ def rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: st
 def changes(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
     """Number of value changes over ``(t - seconds, t]`` at each second with a sample."""
     with_prev = slices.running(
-        slices.by_time(samples, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.struct(F.col(value).alias("v")))}
+        slices.by_time(samples, series, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.struct(F.col(value).alias("v")))}
     )
     changed = F.col("__prev").isNotNull() & ~F.col("__prev.v").eqNullSafe(F.col(value))
     per_second = with_prev.groupBy(*series, epoch_seconds(F.col(ts)).alias("second")).agg(F.count_if(changed).alias("c"))

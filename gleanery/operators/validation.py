@@ -130,9 +130,10 @@ def _bad(condition: Column) -> Column:
 
 def _outside(config: Column, path: str, low: float, high: float | None = None) -> Column:
     """Present, and not a number within [low, high]."""
-    number = json_number(config, path)
+    kind = json_kind(config, path)
+    number = F.try_variant_get(config, path, "double")
     inside = number >= low if high is None else number.between(low, high)
-    return _given(config, path) & _bad(inside)
+    return F.when(kind.isin("int", "number"), ~inside).otherwise(_given(config, path))
 
 
 # --- rule sets -------------------------------------------------------------

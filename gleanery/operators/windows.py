@@ -21,7 +21,7 @@ DAY = 86_400
 
 def attempts(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slice_seconds: int = DAY) -> DataFrame:
     """1-based ``attempt`` per key in time order."""
-    return slices.number_rows(slices.by_time(df, ts, slice_seconds), keys, [ts, *tie], "attempt")
+    return slices.number_rows(slices.by_time(df, keys, ts, slice_seconds), keys, [ts, *tie], "attempt")
 
 
 def backoff(df: DataFrame, attempt: str = "attempt", base: float = 5.0) -> DataFrame:
@@ -39,7 +39,7 @@ def backoff(df: DataFrame, attempt: str = "attempt", base: float = 5.0) -> DataF
 def illegal_transitions(history: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], status: str = "status", slice_seconds: int = DAY) -> DataFrame:
     """Rows whose status may not follow the one before; an unchanged status is no move."""
     moved = slices.running(
-        slices.by_time(history, ts, slice_seconds), keys, [ts, *tie], {"previous": slices.Running("prev", F.col(status))}
+        slices.by_time(history, keys, ts, slice_seconds), keys, [ts, *tie], {"previous": slices.Running("prev", F.col(status))}
     )
     changed = F.col("previous").isNotNull() & (F.col("previous") != F.col(status))
     return moved.filter(changed & ~may_move(F.col("previous"), F.col(status)))
@@ -48,7 +48,7 @@ def illegal_transitions(history: DataFrame, keys: Sequence[str], ts: str, tie: S
 def running_mean(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, slice_seconds: int = DAY) -> DataFrame:
     """Mean and peak of all values up to each row."""
     out = slices.running(
-        slices.by_time(df, ts, slice_seconds),
+        slices.by_time(df, keys, ts, slice_seconds),
         keys,
         [ts, *tie],
         {
@@ -82,7 +82,7 @@ def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]
     """Runs of at least ``n`` failures with no success between: start, end, length."""
     bad = F.coalesce(failed, F.lit(False))
     numbered = slices.running(
-        slices.by_time(df.withColumn("__bad", bad), ts, slice_seconds),
+        slices.by_time(df.withColumn("__bad", bad), keys, ts, slice_seconds),
         keys,
         [ts, *tie],
         {"run": slices.Running("sum", F.when(F.col("__bad"), F.lit(0)).otherwise(F.lit(1)))},

@@ -61,7 +61,7 @@ def recognise(words: DataFrame, fmt: str = "json", minimum: float = 0.85) -> Dat
 def latency_alerts(requests: DataFrame, by: Sequence[str], seconds: str, limit: float = 0.5, minutes: float = 5) -> DataFrame:
     """Request log -> one-minute p95 -> alert states -> inhibited and routed alerts."""
     minute = requests.withColumn("tick", F.date_trunc("minute", "ts"))
-    p95 = metrics.histogram_quantile(metrics.duration_histogram(minute, seconds, metrics.API_BUCKETS, [*by, "tick"]), 0.95, [*by, "tick"])
+    p95 = metrics.duration_quantile(minute, seconds, metrics.API_BUCKETS, 0.95, [*by, "tick"])
     states = alerts.alerts_for(alerts.evaluate(p95, by, "tick", F.col("quantile") > limit, 60), by, minutes)
     firing = states.filter(F.col("state") == "firing").select(
         F.lit("APIHighLatency").alias("alertname"),

@@ -326,7 +326,7 @@ def _ops(spark, sf):
         UNION ALL SELECT id, 'written', CAST(line AS VARCHAR) FROM final WHERE op <> 'delete'""",
 )
 def apply_writes(spark, sf):
-    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf))[0]
+    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf), seq_width=1e9)[0]
 
 
 @query(
@@ -342,7 +342,7 @@ def apply_writes(spark, sf):
         SELECT id, op, seq, CASE op WHEN 'create' THEN 'already exists' ELSE 'not found' END AS reason FROM judged WHERE (op = 'create') = here""",
 )
 def apply_writes_rejected(spark, sf):
-    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf))[1].select("id", "op", "seq", "reason")
+    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf), seq_width=1e9)[1].select("id", "op", "seq", "reason")
 
 
 @query(

@@ -6,7 +6,7 @@ from gleanery.functions import text as tx
 from gleanery.operators import catalog, integrity
 from gleanery.plans import journeys
 from gleanery.queries import query
-from gleanery.queries.views import table
+from gleanery.queries.views import table, wide_table
 
 _WS = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
@@ -45,22 +45,22 @@ def mask_sql(column: str) -> str:
         FROM bad LEFT JOIN kept USING (source)""",
 )
 def clean_by_source(spark, sf):
-    return journeys.clean_by_source(table(spark, sf, "documents"))
+    return journeys.clean_by_source(wide_table(spark, sf, "documents"))
 
 
 @query("b01_clean_text", f"SELECT doc_id, {clean_sql('text')} AS clean FROM documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+    return wide_table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
 
 
 @query("b01_clean_text_strict", f"SELECT doc_id, {clean_sql('text', True)} AS clean FROM documents")
 def clean_text_strict(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text"), strict=True).alias("clean"))
+    return wide_table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text"), strict=True).alias("clean"))
 
 
 @query("b28_mask_text", f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents")
 def mask_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.mask_text(F.col("text")).alias("masked"))
+    return wide_table(spark, sf, "documents").select("doc_id", tx.mask_text(F.col("text")).alias("masked"))
 
 
 @query(
@@ -76,7 +76,7 @@ def mask_map(spark, sf):
     inner = F.create_map(F.lit("inner"), F.create_map(F.lit("clientSecret"), F.col("lang"), F.lit("lang"), F.col("lang")))
     nested = T.MapType(T.StringType(), T.StringType())
     return (
-        table(spark, sf, "documents")
+        wide_table(spark, sf, "documents")
         .select("doc_id", tx.mask_map(text_map).alias("m"), tx.mask_map(inner, nested).alias("n"))
         .select(
             "doc_id",
@@ -91,7 +91,7 @@ def mask_map(spark, sf):
 
 @query("b30_mask_fields", "SELECT doc_id, '***MASKED_source***' AS source, '***MASKED_lang***' AS lang, n_chars FROM documents")
 def mask_fields(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
     return catalog.mask_fields(docs, ["source", "lang", "n_chars"])
 
 
@@ -102,7 +102,7 @@ def mask_fields(spark, sf):
 )
 def encrypt_cols(spark, sf):
     key, wrong = F.lit(b"0123456789abcdef0123456789abcdef"), F.lit(b"x123456789abcdef0123456789abcdef")
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "source", "text")
     sealed = catalog.encrypt_cols(docs, ["source", "text"], key).withColumn("sealed_bytes", F.octet_length("text"))
     guess = F.try_aes_decrypt(F.col("text"), wrong, F.lit("GCM")).isNull()
     return catalog.decrypt_cols(sealed.withColumn("wrong_key_fails", guess), ["source", "text"], key)
@@ -133,7 +133,7 @@ def encrypt_sensitive(spark, sf):
         FROM documents""",
 )
 def redact_pii(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.redact_pii(F.col("text")).alias("redacted"))
+    return wide_table(spark, sf, "documents").select("doc_id", tx.redact_pii(F.col("text")).alias("redacted"))
 
 
 @query(
@@ -144,7 +144,7 @@ def redact_pii(spark, sf):
 )
 def word_and_noise_counts(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", tx.word_count(t).alias("words"), F.round(tx.noise_ratio(t), 6).alias("noise"))
+    return wide_table(spark, sf, "documents").select("doc_id", tx.word_count(t).alias("words"), F.round(tx.noise_ratio(t), 6).alias("noise"))
 
 
 @query(
@@ -152,7 +152,7 @@ def word_and_noise_counts(spark, sf):
     "SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY text",
 )
 def dedupe_first(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "text")
     return integrity.dedupe_first(docs, [F.col("text")], ["doc_id"]).select("doc_id", "fingerprint")
 
 
@@ -169,7 +169,7 @@ def dedupe_urls(spark, sf):
     "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS INTEGER) AS size_bytes FROM documents",
 )
 def checksum_objects(spark, sf):
-    return integrity.checksum_objects(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return integrity.checksum_objects(wide_table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query(
@@ -181,7 +181,7 @@ def checksum_objects(spark, sf):
        FROM a FULL JOIN b USING (id) WHERE a.h IS DISTINCT FROM b.h""",
 )
 def verify_checksums(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    docs = wide_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     suffix = F.when(F.col("lang") == "es", F.lit(".")).otherwise(F.lit(""))
     moved = docs.filter(F.col("lang") != "fr").withColumn("text", F.concat(F.trim("text"), suffix))
     return integrity.verify_checksums(

@@ -7,7 +7,7 @@ from gleanery.operators.validation import ocr_quality
 from gleanery.plans import journeys
 from gleanery.queries import query
 from gleanery.queries.cleaning import clean_sql
-from gleanery.queries.views import EXECUTIONS, executions, table
+from gleanery.queries.views import EXECUTIONS, executions, table, wide_table
 
 _DECODE = "replace(replace(replace({c}, '&amp;', '&'), '&middot;', '·'), '&copy;', '©')"
 
@@ -24,12 +24,12 @@ def _tag_sql(tag: str, name: str) -> str:
         SELECT CAST(page_id AS VARCHAR) AS page_id, name, CAST(match_idx AS INTEGER) AS match_idx, {clean_sql(_DECODE.format(c='value'))} AS value FROM m""",
 )
 def extract_selectors(spark, sf):
-    return extract.extract_selectors(table(spark, sf, "pages"), {"title": "title", "heading": "h1", "link": "a"})
+    return extract.extract_selectors(wide_table(spark, sf, "pages"), {"title": "title", "heading": "h1", "link": "a"})
 
 
 @query("c03_extract_paragraphs")
 def extract_paragraphs(spark, sf):
-    return extract.extract_selectors(table(spark, sf, "pages"), {"paragraph": "p", "ad": ".ad"})
+    return extract.extract_selectors(wide_table(spark, sf, "pages"), {"paragraph": "p", "ad": ".ad"})
 
 
 def _order_pages(spark, sf):
@@ -73,12 +73,12 @@ def validate_tables(spark, sf):
 
 @query("c01_pages_without_tables", "SELECT CAST(page_id AS VARCHAR) AS page_id, 'No tables found' AS error FROM pages")
 def pages_without_tables(spark, sf):
-    return extract.pages_without_tables(extract.scan_tables(table(spark, sf, "pages")))
+    return extract.pages_without_tables(extract.scan_tables(wide_table(spark, sf, "pages")))
 
 
 def _words(spark, sf):
     """Documents split at blanks as recognised words; short words are sure, long ones less so."""
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
+    docs = wide_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
     conf = F.when(F.length("text") == 0, F.lit(-1.0)).otherwise(F.lit(100.0) - F.length("text"))
     n = F.length("text")
     return docs.select("doc_id", "word_idx", "text", conf.alias("conf"), F.lit(0).alias("left"), F.lit(0).alias("top"), n.alias("width"), F.lit(10).alias("height"))
@@ -187,7 +187,7 @@ def recognise(spark, sf):
         SELECT page_id, value, length(value) > 10000 OR value = '' AS rejected FROM c""",
 )
 def scrape_text(spark, sf):
-    accepted, quarantine = journeys.scrape_text(table(spark, sf, "pages"), {"heading": "h1"})
+    accepted, quarantine = journeys.scrape_text(wide_table(spark, sf, "pages"), {"heading": "h1"})
     a = accepted.select("page_id", "value", F.lit(False).alias("rejected"))
     return a.unionByName(quarantine.select("page_id", "value", F.lit(True).alias("rejected")))
 
@@ -202,7 +202,7 @@ def scrape_text(spark, sf):
 def registered_extractor(spark, sf):
     if "headings" not in registry.extractors.names():
         registry.register_extractor("headings", lambda pages: extract.extract_selectors(pages, {"h": "h1"}).select("page_id", "value"))
-    return registry.run_extractor("headings", table(spark, sf, "pages"))
+    return registry.run_extractor("headings", wide_table(spark, sf, "pages"))
 
 
 class Links:
@@ -221,7 +221,7 @@ class Links:
 )
 def table_function(spark, sf):
     registry.register_table_function(spark, "page_links", Links, "target string")
-    table(spark, sf, "pages").createOrReplaceTempView("gleanery_pages")
+    wide_table(spark, sf, "pages").createOrReplaceTempView("gleanery_pages")
     return spark.sql("SELECT page_id, target FROM gleanery_pages, LATERAL page_links(html)")
 
 

@@ -157,6 +157,14 @@ def histogram_quantile_top(spark, sf):
     return rounded(metrics.histogram_quantile(h, 0.9, ["client"]), "quantile")
 
 
+@query(
+    "e10_duration_quantile",
+    _quantile_sql(f"WITH {REQUESTS}, h AS ({_histogram_sql('requests', 'seconds', metrics.API_BUCKETS, 'client')})", "client", 0.5),
+)
+def duration_quantile(spark, sf):
+    return rounded(metrics.duration_quantile(requests(spark, sf), "seconds", metrics.API_BUCKETS, 0.5, ["client"]), "quantile")
+
+
 @query(
     "e11_throughput",
     """WITH p AS (SELECT lang, length(text) / 1000.0 AS seconds, octet_length(encode(text)) AS bytes FROM documents)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleanery.operators import validation as v
+from gleanery.plans.spread import spread
 from gleanery.queries import query
 from gleanery.queries.views import (
     EXECUTIONS,
@@ -79,7 +80,7 @@ def field_type_rules(spark, sf):
     ),
 )
 def task_rules(spark, sf):
-    t = tasks(spark, sf)
+    t = spread(tasks(spark, sf))
     low, failed = F.col("priority") == "5-LOW", F.col("status") == "failed"
     kind = F.when(F.col("priority") == "4-NOT SPECIFIED", F.lit("index")).otherwise(F.col("type"))
     scrape = F.col("type") == "scrape"
@@ -139,7 +140,7 @@ def task_create_rules(spark, sf):
     ),
 )
 def scrape_config_rules(spark, sf):
-    r = requests(spark, sf)
+    r = spread(requests(spark, sf))
     e = F.col("endpoint")
     config = _json(
         F.when(e == "signup", F.lit("ftp://x")).otherwise(F.lit("https://example.com")).alias("source"),
@@ -179,7 +180,7 @@ def scrape_config_rules(spark, sf):
     ),
 )
 def ocr_config_rules(spark, sf):
-    e = executions(spark, sf)
+    e = spread(executions(spark, sf))
     failed, running = F.col("status") == "failed", F.col("status") == "running"
     config = _json(
         F.when(failed, F.lit("/in/scan.gif")).when(running, F.lit("/in/../scan.pdf")).otherwise(F.lit("/in/SCAN.PDF")).alias("source_path"),

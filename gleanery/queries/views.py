@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.plans.spread import spread
 from gleanery.session import configure
 
 NOW = datetime(2001, 11, 1)
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for per-row work on long texts."""
+    return spread(table(spark, sf_dir, name))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tasks."""
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import mask_map, mask_text
-from gleanery.operators.metrics import API_BUCKETS, SLA_SECONDS, duration_histogram, histogram_quantile
+from gleanery.operators.metrics import API_BUCKETS, SLA_SECONDS, duration_quantile
 
 LATENESS = "10 minutes"
 
@@ -53,9 +53,9 @@ def stream_rates(df: DataFrame, by: Sequence[str], seconds: str, failed: Column,
 
 
 def window_p95(df: DataFrame, by: Sequence[str], seconds: str, buckets: Sequence[float] = API_BUCKETS, width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Batch form of the latency rule: bucket counts per sliding window, then the 0.95 quantile."""
+    """The latency rule: 0.95 quantile by bucket counts per sliding window."""
     timed = with_event_time(df).withColumn("window", F.window("ts", width, slide))
-    return histogram_quantile(duration_histogram(timed, seconds, buckets, ["window", *by]), 0.95, ["window", *by])
+    return duration_quantile(timed, seconds, buckets, 0.95, ["window", *by])
 
 
 def latest_status(df: DataFrame, key: str = "id", status: str = "status", ts: str = "ts", tie: str = "seq") -> DataFrame:

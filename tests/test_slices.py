@@ -59,9 +59,10 @@ def same(a, b):
     assert rows(a) == rows(b)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 500, 10**6])
 @pytest.mark.parametrize("seconds", [60, 3600, 10**6])
-def test_running_by_time(skewed, seconds):
-    same(sliced(slices.by_time(skewed, "ts", seconds)), plain(skewed))
+def test_running_by_time(skewed, seconds, hot_rows):
+    same(sliced(slices.by_time(skewed, ["key"], "ts", seconds, hot_rows)), plain(skewed))
 
 
 def test_running_by_range(skewed):
