@@ -182,17 +182,28 @@ def decrypt_sensitive(df: DataFrame, credentials: str, key: Column) -> DataFrame
 # --- joins -----------------------------------------------------------------
 
 
+def attach_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Parents with each of their children, parents without any kept with nulls.
+
+    ``key`` is unique among the parents and may be very unevenly spread among
+    the children. An outer join could not split a parent's many children over
+    tasks; an inner join can, and the childless parents are added apart.
+    """
+    matched = children.join(parents, key)
+    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(childless, allowMissingColumns=True)
+
+
 def lineage(sources: DataFrame, tasks: DataFrame, executions: DataFrame, objects: DataFrame) -> DataFrame:
     """source -> task -> execution -> object, keeping parents without children.
 
-    Children carry ``source_id`` / ``task_id`` / ``execution_id``. The unique
-    parent side is the one a skewed join partition replicates (adaptive skew join).
+    Children carry ``source_id`` / ``task_id`` / ``execution_id``; ids are unique.
     """
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     t = tasks.select(F.col("id").alias("task_id"), "source_id", F.col("status").alias("task_status"))
     e = executions.select(F.col("id").alias("execution_id"), "task_id", F.col("status").alias("execution_status"))
     o = objects.select(F.col("id").alias("object_id"), "execution_id", "storage_path")
-    return s.join(t, "source_id", "left").join(e, "task_id", "left").join(o, "execution_id", "left")
+    return attach_children(attach_children(attach_children(s, t, "source_id"), e, "task_id"), o, "execution_id")
 
 
 def with_task_metrics(tasks: DataFrame, metrics: DataFrame, key: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import partial
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,18 +183,28 @@ def _grid(table: dict) -> tuple[list[str], list[list[str | None]]]:
     return names, [line + [None] * (width - len(line)) for _, line in lines]
 
 
-TABLES = "page_id string, table_idx int, names array<string>, rows array<array<string>>"
+_TEXT_LIST = pa.list_(pa.string())
+TABLES = {"page_id": ("string", pa.string()), "table_idx": ("int", pa.int32()), "names": ("array<string>", _TEXT_LIST), "rows": ("array<array<string>>", pa.list_(_TEXT_LIST))}
+MATCHES = {"page_id": ("string", pa.string()), "name": ("string", pa.string()), "match_idx": ("int", pa.int32()), "value": ("string", pa.string())}
 
 
-def _parse_tables(batches: Iterator) -> Iterator:
-    import pandas as pd
+def _map_pages(pages: DataFrame, id_col: str, html_col: str, parse: Callable[[str, str], list[tuple]], schema: Mapping[str, tuple]) -> DataFrame:
+    """Rows of ``parse(page_id, html)`` for every page, batch by batch."""
 
-    for pdf in batches:
-        out = []
-        for page_id, html in zip(pdf["page_id"], pdf["html"]):
-            tables = _Tables().run(html or "").tables
-            out += [(page_id, i, *_grid(table)) for i, table in enumerate(tables)] or [(page_id, None, None, None)]
-        yield pd.DataFrame(out, columns=["page_id", "table_idx", "names", "rows"]).astype({"table_idx": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for page, html in zip(*(c.to_pylist() for c in batch.columns)) for r in parse(page, html or "")]
+            columns = list(zip(*rows)) or [()] * len(schema)
+            arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, schema.values())]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(schema))
+
+    slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(html_col).alias("html"))
+    return slim.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in schema.items()))
+
+
+def _tables_of(page: str, html: str) -> list[tuple]:
+    tables = _Tables().run(html).tables
+    return [(page, i, *_grid(table)) for i, table in enumerate(tables)] or [(page, None, None, None)]
 
 
 def scan_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -202,8 +213,7 @@ def scan_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
     A page without tables gives one row without ``table_idx``. A table is part
     of one page's text, so a row is never larger than a page.
     """
-    slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(html_col).alias("html"))
-    raw = slim.mapInPandas(_parse_tables, TABLES)
+    raw = _map_pages(pages, id_col, html_col, _tables_of, TABLES)
 
     def tidy(cells: Column) -> Column:
         return F.transform(cells, lambda x: F.when(x.isNotNull(), clean_text(x, normalised=True)))
@@ -293,28 +303,20 @@ class _Matches(_Tree):
                 note.append(data)
 
 
-MATCH_ROWS = "page_id string, name string, match_idx int, value string"
-
-
-def _parse_matches(batches: Iterator, selectors: Mapping[str, str]) -> Iterator:
-    import pandas as pd
-
-    for pdf in batches:
-        out = []
-        for page_id, html in zip(pdf["page_id"], pdf["html"]):
-            seen: dict[str, int] = {}
-            for name, texts in _Matches(selectors).run(html or "").found:
-                index = seen[name] = seen.get(name, -1) + 1
-                out.append((page_id, name, index, unicodedata.normalize("NFKC", "".join(texts))))
-        yield pd.DataFrame(out, columns=["page_id", "name", "match_idx", "value"])
+def _matches_of(page: str, html: str, selectors: Mapping[str, str]) -> list[tuple]:
+    seen: dict[str, int] = {}
+    out = []
+    for name, texts in _Matches(selectors).run(html).found:
+        index = seen[name] = seen.get(name, -1) + 1
+        out.append((page, name, index, unicodedata.normalize("NFKC", "".join(texts))))
+    return out
 
 
 def extract_selectors(pages: DataFrame, selectors: Mapping[str, str], html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """One row per match of ``name -> tag | .class | #id``, its text cleaned."""
     if not selectors or not all(s and s.strip(".#") for s in selectors.values()):
         raise ValueError("selectors must map names to a tag, .class or #id")
-    slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(html_col).alias("html"))
-    raw = slim.mapInPandas(partial(_parse_matches, selectors=dict(selectors)), MATCH_ROWS)
+    raw = _map_pages(pages, id_col, html_col, partial(_matches_of, selectors=dict(selectors)), MATCHES)
     return raw.withColumn("value", clean_text(F.col("value"), normalised=True))
 
 

@@ -191,31 +191,30 @@ def merge_config(spark, sf):
 # --- joins -----------------------------------------------------------------
 
 
+_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))"
+
+
 @query(
     "d01_lineage",
-    """SELECT c_custkey AS source_id, c_name AS source_name, o_orderkey AS task_id, o_orderstatus AS task_status,
-              l_id AS execution_id, l_linestatus AS execution_status, count(*) AS paths, count(p_partkey) AS objects
+    f"""SELECT c_custkey AS source_id, c_name AS source_name, o_orderkey AS task_id, o_orderstatus AS task_status,
+              e.id AS execution_id, e.status AS execution_status, o.id AS object_id, o.path AS storage_path
        FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-       LEFT JOIN (SELECT *, l_orderkey || '-' || l_linenumber AS l_id FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey
-       LEFT JOIN (SELECT p_partkey, (p_partkey * 3) || '-' || (p_size % 7 + 1) AS e_id FROM part) ON e_id = l_id
-       GROUP BY ALL""",
+       LEFT JOIN (SELECT {_KEY} AS id, l_orderkey, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'R') e ON l_orderkey = o_orderkey
+       LEFT JOIN (SELECT l_partkey AS id, {_KEY} AS execution_id, p_name AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25) o
+         ON o.execution_id = e.id""",
 )
 def lineage(spark, sf):
+    """Customers, their orders, the returned items, and the part stored by the large ones."""
     sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderstatus").alias("status"))
-    e = (
-        table(spark, sf, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
-        .select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("task_id"), F.col("l_linestatus").alias("status"))
-    )
-    o = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"),
-        F.concat_ws("-", F.col("p_partkey") * 3, F.col("p_size") % 7 + 1).alias("execution_id"),
-        F.col("p_name").alias("storage_path"),
+    items = table(spark, sf, "lineitem").withColumn(
+        "id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
     )
-    paths = catalog.lineage(sources, t, e, o)
-    keys = ["source_id", "source_name", "task_id", "task_status", "execution_id", "execution_status"]
-    return paths.groupBy(*keys).agg(F.count("*").alias("paths"), F.count("object_id").alias("objects"))
+    e = items.filter(F.col("l_returnflag") == "R").select("id", F.col("l_orderkey").alias("task_id"), F.col("l_linestatus").alias("status"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("storage_path"))
+    stored = items.filter(F.col("l_quantity") > 25).select(F.col("id").alias("execution_id"), "l_partkey").join(parts, "l_partkey")
+    o = stored.select(F.col("l_partkey").alias("id"), "execution_id", "storage_path")
+    return catalog.lineage(sources, t, e, o)
 
 
 @query(

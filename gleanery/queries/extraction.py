@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import extract, recognition, registry
 from gleanery.operators.validation import ocr_quality
 from gleanery.plans import journeys
+from gleanery.plans.spread import spread
 from gleanery.queries import query
 from gleanery.queries.cleaning import clean_sql
 from gleanery.queries.views import EXECUTIONS, executions, table, wide_table
@@ -33,42 +34,39 @@ def extract_paragraphs(spark, sf):
 
 
 def _order_pages(spark, sf):
-    """One page per order: its line items as a table, an empty table for cheap orders."""
-    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell("l_partkey"), cell("l_suppkey"), cell("l_shipdate"), cell("l_returnflag"))
-    items = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("page_id"), F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_linenumber", row.alias("row")).alias("r")
-    )
-    # An order has at most a few dozen items; its page is their one text.
-    rows = items.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), "").alias("rows"))
-    head = "<p>Order<table><thead><tr><th>part<th>supplier &amp; co<th>shipped<th>flag</thead><tbody>"
-    empty = "</table><table><tr><th>a</th><th>b</th></tr></table>"
-    return rows.select("page_id", F.concat(F.lit(head), "rows", F.lit(empty)).alias("html"))
+    """One page per order: two rows about it, and a table without rows for the cheap ones."""
+    cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    first = F.concat(F.lit("<tr>"), cell(key), cell(owner), cell(F.col("o_orderdate")), cell(F.col("o_orderstatus")))
+    second = F.concat(F.lit("<tr>"), cell(key + 1), cell(owner * 2), F.lit("<td> <td><b>"), F.col("o_orderpriority"), F.lit("</b>"))
+    head = F.lit("<p>Order<table><thead><tr><th>order<th>owner &amp; co<th>created<th>note</thead><tbody>")
+    empty = F.when(F.col("o_totalprice") < 100_000, F.lit("<table><tr><th>a</th><th>b</th></tr></table>")).otherwise(F.lit(""))
+    orders = spread(table(spark, sf, "orders"))
+    return orders.select(key.alias("page_id"), F.concat(head, first, second, F.lit("</table>"), empty).alias("html"))
 
 
 @query(
     "c01_extract_tables",
-    """SELECT CAST(l_orderkey AS VARCHAR) AS page_id, CAST(0 AS INTEGER) AS table_idx,
-              CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_shipdate, l_linenumber) - 1 AS INTEGER) AS row_idx,
-              CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS shipped, l_returnflag AS flag
-       FROM lineitem""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS page_id, CAST(0 AS INTEGER) AS table_idx, CAST(r AS INTEGER) AS row_idx,
+              CAST(o_orderkey + r AS VARCHAR) AS "order", CAST(o_custkey * (r + 1) AS VARCHAR) AS owner,
+              CASE r WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS created, CASE r WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS note
+       FROM orders, (SELECT unnest([0, 1]) AS r)""",
 )
 def extract_tables(spark, sf):
     records = extract.extract_tables(_order_pages(spark, sf))
-    names = {"part": "part", "supplier": "supplier & co", "shipped": "shipped", "flag": "flag"}
+    names = {"order": "order", "owner": "owner & co", "created": "created", "note": "note"}
     return records.select("page_id", "table_idx", "row_idx", *[F.col("record")[k].alias(a) for a, k in names.items()])
 
 
 @query(
     "c02_validate_tables",
-    """SELECT CAST(l_orderkey AS VARCHAR) AS page_id, CAST(t.i AS INTEGER) AS table_idx, CASE t.i WHEN 0 THEN count(*) ELSE 0 END AS rows,
-              t.i = 0 AS valid, CASE t.i WHEN 1 THEN 'too few rows' END AS problem
-       FROM lineitem, (SELECT unnest([0, 1]) AS i) t GROUP BY l_orderkey, t.i""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS page_id, CAST(i AS INTEGER) AS table_idx, CAST(CASE i WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS rows,
+              i = 0 AS valid, CASE i WHEN 1 THEN 'too few rows' END AS problem
+       FROM orders, (SELECT unnest([0, 1]) AS i) WHERE i = 0 OR o_totalprice < 100000""",
 )
 def validate_tables(spark, sf):
-    return extract.validate_tables(extract.scan_tables(_order_pages(spark, sf))).select(
-        "page_id", "table_idx", F.col("row_count").alias("rows"), "valid", "problem"
-    )
+    judged = extract.validate_tables(extract.scan_tables(_order_pages(spark, sf)))
+    return judged.select("page_id", "table_idx", F.col("row_count").alias("rows"), "valid", "problem")
 
 
 @query("c01_pages_without_tables", "SELECT CAST(page_id AS VARCHAR) AS page_id, 'No tables found' AS error FROM pages")
