@@ -373,20 +373,16 @@ def counter_deltas(samples: DataFrame, series: Sequence[str], ts: str, tie: str,
     return with_prev.withColumn("delta", grown).drop("__prev")
 
 
-def _per_second_window(per_second: DataFrame, series: Sequence[str], seconds: int):
-    return Window.partitionBy(*series).orderBy("second").rangeBetween(-(seconds - 1), 0)
-
-
 def increase(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
     """Counter growth over ``(t - seconds, t]`` at each second with a sample.
 
-    Deltas are summed per second first, which bounds a series' window by time
-    and not by its rows. No extrapolation to the window's edges.
+    Deltas are summed per second before the window is formed. No extrapolation
+    to the window's edges.
     """
     deltas = counter_deltas(samples, series, ts, tie, value, slice_seconds)
     per_second = deltas.groupBy(*series, epoch_seconds(F.col(ts)).alias("second")).agg(F.sum("delta").alias("d"))
-    grown = F.coalesce(F.sum("d").over(_per_second_window(per_second, series, seconds)), F.lit(0.0))
-    return per_second.select(*series, "second", grown.alias("increase"))
+    grown = slices.trailing(per_second, series, "second", seconds, {"increase": ("sum", F.col("d"))})
+    return grown.withColumn("increase", F.coalesce("increase", F.lit(0.0)))
 
 
 def rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
@@ -402,8 +398,7 @@ def changes(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value:
     )
     changed = F.col("__prev").isNotNull() & ~F.col("__prev.v").eqNullSafe(F.col(value))
     per_second = with_prev.groupBy(*series, epoch_seconds(F.col(ts)).alias("second")).agg(F.count_if(changed).alias("c"))
-    total = F.sum("c").over(_per_second_window(per_second, series, seconds))
-    return per_second.select(*series, "second", total.alias("changes"))
+    return slices.trailing(per_second, series, "second", seconds, {"changes": ("sum", F.col("c"))})
 
 
 def request_rates(samples: DataFrame, by: Sequence[str], series: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:

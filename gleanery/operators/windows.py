@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanery.functions.values import backoff_seconds, epoch_seconds
 from gleanery.operators.catalog import may_move
@@ -67,14 +66,15 @@ def requests_in_window(requests: DataFrame, client: str, ts: str, seconds: int,
     request leaves. All requests count; admission is ``streaming.stateful.rate_limit``.
     """
     per_second = requests.groupBy(client, epoch_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("n"))
-    frame = Window.partitionBy(client).orderBy("second").rangeBetween(-(seconds - 1), 0)
-    counted = F.sum("n").over(frame)
-    return per_second.select(
+    counted = slices.trailing(
+        per_second, [client], "second", seconds, {"requests": ("sum", F.col("n")), "__oldest": ("min", F.col("second"))}
+    )
+    return counted.select(
         client,
         "second",
-        counted.alias("requests"),
-        F.greatest(F.lit(0).cast("long"), F.lit(limit) - counted).alias("remaining"),
-        (F.min("second").over(frame) + F.lit(seconds) - F.col("second")).alias("reset_seconds"),
+        "requests",
+        F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("requests")).alias("remaining"),
+        (F.col("__oldest") + F.lit(seconds) - F.col("second")).alias("reset_seconds"),
     )
 
 

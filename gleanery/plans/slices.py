@@ -166,3 +166,43 @@ def number_all(df: DataFrame, order: Sequence[Column | str], out: str = "row_no"
         .withColumn(out, F.col("__before") + local + 1)
         .drop(SLICE, _ROW, "__before")
     )
+
+
+def trailing(df: DataFrame, keys: Sequence[str], number: str, width: int, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Aggregate over ``(n - width, n]`` at each row; rows are unique per (keys, number).
+
+    ``values`` maps a name to (sum, min or max, Column). Time is cut into blocks
+    of ``width``: a frame is the head of the row's own block and the tail of the
+    block before, and each is a running value inside one block. A row is looked
+    up in the block before by a probe sent there. Cost grows with the rows and
+    not with the rows per frame, and a key is spread over its blocks.
+    """
+    if width < 1:
+        raise ValueError("window width must be at least 1")
+    inputs = {name: f"__in_{i}" for i, name in enumerate(values)}
+    at = F.col(number)
+
+    def placed(position: Column, is_row: bool) -> DataFrame:
+        return df.select(
+            *keys,
+            number,
+            position.alias("__at"),
+            F.floor(position / F.lit(width)).alias(SLICE),
+            F.lit(is_row).alias(_ROW),
+            *[(v if is_row else F.lit(None)).alias(inputs[n]) for n, (_, v) in values.items()],
+        )
+
+    both = placed(at, True).unionByName(placed(at - F.lit(width), False))
+    block = Window.partitionBy(*keys, SLICE)
+    head = block.orderBy("__at", F.col(_ROW).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # From the block's end back to the probe, which excludes its own position.
+    tail = block.orderBy(F.col("__at").desc(), _ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = both.select(
+        *keys,
+        number,
+        *[
+            F.when(F.col(_ROW), _FOLDS[kind](inputs[n]).over(head)).otherwise(_FOLDS[kind](inputs[n]).over(tail)).alias(n)
+            for n, (kind, _) in values.items()
+        ],
+    )
+    return parts.groupBy(*keys, number).agg(*[_FOLDS[kind](n).alias(n) for n, (kind, _) in values.items()])

@@ -10,7 +10,10 @@ from gleanery.queries import query
 from gleanery.queries.cleaning import clean_sql
 from gleanery.queries.views import EXECUTIONS, executions, table, wide_table
 
-_DECODE = "replace(replace(replace({c}, '&amp;', '&'), '&middot;', '·'), '&copy;', '©')"
+_DECODE = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace({c}, '&#x27;', chr(39)), '&middot;', '\u00b7'), '&copy;', '\u00a9'),"
+    " '&quot;?', chr(34), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
+)
 
 
 def _tag_sql(tag: str, name: str) -> str:

@@ -1,6 +1,6 @@
 """Run registered queries against their SQL twins.
 
-    python -m tests.compare [sf] [name prefix ...]
+    python -m tests.compare [sf or folder] [name prefix ...]
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def main(argv: list[str]) -> int:
     from gleanery.queries import all_oracles, all_queries
 
     sf = argv[0] if argv else "0.01"
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark, con = session(), oracle(sf_dir)
     bad = 0
     oracles = all_oracles()

@@ -65,6 +65,15 @@ def test_running_by_time(skewed, seconds, hot_rows):
     same(sliced(slices.by_time(skewed, ["key"], "ts", seconds, hot_rows)), plain(skewed))
 
 
+@pytest.mark.parametrize("width", [1, 97, 500, 10**6])
+def test_trailing_equals_a_range_frame(skewed, width):
+    per_second = skewed.groupBy("key", F.unix_seconds("ts").alias("second")).agg(F.sum("value").alias("v"))
+    frame = Window.partitionBy("key").orderBy("second").rangeBetween(-(width - 1), 0)
+    want = per_second.select("key", "second", *[f("v").over(frame).alias(n) for n, f in (("s", F.sum), ("lo", F.min), ("hi", F.max))])
+    got = slices.trailing(per_second, ["key"], "second", width, {"s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))})
+    same(got, want)
+
+
 def test_running_by_range(skewed):
     same(sliced(slices.by_range(skewed, ["key"], ["ts", "n"], 5)), plain(skewed))
 
