@@ -210,9 +210,8 @@ def _with_group(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFra
     """Attach one row of statistics per group. Without groups it is a single row."""
     if by:
         return rows.join(stats, list(by))
-    one = F.lit(1).alias("__one")
-    # One row by construction.
-    return rows.select("*", one).join(F.broadcast(stats.select("*", one)), "__one").drop("__one")
+    one = rows.withColumn("__stats", stats.select(F.struct("*")).scalar())
+    return one.select(*rows.columns, *[F.col(f"__stats.{c}").alias(c) for c in stats.columns])
 
 
 def throughput(df: DataFrame, seconds: str, by: Sequence[str] = (), size_bytes: str | None = None) -> DataFrame:

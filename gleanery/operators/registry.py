@@ -53,7 +53,7 @@ def run_extractor(name: str, pages: DataFrame) -> DataFrame:
 
 def register_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
     """Offer a per-page handler class (``eval`` yielding rows) to SQL as a table function."""
-    spark.udtf.register(name, F.udtf(handler, returnType=returns))
+    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
 
 
 def register_metric(name: str, kind: str, labels: Sequence[str] = (), buckets: Sequence[float] = ()) -> None:
