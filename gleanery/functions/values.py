@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UUID_PATTERN = r"^\{?(urn:uuid:)?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
 
 
+def moment(value) -> Column:
+    """A literal; datetimes without a zone are UTC, whatever the driver's own zone."""
+    if not isinstance(value, datetime):
+        return F.lit(value)
+    return F.timestamp_micros(F.lit(round(utc(value).timestamp() * 1_000_000)))
+
+
+def utc(value: datetime) -> datetime:
+    return value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+
+
 def stable_id(*parts: Column) -> Column:
     """A repeatable text id: sha256 over the natural key, unlike ``uuid()``."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

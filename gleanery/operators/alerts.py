@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.functions.values import epoch_seconds
+from gleanery.functions.values import epoch_seconds, utc
 
 # Labels that make up a notification group.
 GROUP_LABELS = ("alertname", "cluster", "service")
@@ -103,7 +103,7 @@ def group_alerts(alerts: DataFrame, until: datetime, fingerprint: str = "fingerp
     tick = F.greatest(F.lit(0), F.ceil((F.col("joined") - flush_0) / F.lit(interval)))
     flushes = placed.groupBy(*routed.columns, tick.alias("tick")).agg(F.sum("n").alias("new_members"))
 
-    end = int(until.timestamp())
+    end = int(utc(until).timestamp())
     order = Window.partitionBy(*labels).orderBy("tick")
     last_tick = F.floor((F.lit(end) - flush_0) / F.lit(interval))
     next_tick = F.least(F.coalesce(F.lead("tick").over(order), last_tick + 1), last_tick + 1)

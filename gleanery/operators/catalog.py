@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import text as tx
-from gleanery.functions.values import iso_time, key_fraction, url_host
+from gleanery.functions.values import iso_time, key_fraction, moment, url_host
 from gleanery.operators.validation import MAX_OBJECT_BYTES, TRANSITIONS, Rule, validate
 from gleanery.plans import slices
 
@@ -88,9 +88,9 @@ def filter_logs(
     if level is not None:
         df = df.filter(F.col("level") == level)
     if since is not None:
-        df = df.filter(F.col("ts") >= F.lit(since))
+        df = df.filter(F.col("ts") >= moment(since))
     if now is not None:
-        df = df.filter(F.col("ts") >= F.lit(now) - F.expr(f"INTERVAL {int(keep_days)} DAYS"))
+        df = df.filter(F.col("ts") >= moment(now) - F.expr(f"INTERVAL {int(keep_days)} DAYS"))
     if contains is not None:
         df = df.filter(F.col("message").contains(contains))
     return df
@@ -297,7 +297,7 @@ def expire(objects: DataFrame, now: datetime, kind: str = "class", created: str
     age = F.lit(default_days)
     for name, limit in days.items():
         age = F.when(F.col(kind) == name, F.lit(limit)).otherwise(age)
-    cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(age)
+    cutoff = moment(now) - F.make_dt_interval(age)
     return objects.withColumn("expired", F.col(created).cast("timestamp") < cutoff)
 
 
@@ -335,7 +335,7 @@ def apply_status(tasks: DataFrame, updates: DataFrame, now: datetime) -> tuple[D
     ok = may_move(F.col("status"), F.col("wanted"))
     state = moved.withColumns(
         {
-            "updated_at": F.when(ok, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")),
+            "updated_at": F.when(ok, moment(now)).otherwise(F.col("updated_at")),
             "status": F.when(ok, F.col("wanted")).otherwise(F.col("status")),
         }
     ).drop("wanted")
@@ -361,7 +361,7 @@ def merge_config(sources: DataFrame, updates: DataFrame, rules: Sequence[Rule],
     return trial.withColumns(
         {
             "configuration": F.when(accepted, F.col("configuration")).otherwise(F.col("__old")),
-            "updated_at": F.when(accepted, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")),
+            "updated_at": F.when(accepted, moment(now)).otherwise(F.col("updated_at")),
             "errors": F.when(F.col("changes").isNotNull(), F.col("errors")),
         }
     ).drop("__old", "changes")
@@ -388,8 +388,8 @@ def list_by_type(tasks: DataFrame, kind: str, limit: int = 100, cursor: tuple |
 def _newest(tasks: DataFrame, limit: int, cursor: tuple | None) -> DataFrame:
     if cursor is not None:
         created, task_id = cursor
-        older = F.col("created_at") < F.lit(created)
-        tasks = tasks.filter(older | ((F.col("created_at") == F.lit(created)) & (F.col("id") > F.lit(task_id))))
+        older = F.col("created_at") < moment(created)
+        tasks = tasks.filter(older | ((F.col("created_at") == moment(created)) & (F.col("id") > F.lit(task_id))))
     return tasks.orderBy(F.col("created_at").desc(), "id").limit(_check_size(limit))
 
 
@@ -422,8 +422,8 @@ def page_keyset(df: DataFrame, key: str, id_col: str, after: tuple | None, size:
     """The page after ``after = (key, id)``, with ``next_key, next_id``: null unless the page is full."""
     _check_size(size)
     if after is not None:
-        past = F.col(key) > F.lit(after[0])
-        df = df.filter(past | ((F.col(key) == F.lit(after[0])) & (F.col(id_col) > F.lit(after[1]))))
+        past = F.col(key) > moment(after[0])
+        df = df.filter(past | ((F.col(key) == moment(after[0])) & (F.col(id_col) > F.lit(after[1]))))
     # At most MAX_PAGE_SIZE rows reach the un-keyed window.
     page = df.orderBy(key, id_col).limit(size)
     whole = Window.orderBy(key, id_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -438,7 +438,7 @@ def page_keyset(df: DataFrame, key: str, id_col: str, after: tuple | None, size:
 
 def due_tasks(tasks: DataFrame, now: datetime, kind: str | None = None) -> DataFrame:
     """Pending tasks that may run now, oldest first."""
-    ready = F.col("scheduled_at").isNull() | (F.col("scheduled_at") <= F.lit(now).cast("timestamp"))
+    ready = F.col("scheduled_at").isNull() | (F.col("scheduled_at") <= moment(now))
     due = tasks.filter((F.col("status") == "pending") & ready)
     if kind is not None:
         due = due.filter(F.col("type") == kind)

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from gleanery.functions.values import moment
 from gleanery.operators import alerts, catalog, integrity, metrics
 from gleanery.operators.validation import source_rules
 from gleanery.queries import query
@@ -160,7 +161,7 @@ def _sources(spark, sf):
         F.create_map(F.when(scrape, F.lit("api_key")).otherwise(F.lit("service_account")), F.lit("x")).alias("credentials"),
         F.create_map(F.when(scrape, F.lit("base_url")).otherwise(F.lit("output_format")), F.lit("old")).alias("configuration"),
         F.create_map(F.lit("content_type"), F.lit("text/html")).alias("metadata"),
-        F.lit(datetime(2000, 1, 1)).alias("updated_at"),
+        moment(datetime(2000, 1, 1)).alias("updated_at"),
         F.col("s_acctbal").alias("balance"),
     )
 

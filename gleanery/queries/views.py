@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.values import moment
 from gleanery.plans.spread import spread
 from gleanery.session import configure
 
@@ -126,7 +127,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("text/"), F.col("lang")).alias("content_type"),
         kind.alias("class"),
         F.col("n_chars").alias("size_bytes"),
-        F.timestamp_seconds(F.unix_seconds(F.lit(datetime(2000, 10, 25))) + F.col("n_chars") * 3600).alias("created_at"),
+        F.timestamp_seconds(F.unix_seconds(moment(datetime(2000, 10, 25))) + F.col("n_chars") * 3600).alias("created_at"),
         F.col("text"),
     )
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions.values import stable_id
+from gleanery.functions.values import moment, stable_id
 
 # The columns of a task listing.
 LISTING_COLUMNS = ("id", "type", "status", "created_at")
@@ -43,9 +43,9 @@ def stored_content(df: DataFrame, object_id: str, kind: str, root: str, processe
     return df.select(
         identity.alias("id"),
         body.alias("content"),
-        F.concat(F.lit(root.rstrip("/") + "/"), F.date_format(F.lit(processed_at), "yyyy/MM/dd"), F.lit("/"), identity).alias("storage_path"),
+        F.concat(F.lit(root.rstrip("/") + "/"), F.date_format(moment(processed_at), "yyyy/MM/dd"), F.lit("/"), identity).alias("storage_path"),
         content_type.alias("content_type"),
-        F.lit(processed_at).cast("timestamp").alias("processed_at"),
+        moment(processed_at).alias("processed_at"),
         F.col(kind).alias("pipeline_type"),
         tables.alias("table_count"),
         F.lit(rules).alias("validation_rules"),

@@ -1,7 +1,7 @@
 """Sequential operators against brute force, and streams against their batch twins."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,5 +213,5 @@ def test_group_alerts(spark):
         F.lit("A").alias("alertname"), F.lit(None).cast("string").alias("cluster"), F.lit("s").alias("service"), "severity", "fingerprint", F.timestamp_seconds("t").alias("ts")
     )
     until = 1_700_000_000 + 120_000
-    got = alerts.group_alerts(df, datetime.fromtimestamp(until)).collect()
+    got = alerts.group_alerts(df, datetime.fromtimestamp(until, timezone.utc)).collect()
     assert sorted((r.severity, r.notify_at, r.members, r.reason) for r in got) == notifications(rows, until)
