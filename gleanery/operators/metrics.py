@@ -86,30 +86,41 @@ def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = (), cou
     return placed.groupBy(*by).agg(F.min_by(F.when(hit, value), F.when(hit, F.col("le"))).alias("quantile"))
 
 
+def bucket_counts(value: str, buckets: Sequence[float]) -> dict[str, Column]:
+    """Indicators to be summed per group: one per bucket bound, and the total."""
+    bounds = [float(b) for b in buckets]
+    if bounds != sorted(bounds):
+        raise ValueError("bucket bounds must ascend")
+    one = lambda condition: F.when(condition, F.lit(1)).otherwise(F.lit(0))
+    counts = {f"__le_{i}": one(F.col(value) <= b) for i, b in enumerate(bounds)}
+    return counts | {"__total": one(F.col(value).isNotNull())}
+
+
+def quantile_of_counts(buckets: Sequence[float], q: float) -> Column:
+    """The quantile of a row holding the sums of :func:`bucket_counts`."""
+    if not 0 <= q <= 1:
+        raise ValueError("q must lie in [0, 1]")
+    rank = F.col("__total") * F.lit(float(q))
+    low, below = 0.0, F.lit(0)
+    steps = []
+    for i, bound in enumerate(map(float, buckets)):
+        upto = F.col(f"__le_{i}")
+        steps.append((upto >= rank, F.lit(low) + F.lit(bound - low) * F.try_divide(rank - below, upto - below)))
+        low, below = bound, upto
+    value = F.lit(low)
+    for reached, inside in reversed(steps):
+        value = F.when(reached, inside).otherwise(value)
+    return F.when(rank > 0, value)
+
+
 def duration_quantile(df: DataFrame, value: str, buckets: Sequence[float], q: float, by: Sequence[str] = ()) -> DataFrame:
     """``histogram_quantile`` of ``duration_histogram`` in one aggregation.
 
     The bucket counts of a group stay side by side in its row, so nothing is laid
     out per bound, shuffled again or ordered.
     """
-    if not 0 <= q <= 1:
-        raise ValueError("q must lie in [0, 1]")
-    bounds = [float(b) for b in buckets]
-    if bounds != sorted(bounds):
-        raise ValueError("bucket bounds must ascend")
-    names = [f"__{i}" for i in range(len(bounds))]
-    counts = df.groupBy(*by).agg(
-        *[F.count_if(F.col(value) <= b).cast("double").alias(n) for n, b in zip(names, bounds)],
-        F.count(value).cast("double").alias("__total"),
-    )
-    rank = F.col("__total") * F.lit(float(q))
-    found = F.when(F.col("__total") >= rank, F.lit(bounds[-1] if bounds else 0.0))
-    low, below = [0.0, *bounds], [F.lit(0.0), *map(F.col, names)]
-    for i in reversed(range(len(bounds))):
-        share = F.try_divide(rank - below[i], F.col(names[i]) - below[i])
-        inside = F.lit(low[i]) + F.lit(bounds[i] - low[i]) * share
-        found = F.when(F.col(names[i]) >= rank, inside).otherwise(found)
-    return counts.select(*by, F.when(rank > 0, found).alias("quantile"))
+    counts = df.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in bucket_counts(value, buckets).items()])
+    return counts.select(*by, quantile_of_counts(buckets, q).alias("quantile"))
 
 
 def processing_summary(df: DataFrame, by: Sequence[str], status: str, seconds: str, memory: str, quality: str) -> DataFrame:

@@ -72,7 +72,7 @@ _HIST = _histogram_sql("slid", "seconds", API_BUCKETS, "start_s, endpoint")
         SELECT {_START}, endpoint, quantile FROM q""",
 )
 def window_p95(spark, sf):
-    p = jobs.window_p95(requests(spark, sf), ["endpoint"], "seconds", width="60 minutes", slide="15 minutes")
+    p = jobs.window_p95(requests(spark, sf), ["endpoint"], "seconds", width=3600, slide=900)
     return rounded(_opened(p), "quantile")
 
 

@@ -6,13 +6,13 @@ batch frame the watermark is ignored and all windows are emitted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import mask_map, mask_text
-from gleanery.operators.metrics import API_BUCKETS, SLA_SECONDS, duration_quantile
+from gleanery.operators.metrics import API_BUCKETS, SLA_SECONDS, bucket_counts, quantile_of_counts
 
 LATENESS = "10 minutes"
 
@@ -23,6 +23,29 @@ def with_event_time(df: DataFrame, ts: str = "ts", lateness: str = LATENESS) ->
     return df.withWatermark(ts, lateness) if df.isStreaming else df
 
 
+def sliding_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], width: int, slide: int) -> DataFrame:
+    """Sums per sliding window of ``width`` seconds every ``slide``, as ``window`` rows.
+
+    On a batch frame rows are first summed per pane of one slide and only the
+    panes are copied into the windows that hold them; a stream keeps one state
+    per window instead, which lets it run in every output mode.
+    """
+    if width % slide:
+        raise ValueError("the width must be a multiple of the slide")
+    totals = [F.sum(c).alias(n) for n, c in sums.items()]
+    timed = with_event_time(df)
+    if df.isStreaming:
+        return timed.groupBy(F.window("ts", f"{width} seconds", f"{slide} seconds"), *by).agg(*totals)
+    pane = F.floor(F.unix_seconds("ts") / F.lit(slide)) * F.lit(slide)
+    panes = timed.groupBy(pane.alias("__pane"), *by).agg(*totals)
+    starts = F.sequence(F.col("__pane") - F.lit(width - slide), F.col("__pane"), F.lit(slide))
+    copied = panes.withColumn("__start", F.explode(starts))
+    window = F.struct(F.timestamp_seconds("__start").alias("start"), F.timestamp_seconds(F.col("__start") + width).alias("end"))
+    return (
+        copied.groupBy("__start", *by).agg(*[F.sum(n).alias(n) for n in sums]).select(window.alias("window"), *by, *sums)
+    )
+
+
 def stream_dedupe(df: DataFrame, keys: Sequence[str], ttl: str = "300 seconds", ts: str = "ts") -> DataFrame:
     """First event per key, forgotten after ``ttl``; state is dropped by the watermark.
 
@@ -52,10 +75,10 @@ def stream_rates(df: DataFrame, by: Sequence[str], seconds: str, failed: Column,
     )
 
 
-def window_p95(df: DataFrame, by: Sequence[str], seconds: str, buckets: Sequence[float] = API_BUCKETS, width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+def window_p95(df: DataFrame, by: Sequence[str], seconds: str, buckets: Sequence[float] = API_BUCKETS, width: int = 300, slide: int = 60) -> DataFrame:
     """The latency rule: 0.95 quantile by bucket counts per sliding window."""
-    timed = with_event_time(df).withColumn("window", F.window("ts", width, slide))
-    return duration_quantile(timed, seconds, buckets, 0.95, ["window", *by])
+    counts = sliding_sums(df, by, bucket_counts(seconds, buckets), width, slide)
+    return counts.select("window", *by, quantile_of_counts(buckets, 0.95).alias("quantile"))
 
 
 def latest_status(df: DataFrame, key: str = "id", status: str = "status", ts: str = "ts", tie: str = "seq") -> DataFrame:
@@ -64,11 +87,12 @@ def latest_status(df: DataFrame, key: str = "id", status: str = "status", ts: st
     return df.groupBy(key).agg(F.max_by(status, order).alias("status"), F.max(F.col(ts).cast("timestamp")).alias("updated_at"))
 
 
-def availability(df: DataFrame, by: Sequence[str], up: Column, width: str = "24 hours", slide: str = "1 hour", minimum: float = 0.999) -> DataFrame:
-    """Mean of ``up`` (0/1) per sliding window, and whether it alerts."""
-    timed = with_event_time(df)
-    ratio = F.avg(up.cast("double"))
-    return timed.groupBy(F.window("ts", width, slide), *by).agg(ratio.alias("availability"), (ratio < minimum).alias("alert"))
+def availability(df: DataFrame, by: Sequence[str], up: Column, width: int = 86_400, slide: int = 3600, minimum: float = 0.999) -> DataFrame:
+    """Mean of ``up`` (true or false) per sliding window, and whether it alerts."""
+    known = F.when(up.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    counts = sliding_sums(df, by, {"__up": F.when(up, F.lit(1)).otherwise(F.lit(0)), "__known": known}, width, slide)
+    ratio = F.try_divide("__up", "__known")
+    return counts.select("window", *by, ratio.alias("availability"), (ratio < minimum).alias("alert"))
 
 
 def sla_breaches(executions: DataFrame, seconds: str = "seconds", limit: float = SLA_SECONDS) -> DataFrame:

@@ -132,7 +132,7 @@ def test_latest_status_stream_equals_batch(arriving, frame, tmp_path):
 
 
 def test_availability_and_spikes_run_as_streams(arriving, frame, tmp_path):
-    build = lambda df: jobs.availability(df, ["client"], ~F.col("failed"), "10 minutes", "5 minutes")
+    build = lambda df: jobs.availability(df, ["client"], ~F.col("failed"), 600, 300)
     got = run(build(arriving), tmp_path, "complete").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, build(frame).collect()))
 
