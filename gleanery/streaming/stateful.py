@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from gleanery.functions.values import epoch_seconds
+from gleanery.operators.alerts import GROUP_INTERVAL, GROUP_LABELS, route_alerts
 
 # The default limits.
 MAX_REQUESTS = 1000
@@ -269,3 +270,75 @@ def breaker_stream(outcomes: DataFrame, key: str, ts: str, tie: str, failed: Col
         outputMode="append",
         timeMode="none",
     )
+
+
+class _Notifier(StatefulProcessor):
+    """One notification group: who is in it, who was announced, when it flushes next."""
+
+    def __init__(self, interval: int) -> None:
+        self.interval = interval
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getMapState("members", "fingerprint string", "joined bigint")
+        self.group = handle.getValueState(
+            "group", "waiting array<bigint>, announced bigint, last_sent bigint, repeat_interval bigint, receiver string, dedup_key string"
+        )
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _in_order(rows, ["second", "fingerprint"])
+        state = self.group.get()
+        waiting, announced, last_sent = (list(state[0]), state[1], state[2]) if state else ([], 0, 0)
+        for row in pdf.itertuples(index=False):
+            if self.members.containsKey((row.fingerprint,)):
+                continue
+            self.members.updateValue((row.fingerprint,), (int(row.second),))
+            waiting.append(int(row.second))
+            if state is None and len(waiting) == 1:
+                self.handle.registerTimer((int(row.second) + int(row.group_wait)) * 1000)
+        first = pdf.iloc[0]
+        self.group.update((waiting, announced, last_sent, int(first.repeat_interval), first.receiver, first.dedup_key))
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        waiting, announced, last_sent, repeat, receiver, dedup_key = self.group.get()
+        waiting, flush = sorted(waiting), expiredTimerInfo.getExpiryTimeInMs() // 1000
+        watermark = timerValues.getCurrentWatermarkInMs() // 1000
+        sent = []
+        while flush <= watermark:
+            joined = sum(1 for second in waiting if second <= flush)
+            waiting = waiting[joined:]
+            if joined or flush - last_sent >= repeat:
+                announced, last_sent = announced + joined, flush
+                sent.append((receiver, dedup_key, flush, announced, joined, "new" if joined else "repeat"))
+            flush += self.interval
+        self.handle.registerTimer(flush * 1000)
+        self.group.update((waiting, announced, last_sent, repeat, receiver, dedup_key))
+        yield self._rows(key, sent)
+
+    @staticmethod
+    def _rows(key, sent):
+        import pandas as pd
+
+        columns = [*GROUP_LABELS, "severity", "receiver", "dedup_key", "notify_at", "members", "new_members", "reason"]
+        return pd.DataFrame([(*key, *row) for row in sent], columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
+def group_alerts_stream(alerts: DataFrame, lateness: str = "1 minute", interval: int = GROUP_INTERVAL) -> DataFrame:
+    """Notifications of ``operators.alerts.group_alerts`` as the watermark passes their time.
+
+    ``alerts`` is ``(alertname, cluster, service, severity, fingerprint, ts)`` in
+    about time order. Needs the RocksDB state store.
+    """
+    timed = alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    routed = route_alerts(timed).withColumn("second", epoch_seconds(F.col("ts")))
+    labels = ", ".join(f"{c} string" for c in (*GROUP_LABELS, "severity"))
+    return routed.groupBy(*GROUP_LABELS, "severity").transformWithStateInPandas(
+        _Notifier(interval),
+        outputStructType=f"{labels}, receiver string, dedup_key string, notify_at long, members long, new_members long, reason string",
+        outputMode="append",
+        timeMode="eventTime",
+    )

@@ -215,3 +215,25 @@ def test_group_alerts(spark):
     until = 1_700_000_000 + 120_000
     got = alerts.group_alerts(df, datetime.fromtimestamp(until, timezone.utc)).collect()
     assert sorted((r.severity, r.notify_at, r.members, r.reason) for r in got) == notifications(rows, until)
+
+
+def test_group_alerts_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    start = 1_700_000_000
+    rows = sorted((start + rng.randrange(30_000), rng.choice(["critical", "warning"]), f"m{rng.randrange(9)}") for _ in range(60))
+    schema = "t long, severity string, fingerprint string"
+    path = str(tmp_path / "in")
+    for chunk in (rows[:20], rows[20:40], rows[40:], [(start + 60_000, "other", "x")], [(start + 60_001, "other", "x")]):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def labelled(df):
+        return df.select(
+            F.lit("A").alias("alertname"), F.lit("c").alias("cluster"), F.lit("s").alias("service"), "severity", "fingerprint", F.timestamp_seconds("t").alias("ts")
+        )
+
+    stream = labelled(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    got = run(stateful.group_alerts_stream(stream), tmp_path)
+    want = alerts.group_alerts(labelled(spark.read.parquet(path)), datetime.fromtimestamp(start + 59_940, timezone.utc))
+    columns = [c for c in sorted(want.columns)]
+    pick = lambda df: sorted(map(repr, df.filter("severity <> 'other'").select(columns).collect()))
+    assert pick(got) == pick(want) != []
