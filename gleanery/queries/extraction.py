@@ -31,7 +31,18 @@ def extract_selectors(spark, sf):
     return extract.extract_selectors(wide_table(spark, sf, "pages"), {"title": "title", "heading": "h1", "link": "a"})
 
 
-@query("c03_extract_paragraphs")
+_PIECES = "list_slice(string_split(html, '<p>'), 2, len(string_split(html, '<p>')))"
+_INNER = "regexp_replace(regexp_extract(piece, '(?s)^(.*?)(</p>|</article>|<ul>|<div|<h[1-6]>|$)', 1), '<[^>]*>', '', 'g')"
+
+
+@query(
+    "c03_extract_paragraphs",
+    f"""WITH p AS (SELECT page_id, unnest({_PIECES}) AS piece, unnest(range(len({_PIECES}))) AS i FROM pages),
+        a AS (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) AS piece,
+                     unnest(range(len(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)))) AS i FROM pages),
+        m AS (SELECT page_id, 'paragraph' AS name, i, {_INNER} AS value FROM p UNION ALL SELECT page_id, 'ad', i, piece FROM a)
+        SELECT CAST(page_id AS VARCHAR) AS page_id, name, CAST(i AS INTEGER) AS match_idx, {clean_sql(_DECODE.format(c='value'))} AS value FROM m""",
+)
 def extract_paragraphs(spark, sf):
     return extract.extract_selectors(wide_table(spark, sf, "pages"), {"paragraph": "p", "ad": ".ad"})
 

@@ -76,14 +76,47 @@ def window_p95(spark, sf):
     return rounded(_opened(p), "quantile")
 
 
-@query("h04_rate_limit")
+# With a limit of two, the two latest admissions decide: a request passes when
+# the older of them has left the window.
+_LATER = "w.a2 IS NULL OR w.a2 <= r.second - 43200"
+
+
+@query(
+    "h04_rate_limit",
+    f"""WITH RECURSIVE {REQUESTS}, r AS (SELECT request_id, client, second, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS n FROM requests),
+        walk AS (
+          SELECT request_id, client, second, n, true AS allowed, CAST(1 AS BIGINT) AS remaining, CAST(NULL AS BIGINT) AS retry_after,
+                 second AS a1, CAST(NULL AS BIGINT) AS a2 FROM r WHERE n = 1
+          UNION ALL
+          SELECT r.request_id, r.client, r.second, r.n, {_LATER},
+                 CASE WHEN ({_LATER}) AND w.a1 <= r.second - 43200 THEN 1 ELSE 0 END,
+                 CASE WHEN NOT ({_LATER}) THEN w.a2 + 43200 - r.second END,
+                 CASE WHEN {_LATER} THEN r.second ELSE w.a1 END, CASE WHEN {_LATER} THEN w.a1 ELSE w.a2 END
+          FROM walk w JOIN r ON r.client = w.client AND r.n = w.n + 1)
+        SELECT request_id, client, allowed, remaining, retry_after FROM walk""",
+)
 def rate_limit(spark, sf):
     r = requests(spark, sf).select("request_id", "client", "ts")
     out = stateful.rate_limit(r, "client", "ts", "request_id", 2, 43_200)
     return out.select("request_id", "client", "allowed", "remaining", "retry_after")
 
 
-@query("h06_breaker_intervals")
+_FAILURES = "CASE WHEN r.second < w.until THEN w.failures WHEN r.bad THEN w.failures + 1 ELSE 0 END"
+_OPENS = f"r.second >= w.until AND {_FAILURES} >= 5"
+
+
+@query(
+    "h06_breaker_intervals",
+    f"""WITH RECURSIVE r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, value < 60 AS bad,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        walk AS (
+          SELECT user_id, second, n, CAST(bad AS BIGINT) AS failures, CAST(0 AS BIGINT) AS until, false AS opened FROM r WHERE n = 1
+          UNION ALL
+          SELECT r.user_id, r.second, r.n, CASE WHEN {_OPENS} THEN 0 ELSE {_FAILURES} END,
+                 CASE WHEN {_OPENS} THEN r.second + 86400 ELSE w.until END, {_OPENS}
+          FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+        SELECT user_id, second AS opened_at, second + 86400 AS closes_at FROM walk WHERE opened""",
+)
 def breaker_intervals(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     return stateful.breaker_intervals(e, "user_id", "ts", "event_id", F.col("value") < 60, 5, 86_400)
