@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.functions import text as tx
 from gleanery.functions.values import iso_time, key_fraction, moment, url_host
 from gleanery.operators.validation import MAX_OBJECT_BYTES, TRANSITIONS, Rule, validate
 from gleanery.plans import slices

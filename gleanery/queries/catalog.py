@@ -12,11 +12,9 @@ from gleanery.queries.views import (
     EXECUTIONS,
     NOW,
     OBJECTS,
-    REQUESTS,
     TASKS,
     executions,
     objects,
-    requests,
     sql_time,
     table,
     tasks,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import alerts, metrics
 from gleanery.plans import journeys
 from gleanery.queries import query
-from gleanery.queries.views import EXECUTIONS, REQUESTS, TASKS, executions, requests, sql_time, table, tasks, time_text
+from gleanery.queries.views import EXECUTIONS, REQUESTS, TASKS, executions, requests, table, tasks
 
 
 def rounded(df, *columns, digits: int = 6):

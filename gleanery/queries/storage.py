@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gleanery.queries import query
 from gleanery.queries.cleaning import mask_sql
-from gleanery.queries.views import EXECUTIONS, OBJECTS, TASKS, executions, objects, table, tasks, time_text
+from gleanery.queries.views import EXECUTIONS, TASKS, executions, table, tasks, time_text
 from gleanery.session import configure, scratch_path
 from gleanery.sources import readers, writers
 from gleanery.streaming import jobs, routing
