@@ -95,8 +95,8 @@ def is_blank(text: Column) -> Column:
 
 def noise_ratio(text: Column, chars: str = NOISE_CHARS) -> Column:
     """Share of ``chars`` in the text; null for an empty text."""
-    kept = F.length(F.translate(text, chars, ""))
-    return F.try_divide(F.length(text) - kept, F.length(text))
+    found = F.regexp_count(text, F.lit("[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"))
+    return F.try_divide(found, F.length(text))
 
 
 def mask_text(text: Column) -> Column:

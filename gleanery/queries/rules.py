@@ -16,6 +16,7 @@ from gleanery.queries.views import (
     rule_counts_sql,
     table,
     tasks,
+    wide_table,
 )
 
 
@@ -386,7 +387,7 @@ def _doc_rules():
 
 @query("b14_split_valid_accepted", f"SELECT doc_id, source FROM ({_DOC_ERRORS}) WHERE details = ''")
 def split_valid_accepted(spark, sf):
-    accepted, _ = v.split_valid(table(spark, sf, "documents"), _doc_rules())
+    accepted, _ = v.split_valid(wide_table(spark, sf, "documents"), _doc_rules())
     return accepted.select("doc_id", "source")
 
 
@@ -395,7 +396,7 @@ def split_valid_accepted(spark, sf):
     f"SELECT doc_id, 'failed' AS status, split_part(details, ',', 1) AS error, details FROM ({_DOC_ERRORS}) WHERE details <> ''",
 )
 def split_valid_quarantine(spark, sf):
-    _, quarantine = v.split_valid(table(spark, sf, "documents"), _doc_rules())
+    _, quarantine = v.split_valid(wide_table(spark, sf, "documents"), _doc_rules())
     return quarantine.select("doc_id", "status", "error", F.array_join("details", ",").alias("details"))
 
 
@@ -404,7 +405,7 @@ def split_valid_quarantine(spark, sf):
     f"SELECT doc_id, (n_chars % 100) / 100 >= 0.85 AND trim(text) <> '' AND {_NOISE} <= 0.1 AS passed FROM documents",
 )
 def ocr_quality(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("confidence", F.pmod("n_chars", F.lit(100)) / 100)
+    docs = wide_table(spark, sf, "documents").withColumn("confidence", F.pmod("n_chars", F.lit(100)) / 100)
     return v.ocr_quality(docs, "text", "confidence").select("doc_id", "passed")
 
 
