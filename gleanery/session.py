@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +27,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only on a local master, where driver and
-    executors are one machine; a cluster without the setting is an error.
+    Where the setting is absent, a folder beside the session's tables is used: the
+    warehouse is the one other place that the driver and all executors see alike.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,3 +48,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for intermediate tables."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, but is compressed, is read by column, and has a
+    size that Spark knows when it plans a join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove one folder made by ``scratch_path`` when nothing will read it again."""
+    base = checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(f"{base}/") or ".." in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
