@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, exact_dedup, mixing, rules, sharding, warc
+from gleanery.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, warc
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query(
     "op4_mixing",
     r"""
@@ -83,6 +88,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+@query("op8_fuzzy_lines")
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_exact_dedup",
     r"""
