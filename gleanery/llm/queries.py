@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, warc
+from gleanery.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, substrings, warc
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op9_repeated_substrings")
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_exact_dedup",
     r"""

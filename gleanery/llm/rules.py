@@ -49,8 +49,8 @@ class Measure:
 REACH = 3
 MEASURES = (
     Measure("symbols", "n_symbols * 10000 div greatest(word_chars, 1)", 500),
-    Measure("dup_lines", "n_dup_lines * 10000 div greatest(n_lines, 1)", 3000),
-    Measure("repeats", "n_repeat_words * 10000 div greatest(n_words, 1)", 1000),
+    Measure("dup_lines", "n_dup_lines * 10000 div greatest(n_lines, 1)", 5000),
+    Measure("repeats", "n_repeat_words * 10000 div greatest(n_words, 1)", 1700),
     Measure("capitals", "n_capitals * 10000 div greatest(word_chars, 1)", 2000),
     Measure("length", "word_chars * 100 div greatest(n_words, 1)", 150, both=True),
 )

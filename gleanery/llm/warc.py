@@ -121,6 +121,20 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", full)
 
 
+def _samples(pages: DataFrame) -> list[bytes]:
+    """At most SAMPLE_RECORDS records of at most SAMPLE_BYTES, chosen by a hash of their id.
+
+    Ids are chosen first, so that nothing but ids is compared over all pages.
+    """
+    small = pages.filter(F.octet_length(whole("html")).between(1, SAMPLE_BYTES) & F.col("page_id").isNotNull())
+    ids = small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS).collect()
+    if not ids:
+        return []
+    chosen = small.filter(F.col("page_id").isin([r.page_id for r in ids])).select("page_id", "url", "html").limit(SAMPLE_RECORDS)
+    rows = sorted(chosen.collect(), key=lambda r: (r.page_id, r.html))
+    return [record(str(r.page_id), r.url, r.html.encode(), None) for r in rows]
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write one archive per task and return (archive, n_records, n_bytes), already written.
 
@@ -133,14 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     short_batches(spark)
     root = _qualified(spark, folder or scratch_path(spark, "archives"))
     ready = _roles(pages, least_bytes)
-    chosen = (
-        pages.filter(F.octet_length(whole("html")).between(1, SAMPLE_BYTES))
-        .select("page_id", "url", "html")
-        .orderBy(F.xxhash64("page_id", "url"), "page_id", "url")
-        .limit(SAMPLE_RECORDS)
-    )
-    samples = [record(str(r.page_id), r.url, r.html.encode(), None) for r in chosen.collect()]
-    dictionary = build_dictionary(samples)
+    dictionary = build_dictionary(_samples(pages))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
