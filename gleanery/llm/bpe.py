@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gleanery.llm.common import required, short_batches
+from gleanery.llm.common import required, short_batches, without
 
 #: Distinct pieces remembered by a worker; the memory they take is bounded by it.
 REMEMBERED = 400_000
@@ -126,33 +126,30 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _with(df: DataFrame, added: list[T.StructField]) -> T.StructType:
-    names = {f.name.lower() for f in df.schema.fields}
-    if clash := [f.name for f in added if f.name.lower() in names]:
-        raise ValueError(f"columns {clash} are already there")
-    return T.StructType([*df.schema.fields, *added])
-
-
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Add ``ids``, ``starts`` and ``ends`` (character offsets of each token).
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """Add ``ids`` and, with ``offsets``, the ``starts`` and ``ends`` of each token in characters.
 
     Whole texts are encoded; null gives null lists and the empty text empty ones. Other
-    columns are carried. Work is per row: repeated rows give equal results.
+    columns are carried, but those of the added names are replaced. Work is per row:
+    repeated rows give equal results.
     """
     required(df, text_col)
     short_batches(df.sparkSession)
-    lists = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "starts", "ends")]
-    schema = _with(df, lists)
+    added = ["ids", "starts", "ends"] if offsets else ["ids"]
+    df = without(df, *added)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in added]])
+    column = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            ids = own.encode_batch(t or "" for t in texts)
-            spans = [own.offsets(t or "", i) for t, i in zip(texts, ids)]
-            columns = [ids, [s for s, _ in spans], [e for _, e in spans]]
+            texts = batch.column(column).to_pylist()
+            columns = [own.encode_batch(t or "" for t in texts)]
+            if offsets:
+                spans = [own.offsets(t or "", i) for t, i in zip(texts, columns[0])]
+                columns += [[s for s, _ in spans], [e for _, e in spans]]
             made = [pa.array([None if t is None else v for t, v in zip(texts, c)], pa.list_(pa.int32())) for c in columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -161,20 +158,24 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
     """Add ``decoded`` (the bytes) and ``decoded_text`` (those bytes as UTF-8).
 
     Incomplete characters at the ends of a cut list of ids read as U+FFFD in the text;
-    the bytes are exact. A null list gives nulls.
+    the bytes are exact. A null list gives nulls, an id outside the vocabulary is an
+    error. Columns of the two added names are replaced.
     """
     required(df, ids_col)
     short_batches(df.sparkSession)
-    schema = _with(df, [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())])
+    df = without(df, "decoded", "decoded_text")
+    added = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
+    schema = T.StructType([*df.schema.fields, *added])
+    column = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
+            lists = batch.column(column).to_pylist()
             data = [None if ids is None else own.decode_bytes(np.array(ids, np.int64)) for ids in lists]
             texts = [None if b is None else b.decode("utf-8", "replace") for b in data]
             made = [pa.array(data, pa.binary()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

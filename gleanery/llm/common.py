@@ -23,6 +23,15 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def filtered_scans(spark: SparkSession) -> None:
+    """Let Spark filter any scan by the keys it is to be joined with, before it is shuffled.
+
+    This is Spark's own runtime Bloom filter; by default it looks at large scans only.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever its other columns are called."""
     taken = {c.lower() for c in df.columns}
@@ -33,10 +42,16 @@ def required(df: DataFrame, *names: str) -> None:
     """Raise when a column is missing or its name is ambiguous."""
     for name in names:
         found = [c for c in df.columns if c.lower() == name.lower()]
-        if len(found) != 1:
+        if found != [name]:
             raise ValueError(f"need exactly one column {name!r}, found {len(found)} in {df.columns}")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns whose names an operator is about to add."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def whole(text: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import fresh, required
+from gleanery.llm.common import fresh, required, without
 from gleanery.session import stored
 
 #: Default target weight of a source: its number of documents to this power.
@@ -85,13 +85,11 @@ def mix(
     Adds ``copy_no`` (1..n_copies), ``n_copies`` and ``position``; rows are dealt to
     partitions and ordered inside them by ``position``, a hash, so ordering the result
     by it is one reproducible shuffle of the whole. Rows with the same id, null
-    included, draw the same count. Text and further columns are carried as they are.
-    An empty table gives no rows.
+    included, draw the same count. Text and further columns are carried as they are,
+    but columns of the three added names are replaced. An empty table gives no rows.
     """
     required(docs, id_col, source_col)
-    for name in ("copy_no", "n_copies", "position"):
-        if name in {c.lower() for c in docs.columns}:
-            raise ValueError(f"column {name!r} is already there")
+    docs = without(docs, "copy_no", "n_copies", "position")
     mine, cdf = fresh(docs, "mix_source"), fresh(docs, "mix_cdf")
     # One row per source, with a measured size: Spark broadcasts it only below its threshold.
     rates = stored(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, substrings, warc
+from gleanery.llm import bpe, classifier, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, substrings, warc
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs))
+
+
 @query("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), width=4, percent=80)
