@@ -52,33 +52,43 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def lists(entries: DataFrame) -> DataFrame:
-    """Entries (key, id) whose key has more than one, with ``n`` items and the least one."""
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1")
-    return stored(entries.join(stored(sizes, "list_sizes"), "key"), "lists")
+    """Entries (key, id, rank, own) whose key may give a pair, with ``n`` items and ``centre``.
+
+    Two items are candidates when one of them is the key's ``own``; by default all are.
+    The centre is the own item with the smallest ``rank``, by default with the least id.
+    """
+    if "own" in entries.columns:
+        first = F.min(F.when(F.col("own"), F.struct("rank", "id")))["id"]
+    else:
+        first = F.min("id")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), first.alias("centre")).filter("n > 1 AND centre IS NOT NULL")
+    near = entries.join(stored(sizes, "list_sizes"), "key")
+    return stored(near if "own" in entries.columns else near.withColumns({"rank": F.lit(0), "own": F.lit(True)}), "lists")
 
 
 def candidates(near: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b: all of a short list, the first centre's of a long one."""
-    short = near.filter(F.col("n") <= SHORT).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    first = short.select("ids", F.posexplode("ids").alias("at", "a"))
-    pairs = first.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SHORT))).alias("b"))
-    star = near.filter((F.col("n") > SHORT) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    return pairs.union(star).distinct()
+    """Distinct pairs (a, b), a < b: all of a short list, the centre's of a long one."""
+    short = near.filter(F.col("n") <= SHORT).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "own"))).alias("items"))
+    first = short.select("items", F.posexplode("items").alias("at", "x"))
+    pairs = first.select("x", F.explode(F.slice("items", F.col("at") + 2, F.lit(SHORT))).alias("y")).filter("x.own OR y.own")
+    star = near.filter((F.col("n") > SHORT) & (F.col("id") != F.col("centre")))
+    star = star.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(star).distinct()
 
 
-def settle(long_lists: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of ``links`` and of all further links within the long lists.
+def settle(near: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of ``links`` and of all further links within the long lists of ``near``.
 
-    ``long_lists`` has (key, id); ``verify`` keeps the true ones of pairs (a, b). Each
-    round takes more centres, so the rounds are few; one that joins a list into a single
-    component ends the work on it.
+    ``verify`` keeps the true ones of pairs (a, b). Each round takes more centres, so the
+    rounds are few; one that joins a list into a single component ends the work on it.
     """
+    long_lists = stored(near.filter(F.col("n") > SHORT).select("key", "id", "rank", "own"), "long_lists")
     groups, done, lots = components(links), None, 1
     if long_lists.isEmpty():
         return groups
     while True:
         placed = long_lists.join(groups, F.col("id") == F.col("node"), "left")
-        placed = stored(placed.select("key", "id", F.coalesce("component", "id").alias("group")), "placed")
+        placed = stored(placed.select("key", "id", "rank", "own", F.coalesce("component", "id").alias("group")), "placed")
         sizes = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
         split = sizes.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("kinds"))
         split = stored(split.filter("kinds > 1").select("key", F.col("top.group").alias("largest")), "split_lists")
@@ -87,14 +97,16 @@ def settle(long_lists: DataFrame, links: DataFrame, verify: Callable[[DataFrame]
         if done is not None:
             untried = untried.join(done, ["key", "id"], "left_anti")
         lot = F.pmod(F.xxhash64("id"), F.lit(lots))
-        centres = untried.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("id", "group")).alias("c"))
-        centres = stored(centres.select("key", F.col("c.id").alias("centre"), F.col("c.group").alias("centre_group")), "centres")
+        centres = untried.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rank", "id", "group", "own")).alias("c"))
+        centres = centres.select("key", *[F.col(f"c.{x}").alias(f"centre_{x}") for x in ("id", "group", "own")])
+        centres = stored(centres, "centres")
         if centres.isEmpty():
             return groups
-        tried = centres.select("key", F.col("centre").alias("id"))
+        tried = centres.select("key", F.col("centre_id").alias("id"))
         done = tried if done is None else stored(done.union(tried), "tried")
-        pairs = open_.join(centres, "key").filter("`group` != centre_group")
-        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        apart = (open_["key"] == centres["key"]) & (F.col("group") != F.col("centre_group")) & (F.col("own") | F.col("centre_own"))
+        pairs = open_.join(centres, apart)
+        pairs = pairs.select(F.least("id", "centre_id").alias("a"), F.greatest("id", "centre_id").alias("b")).distinct()
         more = stored(verify(pairs), "more_links")
         if not more.isEmpty():
             stars = groups.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
