@@ -93,10 +93,14 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~F.regexp_like(text, F.lit(rf"[^{_SPACE}]"))
 
 
+def noise_count(text: Column, chars: str = NOISE_CHARS) -> Column:
+    """Number of ``chars`` in the text."""
+    return F.regexp_count(text, F.lit("[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"))
+
+
 def noise_ratio(text: Column, chars: str = NOISE_CHARS) -> Column:
     """Share of ``chars`` in the text; null for an empty text."""
-    found = F.regexp_count(text, F.lit("[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"))
-    return F.try_divide(found, F.length(text))
+    return F.try_divide(noise_count(text, chars), F.length(text))
 
 
 def mask_text(text: Column) -> Column:
@@ -108,11 +112,25 @@ def mask_text(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")), masked).otherwise(text)
 
 
+def _overwrite(entries: Column, value_type: T.DataType) -> Column:
+    """The mask in place of every text below."""
+
+    def hide(key: Column, value: Column) -> Column:
+        if isinstance(value_type, T.StringType):
+            return F.when(value.isNotNull(), F.lit(MASK))
+        if isinstance(value_type, T.MapType):
+            return _overwrite(value, value_type.valueType)
+        return F.lit(None).cast(value_type)
+
+    return F.transform_values(entries, hide)
+
+
 def mask_map(entries: Column, value_type: T.DataType | None = None) -> Column:
     """Mask a map: whole value under a secret key, text masking of other strings.
 
-    Pass ``value_type`` for maps whose values are maps themselves. A non-string
-    value under a secret key becomes null, since the mask is text.
+    Pass ``value_type`` for maps whose values are maps themselves; under a secret key
+    their texts are masked and their keys stay. A value that is neither text nor a map
+    becomes null under a secret key, since the mask is text.
     """
     value_type = value_type or T.StringType()
 
@@ -121,7 +139,7 @@ def mask_map(entries: Column, value_type: T.DataType | None = None) -> Column:
         if isinstance(value_type, T.StringType):
             return F.when(secret & value.isNotNull(), F.lit(MASK)).otherwise(mask_text(value))
         if isinstance(value_type, T.MapType):
-            return F.when(~secret, mask_map(value, value_type.valueType))
+            return F.when(secret, _overwrite(value, value_type.valueType)).otherwise(mask_map(value, value_type.valueType))
         return F.when(~secret, value)
 
     return F.transform_values(entries, hide)

@@ -86,3 +86,13 @@ def backoff_seconds(attempt: Column, base: float = 5.0, factor: float = 2.0, cei
 def key_fraction(key: Column) -> Column:
     """A stable number in [0, 1) per key: the first 32 bits of its md5."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def as_number(text: Column) -> Column:
+    """A decimal number as DOUBLE, null for anything else.
+
+    A cast alone would also read a type suffix, as in ``3D`` or ``5f``.
+    """
+    plain = F.regexp_like(text.cast("string"), F.lit(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"))
+    named = F.lower(F.trim(text.cast("string"))).isin("nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
+    return F.when(plain | named, text.try_cast("double"))

@@ -28,14 +28,18 @@ def evaluate(df: DataFrame, keys: Sequence[str], ts: str, condition: Column, int
     return df.groupBy(*keys, tick.alias("tick")).agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("active"))
 
 
-def alerts_for(evaluations: DataFrame, keys: Sequence[str], minutes: float) -> DataFrame:
+def alerts_for(evaluations: DataFrame, keys: Sequence[str], minutes: float, interval: int = 15) -> DataFrame:
     """State per evaluation: inactive, pending, or firing once active for ``minutes``.
 
-    Works on :func:`evaluate` output: one row per tick bounds a key by time.
+    Works on :func:`evaluate` output of the same ``interval`` in seconds: one row per
+    tick bounds a key by time. A tick without an evaluation ends a run, as the condition
+    was not seen to hold there.
     """
     order = Window.partitionBy(*keys).orderBy("tick")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = evaluations.withColumn("__run", F.count_if(~F.col("active")).over(upto))
+    gap = F.coalesce(F.col("tick") - F.lag("tick").over(order) > interval, F.lit(False))
+    starts = evaluations.withColumn("__gap", gap)
+    runs = starts.withColumn("__run", F.count_if(~F.col("active") | F.col("__gap")).over(upto)).drop("__gap")
     start = F.min(F.when(F.col("active"), F.col("tick"))).over(Window.partitionBy(*keys, "__run"))
     state = (
         F.when(~F.col("active"), F.lit("inactive"))

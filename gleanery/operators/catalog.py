@@ -26,8 +26,6 @@ RETENTION_DAYS = {"raw": 90, "documents": 365, "ocr": 180, "logs": 30}
 SENSITIVE_KEYS = ("api_key", "password", "secret", "token", "service_account")
 
 MAX_PAGE_SIZE = 1000
-# Pages that end past this row are cut from numbered rows, not from one sorted head.
-DEEP_PAGE_ROW = 100_000
 
 
 # --- filters and lookups ---------------------------------------------------
@@ -234,10 +232,19 @@ def update_existing(current: DataFrame, updates: DataFrame, key: str = "id") ->
     return upsert(current, known, key), updates.join(current.select(key), key, "left_anti")
 
 
-def create_new(current: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(new state, rows refused because their key exists)."""
-    fresh = rows.join(current.select(key), key, "left_anti")
-    return current.unionByName(fresh), rows.join(current.select(key), key, "left_semi")
+def create_new(current: DataFrame, rows: DataFrame, key: str = "id", order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new state, rows refused because their key exists).
+
+    Of several new rows with one key the first in ``order`` (all columns by default)
+    is created and the others are refused, as they find it there.
+    """
+    order = list(order or [c for c in rows.columns if c != key])
+    placed = slices.number_rows(slices.by_range(rows, [key], order), [key], order, "__place")
+    known = current.select(F.col(key).alias("__known")).distinct()
+    judged = placed.join(known, F.col(key) == F.col("__known"), "left")
+    new = F.col("__known").isNull() & (F.col("__place") == 1)
+    created = judged.filter(new).select(*rows.columns)
+    return current.unionByName(created), judged.filter(~new).select(*rows.columns)
 
 
 def delete_rows(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -245,14 +252,14 @@ def delete_rows(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
     return current.join(ids.select(key), key, "left_anti")
 
 
-def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id", seq_width: float = 100_000) -> tuple[DataFrame, DataFrame]:
+def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Apply a batch ``(op, seq, <current columns>)`` of create / update / delete.
 
     Per key the operations run in ``seq`` order; the last legal one decides.
     Returns (new state, rejected operations with a reason): creating what
     exists, updating or deleting what does not. A create after a delete in the
     same batch is legal, so existence is followed operation by operation. A key
-    with very many operations is worked on in slices of ``seq_width`` numbers.
+    with very many operations is worked on in slices of bounded size.
     """
     columns = current.columns
     # Create leaves the key present and delete leaves it absent, legal or not;
@@ -260,7 +267,7 @@ def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id", seq_width:
     stored = current.select(key, F.lit(True).alias("__stored"))
     present = F.when(F.col("op") == "create", F.lit(True)).when(F.col("op") == "delete", F.lit(False))
     ordered = slices.running(
-        slices.by_width(ops, [key], "seq", seq_width), [key], ["seq"], {"__exists": slices.Running("before", present)}
+        slices.by_range(ops, [key], ["seq"]), [key], ["seq"], {"__exists": slices.Running("before", present)}
     )
     judged = (
         ordered.join(stored, key, "left")
@@ -326,10 +333,11 @@ def allowed_moves(current: Column) -> Column:
 def apply_status(tasks: DataFrame, updates: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Set status where the move is legal; report the other requests.
 
-    ``updates`` is ``(id, wanted)``, one per task. Returns (tasks, rejected with
-    current, wanted and allowed statuses; ``current`` is null for unknown ids).
+    ``updates`` is ``(id, wanted)``; of several for one task the alphabetically first
+    counts. Returns (tasks, rejected with current, wanted and allowed statuses;
+    ``current`` is null for unknown ids).
     """
-    wanted = updates.select("id", "wanted")
+    wanted = updates.groupBy("id").agg(F.min("wanted").alias("wanted"))
     moved = tasks.join(wanted, "id", "left")
     ok = may_move(F.col("status"), F.col("wanted"))
     state = moved.withColumns(
@@ -393,27 +401,21 @@ def _newest(tasks: DataFrame, limit: int, cursor: tuple | None) -> DataFrame:
 
 
 def page_offset(df: DataFrame, order: Sequence[Column | str], page: int, size: int = 100) -> DataFrame:
-    """One page with ``total_items, total_pages, has_next, has_prev``.
+    """One row: ``items`` of the page in order, ``total_items, total_pages, has_next, has_prev``.
 
-    Shallow pages are a distributed top-k. A page that ends past
-    ``DEEP_PAGE_ROW`` is cut from range-partitioned row numbers, so that its
-    offset never passes through one task.
+    A page past the end has no items and the same totals. Rows are numbered over a range
+    partitioning, so no offset passes through one task; a page is ``size`` rows at most.
     """
     if page < 1:
         raise ValueError("pages start at 1")
     _check_size(size)
-    first, last = (page - 1) * size, page * size
-    if last <= DEEP_PAGE_ROW:
-        rows = df.orderBy(*order).offset(first).limit(size)
-    else:
-        numbered = slices.number_all(df, order, "__no")
-        rows = numbered.filter(F.col("__no").between(first + 1, last)).drop("__no")
+    numbered = slices.number_all(df, order, "__no")
+    rows = numbered.filter(F.col("__no").between((page - 1) * size + 1, page * size))
+    items = F.array_sort(F.collect_list(F.struct("__no", F.struct(*df.columns).alias("item"))))
+    envelope = rows.agg(F.transform(items, lambda x: x["item"]).alias("items"))
     total = df.select(F.lit(1)).agg(F.count("*").alias("n")).scalar()
-    pages = F.ceil(F.col("total_items") / F.lit(size))
-    return (
-        rows.withColumn("total_items", total)
-        .withColumn("total_pages", pages)
-        .withColumns({"has_next": F.lit(page) < F.col("total_pages"), "has_prev": F.lit(page > 1)})
+    return envelope.withColumn("total_items", total).withColumn("total_pages", F.ceil(F.col("total_items") / F.lit(size))).withColumns(
+        {"has_next": F.lit(page) < F.col("total_pages"), "has_prev": F.lit(page > 1)}
     )
 
 

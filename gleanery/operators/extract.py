@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import clean_text
+from gleanery.functions.values import as_number
 
 MIN_TABLE_ROWS = 1
 MAX_TABLE_ROWS = 10_000
@@ -122,7 +123,7 @@ class _Tables(_Tree):
             elif tag in ("td", "th"):
                 if table["cells"] is None:
                     table["cells"] = []
-                cell = {"text": [], "th": tag == "th", "cols": _span(attrs.get("colspan")), "rows": _span(attrs.get("rowspan"))}
+                cell = {"text": [], "th": tag == "th", "cols": _span(attrs.get("colspan"), MOST_COLUMNS), "rows": _span(attrs.get("rowspan"), MOST_ROWS)}
                 table["cells"].append(cell)
                 return cell
         return None
@@ -145,8 +146,13 @@ class _Tables(_Tree):
                 note["text"].append(data)
 
 
-def _span(value: str | None) -> int:
-    return max(1, min(int(value), 1000)) if value and value.isdigit() else 1
+# The most columns and rows that a cell may span in HTML. Rows are filled
+# only as far as the table goes.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+
+
+def _span(value: str | None, most: int) -> int:
+    return max(1, min(int(value), most)) if value and value.isdigit() else 1
 
 
 def _grid(table: dict) -> tuple[list[str], list[list[str | None]]]:
@@ -251,7 +257,7 @@ def validate_tables(tables: DataFrame, min_rows: int = MIN_TABLE_ROWS, max_rows:
         return F.forall(rows, lambda r: r[i].isNull())
 
     def is_mixed(i: Column) -> Column:
-        number = F.exists(rows, lambda r: r[i].try_cast("double").isNotNull())
+        number = F.exists(rows, lambda r: as_number(r[i]).isNotNull())
         return number & F.exists(rows, lambda r: r[i].isNotNull() & r[i].try_cast("double").isNull())
 
     count = F.size(rows)

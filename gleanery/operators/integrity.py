@@ -32,7 +32,13 @@ def dedupe_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) ->
     A group of copies shrinks to one row in every map task, so a group holding
     much of the input never meets in one task.
     """
-    fingerprint = F.sha2(F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]), 256)
+    texts = [k.cast("string") for k in keys]
+    if len(texts) == 1:
+        fingerprint = F.sha2(texts[0], 256)
+    else:
+        # With its length before it, a value cannot run into the next; null has none.
+        marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+        fingerprint = F.sha2(F.concat(*marked), 256)
     row = F.struct(*df.columns)
     first = df.groupBy(fingerprint.alias("fingerprint")).agg(F.min_by(row, F.struct(*order)).alias("row"))
     return first.select("row.*", "fingerprint")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from gleanery.functions.values import epoch_seconds, url_netloc
 from gleanery.plans import slices
+from gleanery.plans.joins import null_safe_join
 
 # Histogram bucket bounds in seconds.
 API_BUCKETS = (0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -208,9 +209,10 @@ def percentile_exact(df: DataFrame, value: str, q: float, by: Sequence[str] = ()
     counted = candidates.groupBy(*by, "__v").agg(
         F.count("*").alias("__c"), F.min("__index").alias("__index"), F.min("samples").alias("samples")
     )
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A group's candidates grow with it, and without groups they are all in one.
+    summed = slices.running(slices.by_range(counted, by, ["__v"]), by, ["__v"], {"__upto": slices.Running("sum", F.col("__c"))})
     return (
-        counted.withColumn("__upto", upto)
+        summed
         .filter(F.col("__upto") > F.col("__index"))
         .groupBy(*by)
         .agg(F.min("__v").alias("percentile"), F.min("samples").alias("samples"))
@@ -220,7 +222,7 @@ def percentile_exact(df: DataFrame, value: str, q: float, by: Sequence[str] = ()
 def _with_group(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Attach one row of statistics per group. Without groups it is a single row."""
     if by:
-        return rows.join(stats, list(by))
+        return null_safe_join(rows, stats, by)
     one = rows.withColumn("__stats", stats.select(F.struct("*")).scalar())
     return one.select(*rows.columns, *[F.col(f"__stats.{c}").alias(c) for c in stats.columns])
 
@@ -273,7 +275,7 @@ def trend(df: DataFrame, value: str, ts: str, tie: str, by: Sequence[str], windo
     if window_seconds is not None:
         last = df.groupBy(*by).agg(F.max(ts).alias("__last"))
         # At most one row per resource: a size Spark checks before broadcasting.
-        df = df.join(last, list(by)).filter(F.unix_micros(F.col("__last").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) < window_seconds * 1e6)
+        df = null_safe_join(df, last, by).filter(F.unix_micros(F.col("__last").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) < window_seconds * 1e6)
     order = F.struct(ts, tie)
     first, current = F.min_by(value, order), F.max_by(value, order)
     direction = F.when(current > first, F.lit("increasing")).when(current < first, F.lit("decreasing")).otherwise(F.lit("stable"))
@@ -309,17 +311,13 @@ def crawl_retries(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return errors.groupBy(*by, "fingerprint").agg((F.max("retry_count") + 1).alias("retries"))
 
 
-def execution_history(executions: DataFrame, task: str, order: Sequence[str], value: str, part_size: int = 10_000, slice_seconds: int = 86_400) -> DataFrame:
-    """Ordered execution ids per task as ``(task, part, ids)``.
+def execution_history(executions: DataFrame, task: str, order: Sequence[str], value: str) -> DataFrame:
+    """Execution ids in order, one row each: ``(task, position, execution_id)`` from 1.
 
-    A part holds at most ``part_size`` ids, so that a task with very many
-    executions stays spread; an ordinary task has the single part 0.
+    Long rows have one form for every task, however many executions it has.
     """
-    placed = slices.number_rows(slices.by_time(executions, [task], order[0], slice_seconds), [task], list(order), "__no")
-    listed = placed.groupBy(task, F.floor((F.col("__no") - 1) / F.lit(part_size)).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("__no", value))).alias("__l")
-    )
-    return listed.select(task, "part", F.transform("__l", lambda x: x[value]).alias("execution_ids"))
+    placed = slices.number_rows(slices.by_range(executions, [task], list(order)), [task], list(order), "position")
+    return placed.select(task, "position", F.col(value).alias("execution_id"))
 
 
 def execution_outputs(outputs: DataFrame, execution: str, output: str) -> DataFrame:
@@ -374,37 +372,37 @@ def system_status(df: DataFrame, by: Sequence[str], failed: Column, seconds: str
 # --- counters --------------------------------------------------------------
 
 
-def counter_deltas(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, slice_seconds: int = 3600) -> DataFrame:
+def counter_deltas(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str) -> DataFrame:
     """Add ``delta``: growth since the sample before. A drop is a reset, counted from zero."""
     with_prev = slices.running(
-        slices.by_time(samples, series, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.col(value))}
+        slices.by_range(samples, series, [ts, tie]), series, [ts, tie], {"__prev": slices.Running("prev", F.col(value))}
     )
     grown = F.when(F.col(value) < F.col("__prev"), F.col(value)).otherwise(F.col(value) - F.col("__prev"))
     return with_prev.withColumn("delta", grown).drop("__prev")
 
 
-def increase(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
+def increase(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:
     """Counter growth over ``(t - seconds, t]`` at each second with a sample.
 
     Deltas are summed per second before the window is formed. No extrapolation
     to the window's edges.
     """
-    deltas = counter_deltas(samples, series, ts, tie, value, slice_seconds)
+    deltas = counter_deltas(samples, series, ts, tie, value)
     per_second = deltas.groupBy(*series, epoch_seconds(F.col(ts)).alias("second")).agg(F.sum("delta").alias("d"))
     grown = slices.trailing(per_second, series, "second", seconds, {"increase": ("sum", F.col("d"))})
     return grown.withColumn("increase", F.coalesce("increase", F.lit(0.0)))
 
 
-def rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
+def rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:
     """Per-second rate of a counter over the window; see :func:`increase`."""
-    grown = increase(samples, series, ts, tie, value, seconds, slice_seconds)
+    grown = increase(samples, series, ts, tie, value, seconds)
     return grown.withColumn("rate", F.col("increase") / F.lit(float(seconds))).drop("increase")
 
 
-def changes(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int, slice_seconds: int = 3600) -> DataFrame:
+def changes(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:
     """Number of value changes over ``(t - seconds, t]`` at each second with a sample."""
     with_prev = slices.running(
-        slices.by_time(samples, series, ts, slice_seconds), series, [ts, tie], {"__prev": slices.Running("prev", F.struct(F.col(value).alias("v")))}
+        slices.by_range(samples, series, [ts, tie]), series, [ts, tie], {"__prev": slices.Running("prev", F.struct(F.col(value).alias("v")))}
     )
     changed = F.col("__prev").isNotNull() & ~F.col("__prev.v").eqNullSafe(F.col(value))
     per_second = with_prev.groupBy(*series, epoch_seconds(F.col(ts)).alias("second")).agg(F.count_if(changed).alias("c"))

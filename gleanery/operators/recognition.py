@@ -10,38 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import word_count
+from gleanery.functions.text import is_blank, noise_count, word_count
+from gleanery.plans.joins import null_safe_join
 
 MIN_CELLS = 4
 TABLE_CONFIDENCE = 0.90
+# Boxes in one row of text. Every document is laid out so, and judged as a whole.
 PART_WORDS = 50_000
 
 
 def assemble_text(words: DataFrame, doc: str = "doc_id", part_words: int = PART_WORDS) -> DataFrame:
-    """Text in word order, mean confidence (boxes with -1 left out) and boxes.
+    """Text in word order, boxes, and what the whole document is judged by.
 
-    A document longer than ``part_words`` boxes comes as several rows, ``part``
-    0, 1, ..; the text of a part never exceeds that many words, and confidence
-    and word count are the whole document's on each of them. An ordinary
-    document is the single part 0.
+    A document is rows ``part`` 0, 1, .. of ``part_words`` boxes each. On every one of
+    them ``confidence`` (boxes with -1 left out), ``word_count``, ``noise`` (share of
+    noise characters in the joined text) and ``blank`` are the whole document's, so a
+    decision cannot differ between parts. Words without an index come first, and words
+    without a document make up a document of their own.
     """
     conf = F.when(F.col("conf") != -1, F.col("conf"))
-    keyed = words.withColumn("part", F.floor(F.col("word_idx") / F.lit(part_words)))
+    place = F.coalesce(F.floor(F.col("word_idx") / F.lit(part_words)), F.lit(0).cast("long"))
+    keyed = words.withColumn("part", place)
     parts = keyed.groupBy(doc, "part").agg(
         F.array_sort(
-            F.collect_list(F.struct("word_idx", "text", "conf", F.array("left", "top", "width", "height").alias("box")))
+            F.collect_list(F.struct("word_idx", "text", "conf", F.array("left", "top", "width", "height").alias("box"))),
+            lambda a, b: F.when(a["word_idx"].eqNullSafe(b["word_idx"]), F.lit(0))
+            .when(a["word_idx"].isNull(), F.lit(-1))
+            .when(b["word_idx"].isNull(), F.lit(1))
+            .otherwise(F.signum(a["word_idx"] - b["word_idx"]).cast("int")),
         ).alias("__w")
     )
     # The totals travel to their parts on (document, part), the partitioning the
     # parts have already: no text is shuffled twice and no document gathered.
+    written = F.coalesce(F.col("text"), F.lit(""))
+    chars = F.sum(F.length(written)) + F.count("*") - 1
     totals = (
         keyed.groupBy(doc)
         .agg(
             (F.coalesce(F.avg(conf), F.lit(0.0)) / 100).alias("confidence"),
             F.sum(word_count(F.col("text"))).alias("word_count"),
-            F.max("part").alias("__last"),
+            F.try_divide(F.sum(noise_count(written)), chars).alias("noise"),
+            F.bool_and(is_blank(F.col("text"))).alias("blank"),
+            F.collect_set("part").alias("__parts"),
         )
-        .select(doc, F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias("part"), "confidence", "word_count")
+        .withColumn("part", F.explode("__parts"))
+        .drop("__parts")
     )
     texts = parts.select(
         doc,
@@ -50,7 +63,7 @@ def assemble_text(words: DataFrame, doc: str = "doc_id", part_words: int = PART_
         F.transform("__w", lambda w: F.struct(w["text"].alias("text"), w["conf"].alias("conf"))).alias("words"),
         F.transform("__w", lambda w: w["box"]).alias("boxes"),
     )
-    return texts.join(totals, [doc, "part"])
+    return null_safe_join(texts, totals, [doc, "part"])
 
 
 def text_confidence(words: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -70,15 +83,16 @@ def assemble_table(cells: DataFrame, by: tuple[str, ...] = ("doc_id", "table_idx
     first reduced per grid position, so the distinct counts see no raw rows.
     """
     grid = cells.groupBy(*by, F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y")).agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("s")
+        # Decimal sums do not depend on the order of addition.
+        F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(20,9)")).alias("s")
     )
-    confidence = F.sum("s") / F.sum("n")
+    confidence = (F.sum("s") / F.sum("n")).cast("double")
     return grid.groupBy(*by).agg(
         F.count_distinct("y").alias("rows"),
         F.count_distinct("x").alias("columns"),
         F.sum("n").alias("cells"),
         confidence.alias("confidence"),
-        ((F.sum("n") >= MIN_CELLS) & (confidence >= TABLE_CONFIDENCE)).alias("valid"),
+        ((F.sum("n") >= MIN_CELLS) & (F.sum("s") >= F.sum("n") * F.lit(TABLE_CONFIDENCE).cast("decimal(20,9)"))).alias("valid"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import text as tx
-from gleanery.functions.values import is_uuid, parse_iso
+from gleanery.functions.values import as_number, is_uuid, parse_iso
 
 Rule = tuple[str, Column]
 
@@ -162,7 +162,8 @@ def content_rules(
 
 def field_type_rules(types: Mapping[str, str]) -> list[Rule]:
     """Text columns whose non-null value does not read as the declared type."""
-    return [(f"{name}_not_{kind}", F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()) for name, kind in types.items()]
+    read = lambda name, kind: as_number(F.col(name)) if kind in ("double", "float") else F.col(name).try_cast(kind)
+    return [(f"{name}_not_{kind}", F.col(name).isNotNull() & read(name, kind).isNull()) for name, kind in types.items()]
 
 
 def task_rules(config: Column) -> list[Rule]:
@@ -416,7 +417,5 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The new schema depends on the data, so one aggregate row is fetched.
     """
-    stays = df.agg(
-        *[F.max(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in columns]
-    ).first()
-    return df.withColumns({c: F.col(c).try_cast("double") for c in columns if not stays[c]})
+    stays = df.agg(*[F.max(F.col(c).isNotNull() & as_number(F.col(c)).isNull()).alias(c) for c in columns]).first()
+    return df.withColumns({c: as_number(F.col(c)) for c in columns if not stays[c]})

@@ -15,12 +15,10 @@ from gleanery.functions.values import backoff_seconds, epoch_seconds
 from gleanery.operators.catalog import may_move
 from gleanery.plans import slices
 
-DAY = 86_400
 
-
-def attempts(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slice_seconds: int = DAY) -> DataFrame:
+def attempts(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
     """1-based ``attempt`` per key in time order."""
-    return slices.number_rows(slices.by_time(df, keys, ts, slice_seconds), keys, [ts, *tie], "attempt")
+    return slices.number_rows(slices.by_range(df, keys, [ts, *tie]), keys, [ts, *tie], "attempt")
 
 
 def backoff(df: DataFrame, attempt: str = "attempt", base: float = 5.0) -> DataFrame:
@@ -35,19 +33,19 @@ def backoff(df: DataFrame, attempt: str = "attempt", base: float = 5.0) -> DataF
     )
 
 
-def illegal_transitions(history: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], status: str = "status", slice_seconds: int = DAY) -> DataFrame:
+def illegal_transitions(history: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], status: str = "status") -> DataFrame:
     """Rows whose status may not follow the one before; an unchanged status is no move."""
     moved = slices.running(
-        slices.by_time(history, keys, ts, slice_seconds), keys, [ts, *tie], {"previous": slices.Running("prev", F.col(status))}
+        slices.by_range(history, keys, [ts, *tie]), keys, [ts, *tie], {"previous": slices.Running("prev", F.col(status))}
     )
     changed = F.col("previous").isNotNull() & (F.col("previous") != F.col(status))
     return moved.filter(changed & ~may_move(F.col("previous"), F.col(status)))
 
 
-def running_mean(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, slice_seconds: int = DAY) -> DataFrame:
+def running_mean(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str) -> DataFrame:
     """Mean and peak of all values up to each row."""
     out = slices.running(
-        slices.by_time(df, keys, ts, slice_seconds),
+        slices.by_range(df, keys, [ts, *tie]),
         keys,
         [ts, *tie],
         {
@@ -78,11 +76,11 @@ def requests_in_window(requests: DataFrame, client: str, ts: str, seconds: int,
     )
 
 
-def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], failed: Column, n: int = 5, slice_seconds: int = DAY) -> DataFrame:
+def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], failed: Column, n: int = 5) -> DataFrame:
     """Runs of at least ``n`` failures with no success between: start, end, length."""
     bad = F.coalesce(failed, F.lit(False))
     numbered = slices.running(
-        slices.by_time(df.withColumn("__bad", bad), keys, ts, slice_seconds),
+        slices.by_range(df.withColumn("__bad", bad), keys, [ts, *tie]),
         keys,
         [ts, *tie],
         {"run": slices.Running("sum", F.when(F.col("__bad"), F.lit(0)).otherwise(F.lit(1)))},
@@ -99,15 +97,3 @@ def batch_rows(df: DataFrame, order: Sequence[str], size: int = 100) -> DataFram
         raise ValueError("batch size must be a positive integer")
     numbered = slices.number_all(df, order, "__no")
     return numbered.withColumn("batch", F.floor((F.col("__no") - 1) / F.lit(size))).drop("__no")
-
-
-def loose_batches(df: DataFrame, size: int = 100) -> DataFrame:
-    """Chunks of at most ``size`` rows where any order will do: no shuffle at all.
-
-    Only the last chunk of a partition is short. The id is (partition, chunk).
-    """
-    if size <= 0:
-        raise ValueError("batch size must be a positive integer")
-    place = F.monotonically_increasing_id()
-    local = place.bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn("batch", F.struct(F.shiftright(place, 33).alias("part"), F.floor(local / F.lit(size)).alias("chunk")))

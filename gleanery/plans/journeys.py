@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import clean_text, noise_ratio
+from gleanery.functions.values import epoch_seconds
 from gleanery.operators import alerts, extract, metrics, recognition, validation
 from gleanery.operators.validation import Rule
 
@@ -54,15 +55,17 @@ def scrape_text(pages: DataFrame, selectors: Mapping[str, str], rules: Sequence[
 def recognise(words: DataFrame, fmt: str = "json", minimum: float = 0.85) -> DataFrame:
     """Words -> documents that pass the quality check, in the output format."""
     documents = recognition.assemble_text(words)
-    passed = validation.ocr_quality(documents, "text", "confidence", minimum).filter("passed")
-    return recognition.format_ocr(passed, fmt)
+    # Judged on the whole document: all of its parts pass or none does.
+    good = (F.col("confidence") >= minimum) & ~F.col("blank") & (F.col("noise") <= 0.1)
+    return recognition.format_ocr(documents.filter(good), fmt)
 
 
-def latency_alerts(requests: DataFrame, by: Sequence[str], seconds: str, limit: float = 0.5, minutes: float = 5) -> DataFrame:
-    """Request log -> one-minute p95 -> alert states -> inhibited and routed alerts."""
-    minute = requests.withColumn("tick", F.date_trunc("minute", "ts"))
+def latency_alerts(requests: DataFrame, by: Sequence[str], seconds: str, limit: float = 0.5, minutes: float = 5, interval: int = 60) -> DataFrame:
+    """Request log -> p95 per ``interval`` seconds -> alert states -> inhibited and routed alerts."""
+    whole = F.floor(epoch_seconds(F.col("ts")) / F.lit(interval)) * F.lit(interval)
+    minute = requests.withColumn("tick", F.timestamp_seconds(whole))
     p95 = metrics.duration_quantile(minute, seconds, metrics.API_BUCKETS, 0.95, [*by, "tick"])
-    states = alerts.alerts_for(alerts.evaluate(p95, by, "tick", F.col("quantile") > limit, 60), by, minutes)
+    states = alerts.alerts_for(alerts.evaluate(p95, by, "tick", F.col("quantile") > limit, interval), by, minutes, interval)
     firing = states.filter(F.col("state") == "firing").select(
         F.lit("APIHighLatency").alias("alertname"),
         F.lit(None).cast("string").alias("cluster"),

@@ -1,10 +1,10 @@
 """Running windows that survive a hot key.
 
-``Window.partitionBy(key)`` puts every row of a key into one task. Here a key
-with very many rows is first cut into order-preserving slices; each slice is a
-window partition of its own, and the state left by the earlier slices reaches it
-as one extra *carry* row. Only per-slice summaries (one row per hot key and
-slice, built with map-side aggregation) are ever ordered per key.
+``Window.partitionBy(key)`` puts every row of a key into one task. Here keys are
+first cut into order-preserving slices of bounded size; each slice is a window
+partition of its own, and the state left by the earlier slices reaches it as one
+extra *carry* row. Only per-slice summaries (one row per key and slice, built
+with map-side aggregation) are ever ordered per key.
 """
 
 from __future__ import annotations
@@ -16,58 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, stored
 
 SLICE = "__slice"
 _ROW = "__row"
 
 
-# A key with fewer rows than this is ordered whole.
-HOT_ROWS = 1_000_000
-
-
-def _slice_hot(df: DataFrame, keys: Sequence[str], number: Column, hot_rows: int) -> DataFrame:
-    """Slice numbers for the rows of hot keys, null for the others."""
-    if hot_rows <= 0 or not keys:
-        return df.withColumn(SLICE, F.coalesce(number, F.lit(-(1 << 62))))
-    marked = [F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)]
-    hot = df.groupBy(*marked).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > hot_rows)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__hot_{i}"))
-    # No more than (rows / hot_rows) keys can be hot, which bounds the broadcast.
-    return (
-        df.join(F.broadcast(hot), same, "left")
-        # Rows without a position come first in a key's order, and so does their slice.
-        .withColumn(SLICE, F.when(F.col("__rows").isNotNull(), F.coalesce(number, F.lit(-(1 << 62)))))
-        .drop("__rows", *[f"__hot_{i}" for i in range(len(keys))])
-    )
-
-
-def by_time(df: DataFrame, keys: Sequence[str], ts: str, seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Slice hot keys on the clock. ``ts`` must lead the order."""
-    if seconds <= 0:
-        raise ValueError("slice length must be positive")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return _slice_hot(df, keys, F.floor(micros / F.lit(seconds * 1_000_000)), hot_rows)
-
-
-def by_width(df: DataFrame, keys: Sequence[str], number: str, width: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Slice hot keys on a number that leads the order, e.g. a sequence number."""
-    if width <= 0:
-        raise ValueError("slice width must be positive")
-    return _slice_hot(df, keys, F.floor(F.col(number) / F.lit(width)), hot_rows)
-
-
 def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
-    """Slice on sampled boundaries of ``(keys, order)``, whatever their distribution.
+    """Cut at sampled boundaries of ``(keys, order)``, whatever their distribution.
 
-    Range boundaries come from a sample, so the result is checkpointed: a second
-    evaluation could place a row elsewhere.
+    A slice of a key is its share of one range partition, so no slice is larger than a
+    partition, however many rows a key or a moment has, and there are no more slices of
+    a key than partitions. Boundaries come from a sample, so the result is written: a
+    second evaluation could place a row elsewhere.
     """
     columns = [*keys, *order]
     ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
-    return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")))
+    return stored(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
 
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -117,8 +82,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Ma
         F.lit(1).alias(_ROW),
         *[v.encoded().alias(inputs[n]) for n, v in values.items()],
     )
-    # Only sliced rows need a summary; a key left whole starts from nothing.
-    summary = rows.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(
+    summary = rows.groupBy(*keys, SLICE).agg(
         *[v.summarise(inputs[n], position).alias(inputs[n]) for n, v in values.items()]
     )
     # With no key there is one row per slice, a number fixed by the slicing.

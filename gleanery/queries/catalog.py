@@ -324,7 +324,7 @@ def _ops(spark, sf):
         UNION ALL SELECT id, 'written', CAST(line AS VARCHAR) FROM final WHERE op <> 'delete'""",
 )
 def apply_writes(spark, sf):
-    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf), seq_width=1e9)[0]
+    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf))[0]
 
 
 @query(
@@ -340,7 +340,7 @@ def apply_writes(spark, sf):
         SELECT id, op, seq, CASE op WHEN 'create' THEN 'already exists' ELSE 'not found' END AS reason FROM judged WHERE (op = 'create') = here""",
 )
 def apply_writes_rejected(spark, sf):
-    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf), seq_width=1e9)[1].select("id", "op", "seq", "reason")
+    return catalog.apply_writes(tasks(spark, sf).select("id", "type", "status"), _ops(spark, sf))[1].select("id", "op", "seq", "reason")
 
 
 @query(
@@ -462,7 +462,19 @@ _PAGE = """SELECT id, CAST((SELECT count(*) FROM tasks) AS BIGINT) AS total_item
 @query("g03_page_offset", f"WITH {TASKS} {_PAGE}")
 def page_offset(spark, sf):
     page = catalog.page_offset(tasks(spark, sf).select("id", "cost"), ["cost", "id"], 3, 50)
-    return page.drop("cost")
+    totals = ["total_items", "total_pages", "has_next", "has_prev"]
+    return page.select(F.explode("items").alias("item"), *totals).select("item.id", *totals)
+
+
+@query(
+    "g03_page_past_end",
+    f"""WITH {TASKS} SELECT 0 AS items, CAST(count(*) AS BIGINT) AS total_items, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages,
+        false AS has_next, true AS has_prev FROM tasks""",
+)
+def page_past_end(spark, sf):
+    """A page far behind the last one still reports the totals."""
+    page = catalog.page_offset(tasks(spark, sf).select("id", "cost"), ["cost", "id"], 10_000_000, 50)
+    return page.withColumn("items", F.size("items"))
 
 
 @query(

@@ -250,13 +250,12 @@ def crawl_retries(spark, sf):
 
 @query(
     "e16_execution_history",
-    f"""WITH {EXECUTIONS}, n AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY start_time, id) - 1 AS i FROM executions)
-        SELECT task_id, CAST(i // 3 AS BIGINT) AS part, string_agg(id, ',' ORDER BY i) AS execution_ids FROM n GROUP BY task_id, i // 3""",
+    f"""WITH {EXECUTIONS}, n AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY start_time, id) AS position FROM executions)
+        SELECT task_id, position, id AS execution_id FROM n""",
 )
 def execution_history(spark, sf):
     e = executions(spark, sf).select("task_id", "id", "start_time")
-    h = metrics.execution_history(e, "task_id", ["start_time", "id"], "id", part_size=3, slice_seconds=86_400 * 30)
-    return h.withColumn("execution_ids", F.array_join("execution_ids", ","))
+    return metrics.execution_history(e, "task_id", ["start_time", "id"], "id")
 
 
 @query("e16_execution_outputs", "SELECT DISTINCT l_orderkey AS execution, l_partkey AS output FROM lineitem")
@@ -362,26 +361,27 @@ def utilization_memory(spark, sf):
     return rounded(metrics.utilization(cpu, memory)[1].select("event_id", "memory_utilization"), "memory_utilization")
 
 
-_MINUTES = "(SELECT endpoint, seconds, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS tick FROM requests)"
+_MINUTES = "(SELECT endpoint, seconds, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS tick FROM requests)"
 _P95 = _quantile_sql(f"WITH {REQUESTS}, h AS ({_histogram_sql(_MINUTES, 'seconds', metrics.API_BUCKETS, 'endpoint, tick')})", "endpoint, tick", 0.95)
 
 
 @query(
     "f08_latency_alerts",
     f"""WITH q AS ({_P95}),
-         st AS (SELECT endpoint, tick, quantile > 0.5 AS active, sum(CAST(NOT quantile > 0.5 AS INTEGER)) OVER (PARTITION BY endpoint ORDER BY tick) AS run FROM q),
-         sn AS (SELECT *, min(tick) FILTER (WHERE active) OVER (PARTITION BY endpoint, run) AS since FROM st)
+         qg AS (SELECT endpoint, tick, quantile > 0.5 AS active, row_number() OVER (PARTITION BY endpoint, quantile > 0.5 ORDER BY tick) * 3600 AS steps FROM q),
+         st AS (SELECT endpoint, tick, active, tick - steps AS run FROM qg),
+         sn AS (SELECT *, min(tick) OVER (PARTITION BY endpoint, active, run) AS since FROM st)
        SELECT endpoint AS service, tick, since AS active_since, 'email-warnings' AS receiver, 'APIHighLatency_' || endpoint AS dedup_key
-       FROM sn WHERE active AND tick - since >= 300""",
+       FROM sn WHERE active AND tick - since >= 7200""",
 )
 def latency_alerts(spark, sf):
-    fired = journeys.latency_alerts(requests(spark, sf), ["endpoint"], "seconds")
+    fired = journeys.latency_alerts(requests(spark, sf), ["endpoint"], "seconds", minutes=120, interval=3600)
     return fired.select("service", "tick", "active_since", "receiver", "dedup_key")
 
 
 _EVAL = """ev AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS tick, bool_and(value < 150) AS active FROM events GROUP BY ALL),
-     st AS (SELECT *, sum(CAST(NOT active AS INTEGER)) OVER (PARTITION BY user_id ORDER BY tick) AS run FROM ev),
-     sn AS (SELECT *, CASE WHEN active THEN min(tick) FILTER (WHERE active) OVER (PARTITION BY user_id, run) END AS active_since FROM st)"""
+     st AS (SELECT *, tick - 86400 * row_number() OVER (PARTITION BY user_id, active ORDER BY tick) AS run FROM ev),
+     sn AS (SELECT *, CASE WHEN active THEN min(tick) OVER (PARTITION BY user_id, active, run) END AS active_since FROM st)"""
 
 
 @query(
@@ -391,4 +391,4 @@ _EVAL = """ev AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) A
 )
 def alerts_for(spark, sf):
     ev = alerts.evaluate(table(spark, sf, "events"), ["user_id"], "ts", F.col("value") < 150, 86_400)
-    return alerts.alerts_for(ev, ["user_id"], 2 * 24 * 60)
+    return alerts.alerts_for(ev, ["user_id"], 2 * 24 * 60, 86_400)

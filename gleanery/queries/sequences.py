@@ -15,7 +15,7 @@ from gleanery.queries.views import EXECUTIONS, TASKS, executions, sql_time, tabl
 )
 def attempts(spark, sf):
     e = executions(spark, sf).select("id", "task_id", "start_time")
-    return windows.attempts(e, ["task_id"], "start_time", ["id"], 30 * windows.DAY).drop("start_time")
+    return windows.attempts(e, ["task_id"], "start_time", ["id"]).drop("start_time")
 
 
 @query(
@@ -25,7 +25,7 @@ def attempts(spark, sf):
 )
 def backoff(spark, sf):
     e = executions(spark, sf).select("id", "task_id", "start_time")
-    tried = windows.attempts(e, ["task_id"], "start_time", ["id"], 30 * windows.DAY)
+    tried = windows.attempts(e, ["task_id"], "start_time", ["id"])
     return windows.backoff(tried).select("id", "delay", "capped_delay", F.round("slow_delay", 6).alias("slow_delay"))
 
 
@@ -98,15 +98,9 @@ def batch_rows(spark, sf):
     return windows.batch_rows(tasks(spark, sf).select("created_at", "id"), ["created_at", "id"]).select("id", "batch")
 
 
-@query("f09_loose_batches")
-def loose_batches(spark, sf):
-    sized = windows.loose_batches(tasks(spark, sf).select("id"))
-    return sized.groupBy("batch").agg(F.count("*").alias("rows")).select(F.col("rows"))
-
-
 def _alerts(spark, sf):
-    """Expensive events as alerts; a member is one user in one group."""
-    e = table(spark, sf, "events").filter(F.col("value") > 30)
+    """Events as alerts, graded by cost; a member is one user in one group."""
+    e = table(spark, sf, "events")
     return e.select(
         F.col("event_type").alias("alertname"),
         F.lit(None).cast("string").alias("cluster"),
@@ -119,7 +113,7 @@ def _alerts(spark, sf):
 
 _ALERTS = """alerts AS (SELECT event_type AS alertname, 'day' || strftime(ts, '%d') AS service,
       CASE WHEN value > 150 THEN 'critical' WHEN value > 60 THEN 'warning' ELSE 'info' END AS severity, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS second
-      FROM events WHERE value > 30)"""
+      FROM events)"""
 
 
 @query(

@@ -156,16 +156,14 @@ def route_failures(spark, sf):
 @query(
     "h05_route_stream",
     f"""WITH {EXECUTIONS}, {_MESSAGES}, {_ROUTE} SELECT task_id, route, CAST(CASE route WHEN 'retry' THEN retry_count + 1 ELSE retry_count END AS INTEGER) AS retry_count
-        FROM routed WHERE route <> 'cancel'""",
+        FROM routed""",
 )
 def route_stream(spark, sf):
-    queue, retry, dead, state = (scratch_path(spark, n) for n in ("queue", "retry", "dead", "state"))
+    queue, routes, state = (scratch_path(spark, n) for n in ("queue", "routes", "state"))
     _messages(spark, sf).write.json(queue)
     failed = readers.read_task_stream(spark, queue).withColumn("failed_at", F.col("scheduled_at"))
-    routing.write_routes(failed, retry, dead, state).awaitTermination()
-    schema = "task_id string, route string, retry_count int, batch_id long"
-    both = spark.read.schema(schema).json(retry).unionByName(spark.read.schema(schema).json(dead))
-    return both.drop("batch_id")
+    routing.write_routes(failed, routes, state).awaitTermination()
+    return spark.read.schema("task_id string, retry_count int, batch_id long, route string").json(routes).drop("batch_id")
 
 
 @query("a09_write_log_stream", f"SELECT doc_id, {mask_sql('text')} AS message FROM documents")

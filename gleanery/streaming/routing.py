@@ -33,8 +33,8 @@ def route_failures(failures: DataFrame, now: Column, max_retries: int = MAX_RETR
     )
 
 
-def write_routes(failures: DataFrame, retry_path: str, dead_letter_path: str, checkpoint: str, max_retries: int = MAX_RETRIES, base: int = BASE_DELAY):
-    """Stream routed messages to a retry and a dead-letter folder.
+def write_routes(failures: DataFrame, path: str, checkpoint: str, max_retries: int = MAX_RETRIES, base: int = BASE_DELAY):
+    """Stream routed messages, each batch written once into a folder per route: cancel, retry, dead_letter.
 
     A replayed batch overwrites its own ``batch_id`` folder, so a restart neither
     loses nor repeats a message. The due time counts from the ``failed_at`` of
@@ -43,8 +43,6 @@ def write_routes(failures: DataFrame, retry_path: str, dead_letter_path: str, ch
 
     def write(batch: DataFrame, batch_id: int) -> None:
         routed = route_failures(batch, F.col("failed_at"), max_retries, base)
-        for route, path in (("retry", retry_path), ("dead_letter", dead_letter_path)):
-            part = routed.filter(F.col("route") == route)
-            part.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+        routed.write.mode("overwrite").partitionBy("route").json(f"{path}/batch_id={batch_id}")
 
     return failures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -112,8 +112,12 @@ def rate_limit(requests: DataFrame, client: str, ts: str, tie: str, limit: int =
 
 
 def dedupe_with_ttl(df: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int = 300) -> DataFrame:
-    """Keep an event unless one was kept for its key less than ``ttl`` before: a quota of one."""
-    return rate_limit(df, key, ts, tie, 1, ttl_seconds).filter("allowed").drop("allowed", "remaining", "retry_after")
+    """Keep an event unless one was kept for its key less than ``ttl`` before: a quota of one.
+
+    Events without a key are duplicates of nothing and stay.
+    """
+    kept = rate_limit(df, key, ts, tie, 1, ttl_seconds).filter("allowed").select(*df.columns)
+    return kept.unionByName(df.filter(F.col(key).isNull()))
 
 
 class Breaker:

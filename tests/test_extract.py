@@ -114,6 +114,17 @@ def test_long_documents_come_in_parts(spark):
     assert {(r.confidence, r.word_count) for r in got} == {(0.62, 25)} and len(got) == 3
 
 
+def test_a_long_document_is_judged_as_a_whole(spark, monkeypatch):
+    """Noise in the tail alone does not cost the tail."""
+    from gleanery.plans import journeys
+
+    monkeypatch.setattr(recognition.assemble_text, "__defaults__", ("doc_id", 10))
+    rows = [word("a", i, "clean words" if i < 20 else "?#?", 95) for i in range(25)] + [word("b", None, "alone", 95), word(None, 0, "nobody", 95)]
+    got = journeys.recognise(spark.createDataFrame(rows, WORDS), "txt").collect()
+    assert sorted(r.part for r in got if r.doc_id == "a") == [0, 1, 2]
+    assert {r.body for r in got if r.doc_id != "a"} == {"alone", "nobody"}
+
+
 def test_assemble_table(spark):
     cells = [("d", 0, [x * 50, y * 20, 50, 20], 0.9) for x in range(3) for y in range(2)] + [("e", 0, [0, 0, 1, 1], 1.0)]
     df = spark.createDataFrame(cells, "doc_id string, table_idx int, coordinates array<int>, confidence double")

@@ -83,9 +83,16 @@ def test_histogram_does_not_lay_out_rows_per_bound(spark, sf):
     assert text.count("Exchange") == 1 and "Generate" not in text and "Window" not in text
 
 
-def test_hot_keys_are_found_by_aggregation_and_broadcast(spark, sf):
+def test_numbering_needs_no_join(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    numbered = slices.number_rows(slices.by_time(events, ["user_id"], "ts"), ["user_id"], ["ts", "event_id"])
+    numbered = slices.number_rows(slices.by_range(events, ["user_id"], ["ts", "event_id"]), ["user_id"], ["ts", "event_id"])
     text = plan(numbered)
-    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert "Join" not in text
     assert re.search(r"Window \[.*user_id#\d+L, __slice", text)
+
+
+def test_candidates_of_a_percentile_are_not_ordered_in_one_task(spark, sf):
+    """Without groups, only one summary row per slice may meet in a single partition."""
+    text = plan(all_queries()["e09_percentile_exact_all"](spark, sf))
+    for window in re.findall(r"Window \[.*", text):
+        assert "__slice" in window, window

@@ -59,10 +59,16 @@ def same(a, b):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 500, 10**6])
-@pytest.mark.parametrize("seconds", [60, 3600, 10**6])
-def test_running_by_time(skewed, seconds, hot_rows):
-    same(sliced(slices.by_time(skewed, ["key"], "ts", seconds, hot_rows)), plain(skewed))
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_running_by_range(skewed, parts):
+    same(sliced(slices.by_range(skewed, ["key"], ["ts", "n"], parts)), plain(skewed))
+
+
+def test_no_slice_is_larger_than_a_partition(spark):
+    """One key with all rows in one second is still cut into even slices."""
+    rows = spark.range(20_000).select(F.lit("hot").alias("key"), F.timestamp_micros(F.col("id")).alias("ts"), "id")
+    cut = slices.by_range(rows, ["key"], ["ts", "id"], 20).groupBy("key", slices.SLICE).count().collect()
+    assert len(cut) == 20 and max(r["count"] for r in cut) < 3 * 1000
 
 
 @pytest.mark.parametrize("width", [1, 97, 500, 10**6])
@@ -74,10 +80,6 @@ def test_trailing_equals_a_range_frame(skewed, width):
     same(got, want)
 
 
-def test_running_by_range(skewed):
-    same(sliced(slices.by_range(skewed, ["key"], ["ts", "n"], 5)), plain(skewed))
-
-
 def test_number_all_is_the_global_order(skewed):
     rows = slices.number_all(skewed, ["ts", "n"]).collect()
     ordered = sorted(rows, key=lambda r: (r.ts, r.n))
@@ -99,10 +101,10 @@ def test_batch_size_must_be_positive(spark):
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
 @pytest.mark.parametrize("accuracy", [5, 100_000])
 def test_percentile_exact_even_with_a_coarse_sketch(skewed, q, accuracy):
-    got = {r.key: r.percentile for r in metrics.percentile_exact(skewed.na.drop(subset=["key"]), "value", q, ["key"], accuracy).collect()}
+    got = {r.key: r.percentile for r in metrics.percentile_exact(skewed, "value", q, ["key"], accuracy).collect()}
     values = {}
     for r in skewed.collect():
-        if r.key is not None and r.value is not None:
+        if r.value is not None:
             values.setdefault(r.key, []).append(r.value)
     want = {k: sorted(v)[min(int(q * len(v)), len(v) - 1)] for k, v in values.items()}
     assert got == want
@@ -111,5 +113,5 @@ def test_percentile_exact_even_with_a_coarse_sketch(skewed, q, accuracy):
 def test_counter_reset(spark):
     rows = [("a", i, 10 * i, v) for i, v in enumerate([5.0, 9.0, 2.0, 2.0, 7.0])]
     df = spark.createDataFrame(rows, "s string, id int, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
-    got = metrics.increase(df, ["s"], "ts", "id", "v", 21, slice_seconds=15).orderBy("second").collect()
+    got = metrics.increase(df, ["s"], "ts", "id", "v", 21).orderBy("second").collect()
     assert [r.increase for r in got] == [0.0, 4.0, 6.0, 6.0, 7.0]

@@ -167,14 +167,28 @@ def test_route_stream_is_idempotent(spark, tmp_path):
     )
     messages.write.json(str(tmp_path / "queue"))
     stream = readers.read_task_stream(spark, str(tmp_path / "queue")).withColumn("failed_at", F.col("scheduled_at"))
-    paths = [str(tmp_path / p) for p in ("retry", "dead")]
     for state in ("one", "two"):
         # A lost checkpoint replays the batch into the same folders.
-        routing.write_routes(stream, *paths, str(tmp_path / state)).awaitTermination()
-    retry = {r.task_id: (r.retry_count, r.scheduled_at) for r in spark.read.json(paths[0]).collect()}
+        routing.write_routes(stream, str(tmp_path / "routes"), str(tmp_path / state)).awaitTermination()
+    rows = spark.read.json(str(tmp_path / "routes")).collect()
+    retry = {r.task_id: (r.retry_count, r.scheduled_at) for r in rows if r.route == "retry"}
     assert {k: v[0] for k, v in retry.items()} == {"a": 1, "b": 3}
     assert retry["b"][1].startswith("2024-01-01T00:04:00")
-    assert [r.task_id for r in spark.read.json(paths[1]).collect()] == ["c"]
+    assert sorted((r.task_id, r.route) for r in rows if r.route != "retry") == [("c", "dead_letter"), ("d", "cancel")]
+
+
+def test_dedupe_keeps_events_without_a_key(spark):
+    rows = [(0, None, 0), (1, None, 1), (2, "k", 0), (3, "k", 1)]
+    df = spark.createDataFrame(rows, "id int, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert sorted(r.id for r in stateful.dedupe_with_ttl(df, "k", "ts", "id", 300).collect()) == [0, 1, 2]
+
+
+def test_an_alert_does_not_fire_over_a_gap(spark):
+    from gleanery.operators import alerts
+
+    ticks = spark.createDataFrame([("a", 0, True), ("a", 3600, True), ("b", 0, True), ("b", 300, True)], "k string, tick long, active boolean")
+    got = {(r.k, r.tick): (r.state, r.active_since) for r in alerts.alerts_for(ticks, ["k"], 5, 300).collect()}
+    assert got[("a", 3600)] == ("pending", 3600) and got[("b", 300)] == ("firing", 0)
 
 
 def test_log_stream_is_masked(spark, tmp_path):

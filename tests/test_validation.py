@@ -187,12 +187,26 @@ def test_apply_writes_in_order(spark):
     assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(1, "already exists"), (5, "not found"), (7, "not found")]
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
+def test_page_has_its_items_in_order_and_totals_past_the_end(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), "id")
-    shallow = [r.k for r in catalog.page_offset(df, ["k"], 4, 100).collect()]
-    monkeypatch.setattr(catalog, "DEEP_PAGE_ROW", 10)
-    deep = sorted(r.k for r in catalog.page_offset(df, ["k"], 4, 100).collect())
-    assert deep == shallow == list(range(300, 400))
+    page = catalog.page_offset(df, ["k"], 4, 100).first()
+    assert [r.k for r in page["items"]] == list(range(300, 400))
+    past = catalog.page_offset(df, ["k"], 9, 100).first()
+    assert past["items"] == [] and (past.total_items, past.total_pages, past.has_next, past.has_prev) == (500, 5, False, True)
+
+
+def test_create_refuses_repeated_keys(spark):
+    current = spark.createDataFrame([(1, "a")], "id int, v string")
+    rows = spark.createDataFrame([(1, "x"), (2, "b"), (2, "c")], "id int, v string")
+    state, refused = catalog.create_new(current, rows)
+    assert sorted(map(tuple, state.collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, refused.collect())) == [(1, "x"), (2, "c")]
+
+
+def test_a_type_suffix_is_no_number(spark):
+    df = spark.createDataFrame([("3D", "3"), ("5f", " -4.5e1 ")], "a string, b string")
+    got = v.coerce_numeric(df, ["a", "b"])
+    assert got.schema["a"].dataType.simpleString() == "string" and [r.b for r in got.collect()] == [3.0, -45.0]
 
 
 def test_keyset_pages_make_up_the_whole(spark):
