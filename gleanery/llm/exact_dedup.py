@@ -111,7 +111,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Rows repeated under one id, all of the same text or not, need counting and not only looking up.
     counts = marks.groupBy(F.col(id_col).alias(mine)).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
     repeated = stored(counts.filter("n > 1 and k > 0").select(mine), "repeated_ids")
-    once = kept if repeated.isEmpty() else kept.join(repeated, F.col(mine).eqNullSafe(repeated[mine]), "left_anti")
+    many = repeated.select(F.col(mine).alias(f"{mine}_many"))
+    once = kept.join(many, F.col(mine).eqNullSafe(F.col(f"{mine}_many")), "left_anti")
     plain = docs.join(once, same, "left_semi")
     if repeated.isEmpty():
         return plain

@@ -1,4 +1,3 @@
-import pandas as pd
 import pytest
 
 from gleanery.session import stored
@@ -7,7 +6,7 @@ from gleanery.session import stored
 @pytest.fixture(scope="session")
 def frame(spark):
     def make(rows, schema):
-        return spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema) if rows else spark.createDataFrame([], schema)
+        return spark.createDataFrame(rows, schema)
 
     return make
 

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ def families(frame):
 
 @pytest.mark.parametrize("short", [2, links.SHORT])
 def test_near_copies_of_families(families, short, monkeypatch):
+    for name in ("candidates", "settle"):
+        monkeypatch.setattr(links, name, partial(getattr(links, name), short=short))
     monkeypatch.setattr(links, "SHORT", short)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_copies(families, width=4).collect()}
     assert got == brute.near(pairs(families), 4)
@@ -107,9 +110,9 @@ def test_chunks_join_to_the_text(spark):
         assert all(len(c) <= exact_dedup.MOST_CHUNK for c in r.c)
 
 
-@pytest.mark.parametrize("short", [2, links.SHORT])
+@pytest.mark.parametrize("short", [2, line_dedup.SHORT])
 def test_fuzzy_lines(frame, short, monkeypatch):
-    monkeypatch.setattr(links, "SHORT", short)
+    monkeypatch.setattr(line_dedup, "SHORT", short)
     r = random.Random(5)
     words = [f"word{i}" for i in range(300)]
     base = [[r.choice(words) for _ in range(r.randint(20, 40))] for _ in range(4)]
