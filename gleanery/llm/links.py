@@ -20,9 +20,11 @@ from gleanery.session import stored
 SHORT = 8
 
 
-def _state(pairs: DataFrame) -> tuple[int, int]:
-    row = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none."""
+    twice = pairs.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    inner = pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return twice.union(inner).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,18 +37,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     pairs = stored(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = _state(pairs)
-    while state[0]:
+    while not _stars(pairs):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large_star")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         inner = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(inner.union(least.select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        before, state = state, _state(pairs)
-        if state == before:
-            break
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stored(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
 
@@ -66,24 +64,24 @@ def lists(entries: DataFrame) -> DataFrame:
     return stored(near if "own" in entries.columns else near.withColumns({"rank": F.lit(0), "own": F.lit(True)}), "lists")
 
 
-def candidates(near: DataFrame) -> DataFrame:
+def candidates(near: DataFrame, short: int = SHORT) -> DataFrame:
     """Distinct pairs (a, b), a < b: all of a short list, the centre's of a long one."""
-    short = near.filter(F.col("n") <= SHORT).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "own"))).alias("items"))
-    first = short.select("items", F.posexplode("items").alias("at", "x"))
-    pairs = first.select("x", F.explode(F.slice("items", F.col("at") + 2, F.lit(SHORT))).alias("y")).filter("x.own OR y.own")
-    star = near.filter((F.col("n") > SHORT) & (F.col("id") != F.col("centre")))
+    whole = near.filter(F.col("n") <= short).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "own"))).alias("items"))
+    first = whole.select("items", F.posexplode("items").alias("at", "x"))
+    pairs = first.select("x", F.explode(F.slice("items", F.col("at") + 2, F.lit(short))).alias("y")).filter("x.own OR y.own")
+    star = near.filter((F.col("n") > short) & (F.col("id") != F.col("centre")))
     star = star.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(star).distinct()
 
 
-def settle(near: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settle(near: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], short: int = SHORT) -> DataFrame:
     """Components of ``links`` and of all further links within the long lists of ``near``.
 
     ``verify`` keeps the true ones of pairs (a, b). Each round takes more centres, so the
     rounds are few; one that joins a list into a single component ends the work on it.
     """
-    long_lists = stored(near.filter(F.col("n") > SHORT).select("key", "id", "rank", "own"), "long_lists")
-    groups, done, lots = components(links), None, 1
+    long_lists = stored(near.filter(F.col("n") > short).select("key", "id", "rank", "own"), "long_lists")
+    groups, done, lots = components(links), None, 4
     if long_lists.isEmpty():
         return groups
     while True:
@@ -111,4 +109,4 @@ def settle(near: DataFrame, links: DataFrame, verify: Callable[[DataFrame], Data
         if not more.isEmpty():
             stars = groups.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = components(stars.union(more.select("a", "b")))
-        lots *= 4
+        lots *= 8
