@@ -26,10 +26,13 @@ def short_batches(spark: SparkSession) -> None:
 def filtered_scans(spark: SparkSession) -> None:
     """Let Spark filter any scan by the keys it is to be joined with, before it is shuffled.
 
-    This is Spark's own runtime Bloom filter; by default it looks at large scans only.
+    This is Spark's own runtime Bloom filter, of bounded size whatever it is built from.
+    By default it looks at large scans and small sets of keys only, so that a job moves
+    more of its texts the larger it is.
     """
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "100g")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

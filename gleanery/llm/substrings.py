@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import last, required, short_batches, whole
+from gleanery.llm.common import filtered_scans, last, required, short_batches, whole
 from gleanery.session import stored
 
 #: Length of the strings looked for, in bytes, and of the lead that names a suffix.
 LENGTH = 100
 LEAD = 32
+#: Contexts of one lead, of at most 168 bytes each, that are compared in one place. Those
+#: of a lead with more meet by the hashes of their windows.
+FEW = 4096
 #: Windows handled at once in a long text.
 BLOCK = 1 << 20
 
@@ -132,17 +135,16 @@ def _suffixes(texts: DataFrame) -> DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats in one sorted bucket: (doc, place, repeated).
+    """Repeats in one sorted bucket: (lead, doc, place, repeated).
 
     ``repeated``: the same lead and context stand before. Otherwise the suffix is the
     first of its context here, and its lead has other contexts or lies at an end of the
     bucket, so its windows have yet to be compared.
     """
 
-    def rows(doc: np.ndarray, place: np.ndarray, repeated: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(place), pa.array(np.full(len(doc), repeated))], names=["doc", "place", "repeated"]
-        )
+    def rows(lead: np.ndarray, doc: np.ndarray, place: np.ndarray, repeated: bool) -> pa.RecordBatch:
+        columns = [pa.array(lead), pa.array(doc), pa.array(place), pa.array(np.full(len(doc), repeated))]
+        return pa.RecordBatch.from_arrays(columns, names=["lead", "doc", "place", "repeated"])
 
     lead_before = context_before = None
     last_row: tuple[int, int] | None = None
@@ -175,14 +177,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
         repeated = ~new_context & ~same
         if repeated.any():
-            yield rows(doc[repeated], place[repeated], True)
+            yield rows(lead[repeated], doc[repeated], place[repeated], True)
         compare = new_context & many[run]
         if compare.any():
-            yield rows(doc[compare], place[compare], False)
+            yield rows(lead[compare], doc[compare], place[compare], False)
         end = run[-1]
         if not many[end] and new_context[run == end].any():
             at = np.flatnonzero((run == end) & new_context)
-            held = (doc[at], place[at])
+            held = (lead[at], doc[at], place[at])
         if end > 0 and (end > 1 or not new_lead[0] or lead_before is not None):
             first_lead = False
         contexts = int(total[end])
@@ -192,31 +194,63 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*held, False)
 
 
-def _window_hashes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w1, w2, doc, start) of every window of the wanted suffixes."""
-    places = wanted.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"))
+def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lead, n, doc, start, context) of the wanted suffixes: the bytes their windows cover."""
+    places = wanted.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("place", "lead", "n"))).alias("places"))
+    # The condition that the list is not empty tells Spark that the texts are few.
+    places = stored(places, "wanted_suffixes").filter(F.size("places") > 0)
     joined = texts.join(places, "doc").select("doc", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(text.encode(), np.uint8)
-                packed = np.array(packed, np.int64)
-                first, number = packed >> 8, packed & 0xFF
-                for begin in range(0, len(data), BLOCK):
-                    here = (first >= begin) & (first < begin + BLOCK)
-                    if not here.any():
-                        continue
-                    part = data[begin : begin + BLOCK + 2 * LENGTH]
-                    ends = np.cumsum(number[here])
-                    start = np.repeat(first[here] - begin - ends + number[here], number[here]) + np.arange(ends[-1])
-                    pair = [h.of(h.load(part), start, start + LENGTH) for h in _hashes()]
-                    yield pa.RecordBatch.from_arrays(
-                        [_longs(pair[0]), _longs(pair[1]), pa.array(np.full(len(start), doc, np.int64)), pa.array(start + begin)],
-                        names=["w1", "w2", "doc", "start"],
-                    )
-
-    return joined.mapInArrow(run, "w1 long, w2 long, doc long, start long")
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                data = text.encode()
+                first = [p["place"] >> 8 for p in found]
+                cut = [data[f : f + (p["place"] & 0xFF) + LENGTH - 1] for f, p in zip(first, found)]
+                columns = [[p["lead"] for p in found], [p["n"] for p in found], [doc] * len(found), first]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, pa.int64()) for c in columns], pa.array(cut, pa.binary())],
+                    names=["lead", "n", "doc", "start", "context"],
+                )
+
+    return joined.mapInArrow(run, "lead long, n long, doc long, start long, context binary")
+
+
+def _compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, start, end) of the repeated windows of leads with few contexts, sorted by lead."""
+    lead_before, row_before, seen = None, None, set()
+    for batch in batches:
+        out = []
+        for lead, doc, start, context in zip(*(c.to_pylist() for c in batch.columns)):
+            if lead != lead_before:
+                lead_before, seen = lead, set()
+            elif (doc, start) == row_before:
+                continue
+            row_before, since = (doc, start), None
+            for k in range(len(context) - LENGTH + 2):
+                window = context[k : k + LENGTH]
+                if len(window) == LENGTH and window in seen:
+                    since = k if since is None else since
+                else:
+                    if since is not None:
+                        out.append((doc, start + since, start + k - 1 + LENGTH))
+                        since = None
+                    seen.add(window)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start", "end"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, doc, start) of every window of the given contexts."""
+    for batch in batches:
+        for doc, first, context in zip(*(c.to_pylist() for c in batch.columns)):
+            data = np.frombuffer(context, np.uint8)
+            start = np.arange(len(data) - LENGTH + 1)
+            pair = [h.of(h.load(data), start, start + LENGTH) for h in _hashes()]
+            yield pa.RecordBatch.from_arrays(
+                [_longs(pair[0]), _longs(pair[1]), pa.array(np.full(len(start), doc, np.int64)), pa.array(start + first)],
+                names=["w1", "w2", "doc", "start"],
+            )
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -227,14 +261,21 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """
     keys = ["lead", "context", "doc", "place"]
     buckets = _suffixes(texts).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    found = stored(buckets.mapInArrow(_walk, "doc long, place long, repeated boolean"), "common_suffixes")
+    found = stored(buckets.mapInArrow(_walk, "lead long, doc long, place long, repeated boolean"), "common_suffixes")
     start = F.shiftright("place", 8)
     spans = found.filter("repeated").select("doc", start.alias("start"), (start + F.expr("place & 255") - 1 + LENGTH).alias("end"))
-    windows = stored(_window_hashes(texts, found.filter("NOT repeated")), "windows")
+    compare = found.filter("NOT repeated").select("lead", "doc", "place").distinct()
+    counts = stored(compare.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1"), "lead_counts")
+    contexts = stored(_contexts(texts, compare.join(counts, "lead")), "contexts")
+    few = contexts.filter(F.col("n") <= FEW).select("lead", "doc", "start", "context")
+    few = few.repartition("lead").sortWithinPartitions("lead", "doc", "start").mapInArrow(_compare_few, "doc long, start long, end long")
+    # A lead with very many contexts is not gathered; its windows meet by their hashes.
+    many = contexts.filter(F.col("n") > FEW).select("doc", "start", "context")
+    windows = stored(many.mapInArrow(_windows, "w1 long, w2 long, doc long, start long"), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.filter("n > 1").drop("n"), "first_windows")
     later = windows.join(firsts, ["w1", "w2"]).filter(F.struct("doc", "start") != F.col("first"))
-    return spans.union(later.select("doc", "start", (F.col("start") + LENGTH).alias("end")))
+    return spans.union(few).union(later.select("doc", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -268,36 +309,38 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     required(docs, id_col, text_col)
     short_batches(docs.sparkSession)
+    filtered_scans(docs.sparkSession)
     texts, names = _numbered(docs, id_col, text_col)
     # A text has no more spans than bytes.
     spans = repeated_spans(texts).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(spans, "doc", "left").select("doc", "text", "spans.start", "spans.end")
+    spans = stored(spans, "spans").filter(F.size("spans") > 0)
+    joined = texts.join(spans, "doc").select("doc", "text", "spans.start", "spans.end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts, ends in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for doc, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
-                if not starts:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-                    continue
                 edges = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edges, np.array(starts), 1)
                 np.add.at(edges, np.array(ends), -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    result = joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                out.append((doc, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc", "removed", "runs", "left"])
+
+    changed = stored(joined.mapInArrow(run, "doc long, removed long, runs long, left string").distinct(), "changed_texts")
+    # Texts without spans need no second look at their bytes.
+    plain = texts.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
+    none = F.lit(0).cast("long")
+    result = plain.join(changed, "doc", "left").select(
+        "doc", "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("runs", none).alias("n_spans"),
+        F.coalesce("left", "digest").alias("kept_sha256"),
+    )
     if names is None:
         kind = docs.schema[id_col].dataType
         return result.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_col)
-    joined = names.join(result.distinct(), "doc").drop("doc")
-    return joined.withColumnRenamed("id", id_col)
+    return names.join(result.distinct(), "doc").drop("doc").withColumnRenamed("id", id_col)
