@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from gleanery.llm.common import required, short_batches, without
 
 #: Distinct pieces remembered by a worker; the memory they take is bounded by it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer pieces are not remembered.
 SHORT_PIECE = 64
 

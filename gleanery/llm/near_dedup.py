@@ -34,7 +34,7 @@ SIFT_PERCENT = 40
 #: Set sizes are listed in classes this factor wide.
 SIZE_CLASS = 1.02
 #: Words remembered by a worker.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _MASK = (1 << 64) - 1
 
