@@ -102,8 +102,8 @@ def mix(
     counted = drawn.join(rates, F.col(source_col).eqNullSafe(F.col(mine))).withColumn(
         "n_copies", F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u))).cast("int")
     )
-    # A single 0 in the table stands for rate 0.
-    counted = counted.withColumn("n_copies", F.when(F.element_at(cdf, 1) == 0.0, F.lit(0)).otherwise(F.col("n_copies")))
+    # A table of one entry stands for rate 0. Its first entry does not tell: exp(-rate) is 0.0 from a rate of 746 on.
+    counted = counted.withColumn("n_copies", F.when(F.size(cdf) == 1, F.lit(0)).otherwise(F.col("n_copies")))
     copies = counted.filter("n_copies > 0").select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies"
     )

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -163,6 +164,20 @@ def test_poisson_cdf(spark):
             assert abs(mean - r.rate) < 1e-6 * max(1, r.rate)
 
 
+def test_mix_repeats_a_rare_source_most(spark):
+    """At rates where exp(-rate) is 0.0, counts are still those of the inverted distribution."""
+    docs = spark.sql("SELECT id AS doc_id, if(id < 12, NULL, if(id < 20, 'rare', if(id < 50, 'big', 'unwanted'))) AS source FROM range(60)")
+    mixed = mixing.mix(docs, {None: 12 * 1000.0, "rare": 8 * 1700.0, "big": 30.0}, total=25_630)
+    got = {r.doc_id: r.n_copies for r in mixed.select("doc_id", "n_copies").distinct().collect()}
+    for doc_id in range(20):
+        rate = 1000.0 if doc_id < 12 else 1700.0
+        k = np.arange(3000)
+        cdf = np.cumsum(np.exp(k * np.log(rate) - rate - np.array([math.lgamma(x + 1) for x in k])))
+        u = int(hashlib.md5(f"0|{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert got[doc_id] == np.sum(cdf <= u) and abs(got[doc_id] - rate) < 6 * rate**0.5
+    assert mixed.count() == sum(got.values()) and max(got) < 50
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     mixed = mixing.mix(odd_docs, seed=3)
     again = mixing.mix(odd_docs, seed=3)
