@@ -96,7 +96,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_fuzzy_lines")
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.similar_lines(table(spark, sf_dir, "documents"))
 
 
 @query("op9_repeated_substrings")

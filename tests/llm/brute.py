@@ -109,6 +109,27 @@ def fuzzy_lines(docs, least_words=5, distance=2, percent=90):
     return out
 
 
+def similar_lines(docs, percent=90):
+    """doc_id -> numbers of the lines that repeat an earlier one, by edit similarity alone."""
+    places = [(i, n, x) for i, text in docs for n, x in enumerate(map(normalised, (text or "").split("\n"))) if x]
+    lines = sorted({x for _, _, x in places}, key=len)
+    groups = Union(range(len(lines)))
+    for b, y in enumerate(lines):
+        allowed = len(y) * (100 - percent) // 100
+        for a, x in enumerate(lines[:b]):
+            # Each edit changes the counts of characters by two at most.
+            if len(y) - len(x) <= allowed and (Counter(y) - Counter(x)).total() <= allowed and edits(x, y) <= allowed:
+                groups.join(a, b)
+    number = {x: k for k, x in enumerate(lines)}
+    seen, out = set(), defaultdict(list)
+    for i, n, x in sorted(places):
+        group = groups.find(number[x])
+        if group in seen:
+            out[i].append(n)
+        seen.add(group)
+    return out
+
+
 def exact(docs):
     """doc_id -> (keep_id, group size, digest)."""
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in docs}

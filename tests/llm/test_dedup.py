@@ -4,7 +4,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, line_dedup, links, near_dedup, substrings
+from gleanery.llm import exact_dedup, line_dedup, links, near_dedup, queries, substrings
 from gleanery.llm.common import table
 from tests.llm import brute
 
@@ -144,6 +144,36 @@ def test_fuzzy_lines_of_odd_rows(odd_docs, no_docs):
     assert line_dedup.fuzzy_lines(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("short", [2, line_dedup.SHORT])
+def test_similar_lines(spark, frame, short, monkeypatch):
+    """Every line that is not empty takes part, and edit similarity alone decides."""
+    monkeypatch.setattr(line_dedup, "SHORT", short)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x5E00)) for _ in range(n))
+    rows = ["Home | About", "HOME, about!", "...", None, "", "Home\nHome\n\nhome", "ab cdefgh", "xb cdefgh", "ab cdefghi"]
+    for size in (3, 10, 20, 50, 100):
+        for _ in range(6):
+            line = [word() for _ in range(size)]
+            near, far = list(line), list(line)
+            near[r.randrange(size)] = word()
+            for k in r.sample(range(size), size // 3):
+                far[k] = word()
+            rows.append("\n".join(" ".join(x) for x in (line, near, far)))
+    for size in (5, 30, 80):
+        text = han(size)
+        rows += [text, text, text[: size // 2] + han(1) + text[size // 2 + 1 :], text[1:]]
+    docs = frame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute.similar_lines(pairs(docs))
+    got = {x.doc_id: x.removed for x in line_dedup.similar_lines(docs).collect()}
+    assert got == {i: want.get(i, []) for i, _ in pairs(docs)}
+    assert got[1] == [0] and got[5] == [1, 3] and got[8] == [0] and got[7] == []
+    left = {x.doc_id: x.text for x in line_dedup.drop_similar_lines(docs).collect()}
+    assert (left[1], left[3], left[5]) == ("", None, "Home\n")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {x.doc_id: x.removed for x in queries.op8_fuzzy_lines(spark, "").collect()} == got
+
+
 @pytest.mark.parametrize("parts", ["4", "40"])
 def test_repeated_strings(spark, frame, parts):
     r = random.Random(7)
