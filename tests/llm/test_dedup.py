@@ -174,6 +174,15 @@ def test_similar_lines(spark, frame, short, monkeypatch):
     assert {x.doc_id: x.removed for x in queries.op8_fuzzy_lines(spark, "").collect()} == got
 
 
+def test_op8_takes_short_and_unspaced_lines(spark, frame, monkeypatch):
+    unspaced = "".join(chr(0x4E00 + 37 * k % 4001) for k in range(40))
+    rows = ["Home", "home!", "--", "--", unspaced, unspaced, unspaced[:20] + "字" + unspaced[21:]]
+    docs = frame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = {x.doc_id: x.removed for x in queries.op8_fuzzy_lines(spark, "").collect()}
+    assert got == {0: [], 1: [0], 2: [], 3: [], 4: [], 5: [0], 6: [0]}
+
+
 @pytest.mark.parametrize("parts", ["4", "40"])
 def test_repeated_strings(spark, frame, parts):
     r = random.Random(7)
