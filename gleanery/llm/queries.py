@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, classifier, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, rules, sharding, substrings, warc
+from gleanery.llm import bpe, classifier, decontaminate, exact_dedup, line_dedup, merkle, mixing, near_dedup, rules, sharding, substrings, warc
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
+
+
+@query("op12_merkle_manifest", merkle.ORACLE_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.fifth(), columns)
