@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, classifier, decontaminate, exact_dedup, line_dedup, merkle, mixing, near_dedup, rules, sharding, substrings, warc
+from gleanery.llm import bpe, classifier, collocations, decontaminate, exact_dedup, line_dedup, merkle, mixing, near_dedup, rules, sharding, substrings, warc
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.fifth(), columns)
+
+
+@query("op13_collocations", collocations.ORACLE_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
