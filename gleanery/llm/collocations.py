@@ -41,7 +41,7 @@ MOST_WORDS = 1 << 20
 #: Bytes of text that are counted at once.
 SEGMENT = 4 << 20
 
-# Packed phrases differ in few bits, so the hash tables get them multiplied by an odd number.
+# Packed phrases differ in few bits, so the hash tables get them mixed, in a way that can be undone.
 _SPREAD = 0x9E3779B97F4A7C15
 _GATHER = pow(_SPREAD, -1, 1 << 64)
 # Three word numbers of 21 bits make a key; 0 stands for no word.
@@ -59,8 +59,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
 
 
-def _times(keys: np.ndarray, factor: int) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(factor)).view(np.int64)
+def _spread(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.view(np.uint64) * np.uint64(_SPREAD)
+    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
+
+
+def _gather(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.view(np.uint64)
+    return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(_GATHER)).view(np.int64)
 
 
 class Container:
@@ -72,7 +78,7 @@ class Container:
         self.size = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append(pa.table({"k": _times(keys, _SPREAD), "c": counts}))
+        self.waiting.append(pa.table({"k": _spread(keys), "c": counts}))
         self.size += len(keys)
         if self.size > 2 * max(BURST // 4, self.table.num_rows):
             self.enter()
@@ -86,7 +92,7 @@ class Container:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         self.enter()
-        return _times(self.table.column("k").to_numpy(), _GATHER), self.table.column("c").to_numpy()
+        return _gather(self.table.column("k").to_numpy()), self.table.column("c").to_numpy()
 
 
 class Trie:
