@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions.values import epoch_seconds, url_netloc
-from gleanery.plans import slices
+from gleanery.plans import grid, slices
 from gleanery.plans.joins import null_safe_join
 
 # Histogram bucket bounds in seconds.
@@ -409,25 +409,30 @@ def changes(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value:
     return slices.trailing(per_second, series, "second", seconds, {"changes": ("sum", F.col("c"))})
 
 
-def request_rates(samples: DataFrame, by: Sequence[str], series: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:
-    """Sum of the series' rates by ``by`` at each second with a sample of any of them.
+def grid_rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, seconds: int = grid.LOOKBACK, step: int = grid.STEP) -> DataFrame:
+    """Per-second rate of a counter at every tick with a sample in ``(tick - seconds, tick]``."""
+    deltas = counter_deltas(samples, series, ts, tie, value)
+    grown = grid.trailing_sums(deltas, series, ts, {"__grown": F.col("delta")}, seconds, step)
+    return grown.select(*series, "tick", (F.coalesce("__grown", F.lit(0.0)) / F.lit(float(seconds))).alias("rate"))
 
-    A series counts at its own sample seconds only; align samples to a scrape
-    interval to add up series taken at different moments.
-    """
-    rates = rate(samples, series, ts, tie, value, seconds)
-    return rates.groupBy(*by, "second").agg(F.sum("rate").alias("rate"))
+
+def request_rates(samples: DataFrame, by: Sequence[str], series: Sequence[str], ts: str, tie: str, value: str, seconds: int = grid.LOOKBACK, step: int = grid.STEP) -> DataFrame:
+    """Sum of the series' rates by ``by`` at each tick, whenever each was sampled."""
+    rates = grid_rate(samples, series, ts, tie, value, seconds, step)
+    return rates.groupBy(*by, "tick").agg(F.sum("rate").alias("rate"))
 
 
-def utilization(cpu: DataFrame, memory: DataFrame, seconds: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(cpu, memory) utilisation ratios.
+def utilization(cpu: DataFrame, memory: DataFrame, seconds: int = grid.LOOKBACK, step: int = grid.STEP) -> tuple[DataFrame, DataFrame]:
+    """(cpu, memory) utilisation ratios per instance and tick.
 
-    ``cpu(instance, core, mode, ts, tie, value)`` holds cumulated seconds;
-    ``memory(instance, ts, available, total)`` holds bytes.
+    ``cpu(instance, core, mode, ts, tie, value)`` holds cumulated seconds; the cores of an
+    instance may be sampled at different moments. ``memory(instance, ts, tie, available,
+    total)`` holds bytes, of which the last sample counts.
     """
-    idle = rate(cpu.filter(F.col("mode") == "idle"), ["instance", "core"], "ts", "tie", "value", seconds)
-    busy = idle.groupBy("instance", "second").agg((F.lit(1.0) - F.avg("rate")).alias("cpu_utilization"))
-    used = memory.withColumn("memory_utilization", F.lit(1.0) - F.try_divide("available", "total"))
+    idle = grid_rate(cpu.filter(F.col("mode") == "idle"), ["instance", "core"], "ts", "tie", "value", seconds, step)
+    busy = idle.groupBy("instance", "tick").agg((F.lit(1.0) - F.avg("rate")).alias("cpu_utilization"))
+    held = grid.last_values(memory, ["instance"], "ts", ["tie"], ["available", "total"], step)
+    used = held.select("instance", "tick", (F.lit(1.0) - F.try_divide("available", "total")).alias("memory_utilization"))
     return busy, used
 
 

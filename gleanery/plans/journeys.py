@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import clean_text, noise_ratio
 from gleanery.functions.values import epoch_seconds
-from gleanery.operators import alerts, extract, metrics, recognition, validation
+from gleanery.operators import alerts, extract, monitoring, recognition, validation
 from gleanery.operators.validation import Rule
 
 
@@ -60,18 +60,7 @@ def recognise(words: DataFrame, fmt: str = "json", minimum: float = 0.85) -> Dat
     return recognition.format_ocr(documents.filter(good), fmt)
 
 
-def latency_alerts(requests: DataFrame, by: Sequence[str], seconds: str, limit: float = 0.5, minutes: float = 5, interval: int = 60) -> DataFrame:
-    """Request log -> p95 per ``interval`` seconds -> alert states -> inhibited and routed alerts."""
-    whole = F.floor(epoch_seconds(F.col("ts")) / F.lit(interval)) * F.lit(interval)
-    minute = requests.withColumn("tick", F.timestamp_seconds(whole))
-    p95 = metrics.duration_quantile(minute, seconds, metrics.API_BUCKETS, 0.95, [*by, "tick"])
-    states = alerts.alerts_for(alerts.evaluate(p95, by, "tick", F.col("quantile") > limit, interval), by, minutes, interval)
-    firing = states.filter(F.col("state") == "firing").select(
-        F.lit("APIHighLatency").alias("alertname"),
-        F.lit(None).cast("string").alias("cluster"),
-        F.concat_ws("/", *by).alias("service"),
-        F.lit("warning").alias("severity"),
-        "tick",
-        "active_since",
-    )
-    return alerts.route_alerts(alerts.inhibit(firing))
+def latency_alerts(requests: DataFrame, by: Sequence[str], seconds: str, ts: str = "ts", rule: monitoring.AlertRule = monitoring.HIGH_LATENCY) -> DataFrame:
+    """Request log -> p95 of five minutes at each tick -> alerts that fire -> inhibited and routed."""
+    fired = monitoring.firing(monitoring.latency_p95(requests, by, ts, seconds), by, rule)
+    return alerts.route_alerts(alerts.inhibit(fired))

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("cleaning", "rules", "catalog", "metrics", "sequences", "extraction", "streams", "storage")
+_MODULES = ("cleaning", "rules", "catalog", "metrics", "alerting", "sequences", "extraction", "streams", "storage")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -308,16 +308,44 @@ def rate(spark, sf):
     return rounded(metrics.rate(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "value", 10_000), "rate")
 
 
-_HOURLY = "(SELECT event_id, user_id, event_type, value, date_trunc('hour', ts) AS ts FROM events)"
+def grid_sql(by: str, sums: dict[str, str], source: str, seconds: int = 300) -> str:
+    """SQL twin of ``grid.trailing_sums``: CTEs ``slots`` (all ticks) and ``g`` (the sums)."""
+    per_tick = ", ".join(f"sum({e}) AS {n}" for n, e in sums.items())
+    over = ", ".join(f"sum({n}) OVER w AS {n}" for n in sums)
+    return f"""b AS (SELECT {by}, CAST(ceil(epoch_us(ts) / 15000000.0) * 15 AS BIGINT) AS tick, {per_tick} FROM {source} GROUP BY ALL),
+         spans AS (SELECT {by}, tick, least(coalesce(lead(tick) OVER (PARTITION BY {by} ORDER BY tick), tick + {seconds}), tick + {seconds}) AS until FROM b),
+         slots AS (SELECT {by}, unnest(range(tick, until, 15)) AS tick FROM spans),
+         g AS (SELECT {by}, tick, {over} FROM slots LEFT JOIN b USING ({by}, tick)
+               WINDOW w AS (PARTITION BY {by} ORDER BY tick RANGE BETWEEN {seconds - 15} PRECEDING AND CURRENT ROW))"""
+
+
+def asof_rate_sql(series: str, source: str) -> str:
+    """Rates on the grid by looking up the counter's growth as of each tick and five minutes before."""
+    same = lambda t: " AND ".join(f"{t}.{c.strip()} = s.{c.strip()}" for c in series.split(","))
+    return f"""d AS (SELECT {series}, ts, event_id, CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS delta
+              FROM {source} WINDOW w AS (PARTITION BY {series} ORDER BY ts, event_id)),
+            c AS (SELECT {series}, ts, max(total) AS total FROM (
+                    SELECT {series}, ts, coalesce(sum(delta) OVER (PARTITION BY {series} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS total FROM d) GROUP BY ALL),
+            {grid_sql(series, {"n": "1"}, source)},
+            s AS (SELECT *, make_timestamp(tick * 1000000) AS now, make_timestamp((tick - 300) * 1000000) AS back FROM slots),
+            r AS (SELECT s.*, a.total - coalesce(z.total, 0) AS grown FROM s ASOF JOIN c a ON {same("a")} AND s.now >= a.ts ASOF LEFT JOIN c z ON {same("z")} AND s.back >= z.ts)"""
 
 
 @query(
     "e20_request_rates",
-    f"WITH {_rate_sql('event_type, user_id', 'value', 300, _HOURLY)} SELECT event_type, second, round(sum(grown / 300), 4) AS rate FROM grown GROUP BY ALL",
+    f"WITH {asof_rate_sql('event_type, user_id', 'events')} SELECT event_type, tick, round(sum(grown) / 300, 4) AS rate FROM r GROUP BY ALL",
 )
 def request_rates(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    return rounded(metrics.request_rates(e, ["event_type"], ["event_type", "user_id"], "ts", "event_id", "value", 300), "rate", digits=4)
+    e = table(spark, sf, "events")
+    return rounded(metrics.request_rates(e, ["event_type"], ["event_type", "user_id"], "ts", "event_id", "value"), "rate", digits=4)
+
+
+@query(
+    "f11_grid_rate",
+    f"WITH {asof_rate_sql('user_id', 'events')} SELECT user_id, tick, round(grown / 300, 4) AS rate FROM r",
+)
+def grid_rate(spark, sf):
+    return rounded(metrics.grid_rate(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "value"), "rate", digits=4)
 
 
 @query(
@@ -332,51 +360,34 @@ def changes(spark, sf):
     return metrics.changes(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "event_type", 86_400)
 
 
-_CPU = "(SELECT event_id, user_id AS instance, event_type AS core, value, date_trunc('day', ts) AS ts FROM events WHERE event_type IN ('view', 'click'))"
+_CPU = "(SELECT event_id, user_id % 2 AS instance, event_type AS core, value, ts FROM events WHERE event_type <> 'error')"
+
+
+def node_samples(spark, sf):
+    """Events as samples of two instances: (cpu, memory)."""
+    e = table(spark, sf, "events").withColumns({"instance": F.col("user_id") % 2, "tie": F.col("event_id")})
+    mode = F.when(F.col("event_type") != "error", F.lit("idle")).otherwise(F.lit("user"))
+    cpu = e.select("instance", F.col("event_type").alias("core"), mode.alias("mode"), "ts", "tie", "value")
+    return cpu, e.select("instance", "ts", "tie", F.col("value").alias("available"), F.lit(500.0).alias("total"))
 
 
 @query(
     "e19_utilization_cpu",
-    f"WITH {_rate_sql('instance, core', 'value', 300, _CPU)} SELECT instance, second, round(1 - avg(grown / 300), 6) AS cpu_utilization FROM grown GROUP BY ALL",
+    f"WITH {asof_rate_sql('instance, core', _CPU)} SELECT instance, tick, round(1 - avg(grown / 300), 7) AS cpu_utilization FROM r GROUP BY ALL",
 )
 def utilization_cpu(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp")))
-    cpu = e.select(
-        F.col("user_id").alias("instance"),
-        F.col("event_type").alias("core"),
-        F.when(F.col("event_type").isin("view", "click"), F.lit("idle")).otherwise(F.lit("user")).alias("mode"),
-        "ts",
-        F.col("event_id").alias("tie"),
-        "value",
-    )
-    memory = e.select(F.col("user_id").alias("instance"), "ts", F.col("value").alias("available"), F.lit(500.0).alias("total"))
-    return rounded(metrics.utilization(cpu, memory)[0], "cpu_utilization")
+    return rounded(metrics.utilization(*node_samples(spark, sf))[0], "cpu_utilization", digits=7)
 
 
-@query("e19_utilization_memory", "SELECT event_id, round(1 - value / 500.0, 6) AS memory_utilization FROM events")
-def utilization_memory(spark, sf):
-    e = table(spark, sf, "events")
-    memory = e.select("event_id", F.col("user_id").alias("instance"), "ts", F.col("value").alias("available"), F.lit(500.0).alias("total"))
-    cpu = e.select(F.col("user_id").alias("instance"), F.lit("0").alias("core"), F.lit("idle").alias("mode"), "ts", F.col("event_id").alias("tie"), "value")
-    return rounded(metrics.utilization(cpu, memory)[1].select("event_id", "memory_utilization"), "memory_utilization")
-
-
-_MINUTES = "(SELECT endpoint, seconds, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS tick FROM requests)"
-_P95 = _quantile_sql(f"WITH {REQUESTS}, h AS ({_histogram_sql(_MINUTES, 'seconds', metrics.API_BUCKETS, 'endpoint, tick')})", "endpoint, tick", 0.95)
+MEMORY_SQL = f"""m AS (SELECT user_id % 2 AS instance, ts, arg_max(value, event_id) AS available FROM events GROUP BY ALL),
+     {grid_sql("instance", {"n": "1"}, "m")},
+     s AS (SELECT *, make_timestamp(tick * 1000000) AS now FROM slots),
+     used AS (SELECT s.instance, tick, 1 - available / 500.0 AS value FROM s ASOF JOIN m ON m.instance = s.instance AND s.now >= m.ts)"""
 
 
-@query(
-    "f08_latency_alerts",
-    f"""WITH q AS ({_P95}),
-         qg AS (SELECT endpoint, tick, quantile > 0.5 AS active, row_number() OVER (PARTITION BY endpoint, quantile > 0.5 ORDER BY tick) * 3600 AS steps FROM q),
-         st AS (SELECT endpoint, tick, active, tick - steps AS run FROM qg),
-         sn AS (SELECT *, min(tick) OVER (PARTITION BY endpoint, active, run) AS since FROM st)
-       SELECT endpoint AS service, tick, since AS active_since, 'email-warnings' AS receiver, 'APIHighLatency_' || endpoint AS dedup_key
-       FROM sn WHERE active AND tick - since >= 7200""",
-)
-def latency_alerts(spark, sf):
-    fired = journeys.latency_alerts(requests(spark, sf), ["endpoint"], "seconds", minutes=120, interval=3600)
-    return fired.select("service", "tick", "active_since", "receiver", "dedup_key")
+@query("e19_utilization_memory", f"WITH {MEMORY_SQL} SELECT instance, tick, round(value, 6) AS memory_utilization FROM used")
+def utilization_memory(spark, sf):
+    return rounded(metrics.utilization(*node_samples(spark, sf))[1], "memory_utilization")
 
 
 _EVAL = """ev AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS tick, bool_and(value < 150) AS active FROM events GROUP BY ALL),
