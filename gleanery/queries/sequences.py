@@ -130,18 +130,26 @@ def route_alerts(spark, sf):
 
 @query(
     "h07_group_alerts",
-    f"""WITH {_ALERTS}, m AS (SELECT alertname, service, severity, user_id, min(second) AS joined FROM alerts GROUP BY ALL),
-        g AS (SELECT *, min(joined) OVER (PARTITION BY alertname, service, severity) +
-                CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 60 ELSE 30 END AS flush_0,
-                CASE severity WHEN 'critical' THEN 12 WHEN 'warning' THEN 72 ELSE 48 END AS step FROM m),
-        t AS (SELECT alertname, service, severity, flush_0, step, CAST(greatest(0, ceil((joined - flush_0) / 300.0)) AS BIGINT) AS tick, count(*) AS n FROM g GROUP BY ALL),
-        s AS (SELECT *, CAST(floor((epoch(TIMESTAMP '2024-01-31') - flush_0) / 300.0) AS BIGINT) AS last_tick,
+    f"""WITH {_ALERTS}, a AS (SELECT DISTINCT alertname, service, severity, user_id, second FROM alerts),
+        i AS (SELECT *, CASE WHEN second - lag(second) OVER (PARTITION BY alertname, service, severity, user_id ORDER BY second) < 300 THEN 0 ELSE 1 END AS first FROM a),
+        j AS (SELECT *, sum(first) OVER (PARTITION BY alertname, service, severity, user_id ORDER BY second) AS span FROM i),
+        m AS (SELECT alertname, service, severity, user_id, span, min(second) AS joined, max(second) + 300 AS ended FROM j GROUP BY ALL),
+        o AS (SELECT *, CASE WHEN joined < max(ended) OVER (PARTITION BY alertname, service, severity ORDER BY joined, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                THEN 0 ELSE 1 END AS begins FROM m),
+        l AS (SELECT *, sum(begins) OVER (PARTITION BY alertname, service, severity ORDER BY joined, user_id ROWS UNBOUNDED PRECEDING) AS life FROM o),
+        g AS (SELECT *, min(joined) OVER w + CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 60 ELSE 30 END AS flush_0, max(ended) OVER w AS over_at,
+                CASE severity WHEN 'critical' THEN 12 WHEN 'warning' THEN 72 ELSE 48 END AS step FROM l WINDOW w AS (PARTITION BY alertname, service, severity, life)),
+        t AS (SELECT alertname, service, severity, life, flush_0, over_at, step, CAST(greatest(0, ceil((joined - flush_0) / 300.0)) AS BIGINT) AS tick, count(*) AS n FROM g GROUP BY ALL),
+        s AS (SELECT *, CAST(floor((least(epoch(TIMESTAMP '2024-01-31'), over_at - 1) - flush_0) / 300.0) AS BIGINT) AS last_tick,
                 lead(tick) OVER w AS next_tick, CAST(sum(n) OVER w AS BIGINT) AS members FROM t
-              WINDOW w AS (PARTITION BY alertname, service, severity ORDER BY tick)),
-        r AS (SELECT *, unnest(range(tick, least(coalesce(next_tick, last_tick + 1), last_tick + 1), step)) AS due FROM s WHERE tick <= last_tick)
-        SELECT alertname, service, severity, flush_0 + due * 300 AS notify_at, members, CASE WHEN due = tick THEN n ELSE 0 END AS new_members,
-               CASE WHEN due = tick THEN 'new' ELSE 'repeat' END AS reason,
-               CASE severity WHEN 'critical' THEN 'pagerduty-critical' WHEN 'warning' THEN 'email-warnings' ELSE 'default-receiver' END AS receiver FROM r""",
+              WINDOW w AS (PARTITION BY alertname, service, severity, life ORDER BY tick)),
+        r AS (SELECT *, unnest(range(tick, least(coalesce(next_tick, last_tick + 1), last_tick + 1), step)) AS due FROM s WHERE tick <= last_tick),
+        n AS (SELECT alertname, service, severity, flush_0 + due * 300 AS notify_at, members, CASE WHEN due = tick THEN n ELSE 0 END AS new_members,
+                CASE WHEN due = tick THEN 'new' ELSE 'repeat' END AS reason FROM r
+              UNION ALL
+              SELECT alertname, service, severity, over_at, CAST(sum(n) AS BIGINT), 0, 'resolved' FROM t
+              WHERE over_at <= epoch(TIMESTAMP '2024-01-31') AND over_at > flush_0 GROUP BY alertname, service, severity, life, over_at)
+        SELECT *, CASE severity WHEN 'critical' THEN 'pagerduty-critical' WHEN 'warning' THEN 'email-warnings' ELSE 'default-receiver' END AS receiver FROM n""",
 )
 def group_alerts(spark, sf):
     sent = alerts.group_alerts(_alerts(spark, sf), datetime(2024, 1, 31))

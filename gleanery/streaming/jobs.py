@@ -46,14 +46,6 @@ def sliding_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], w
     )
 
 
-def stream_dedupe(df: DataFrame, keys: Sequence[str], ttl: str = "300 seconds", ts: str = "ts") -> DataFrame:
-    """First event per key, forgotten after ``ttl``; state is dropped by the watermark.
-
-    The batch twin, with exact expiry, is ``streaming.stateful.dedupe_with_ttl``.
-    """
-    return with_event_time(df, ts, ttl).dropDuplicatesWithinWatermark(list(keys))
-
-
 def stream_metrics(df: DataFrame, by: Sequence[str], value: str, failed: Column, width: str = "1 minute") -> DataFrame:
     """Count, mean and failures per tumbling window and key."""
     timed = with_event_time(df)

@@ -11,15 +11,15 @@ streaming form keeps the same state between micro-batches.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from gleanery.functions.values import epoch_seconds
-from gleanery.operators.alerts import GROUP_INTERVAL, GROUP_LABELS, route_alerts
+from gleanery.operators.alerts import GROUP_INTERVAL, GROUP_LABELS, RESOLVE_TIMEOUT, route_alerts
+from gleanery.plans import slices
 
 # The default limits.
 MAX_REQUESTS = 1000
@@ -91,8 +91,9 @@ def rate_limit(requests: DataFrame, client: str, ts: str, tie: str, limit: int =
     requests of one second as one.
     """
     counts = admission_counts(requests, client, ts, limit, seconds, per_second).drop("requests")
-    place = F.row_number().over(Window.partitionBy(client, "second").orderBy(ts, tie))
-    placed = requests.withColumn("second", epoch_seconds(F.col(ts))).withColumn("__place", place)
+    # A second of a client may hold very many requests, so it is cut into slices too.
+    known = requests.withColumn("second", epoch_seconds(F.col(ts))).filter(F.col(client).isNotNull() & F.col("second").isNotNull())
+    placed = slices.number_rows(slices.by_range(known, [client, "second"], [ts, tie]), [client, "second"], [ts, tie], "__place")
     allowed = F.col("__place") <= F.col("admitted")
     taken = F.least("__place", "admitted")
     if per_second:
@@ -151,12 +152,12 @@ def breaker_intervals(outcomes: DataFrame, key: str, ts: str, tie: str, failed:
     rows = outcomes.select(
         key, epoch_seconds(F.col(ts)).alias("second"), ts, tie, F.coalesce(failed, F.lit(False)).alias("failed")
     )
-    order = Window.partitionBy(key, "second").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = (
-        rows.withColumn("run", F.count_if(~F.col("failed")).over(order))
-        .groupBy(key, "second", "run")
-        .agg(F.count_if("failed").alias("f"))
+    succeeded = F.when(F.col("failed"), F.lit(0)).otherwise(F.lit(1))
+    known = rows.filter(F.col(key).isNotNull() & F.col("second").isNotNull())
+    numbered = slices.running(
+        slices.by_range(known, [key, "second"], [ts, tie]), [key, "second"], [ts, tie], {"run": slices.Running("sum", succeeded)}
     )
+    runs = numbered.groupBy(key, "second", "run").agg(F.count_if("failed").alias("f"))
     zero = F.lit(0).cast("long")
     seconds = runs.groupBy(key, "second").agg(
         F.coalesce(F.max(F.when(F.col("run") == 0, F.col("f"))), zero).alias("leading"),
@@ -186,163 +187,252 @@ def breaker_intervals(outcomes: DataFrame, key: str, ts: str, tie: str, failed:
 # --- streams ---------------------------------------------------------------
 
 
-def _in_order(rows: Iterator, columns: list[str]):
-    """The micro-batch rows of one key, by time and id."""
-    import pandas as pd
+class _InOrder(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then judges them by time and id.
 
-    chunks = list(rows)
-    return pd.concat(chunks).sort_values(columns) if chunks else pd.DataFrame(columns=columns)
+    So a stream decides as the batch form does, whatever the order of arrival; only rows
+    later than the watermark are lost. A subclass says in ``wake`` until when its state
+    matters; a key with nothing waiting and nothing to remember leaves the store.
+    """
 
+    columns: Sequence[str] = ()
 
-class _Admission(StatefulProcessor):
-    def __init__(self, client: str, tie: str, limit: int, seconds: int, per_second: bool) -> None:
-        self.client, self.tie = client, tie
-        self.settings = (limit, seconds, per_second)
+    def __init__(self, waiting: str) -> None:
+        self.schema = waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "seconds array<bigint>, counts array<bigint>")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
 
     def handleInputRows(self, key, rows, timerValues):
-        state = self.held.get()
-        quota = SlidingQuota(*self.settings, held=zip(*state) if state else ())
-        pdf = _in_order(rows, ["second", self.tie])
-        last = quota.held[-1][0] if quota.held else None
-        allowed = []
-        for second in pdf["second"].tolist():
-            # A row from before the newest admission is judged as of that admission.
-            last = second if last is None else max(second, last)
-            allowed.append(bool(quota.offer(int(last), 1)[0]))
-        self.held.update(([int(s) for s, _ in quota.held], [int(c) for _, c in quota.held]))
-        yield pdf[[self.client, self.tie, "second"]].assign(allowed=allowed)
+        new = [tuple(r) for pdf in rows for r in zip(*(pdf[c].tolist() for c in self.names()))]
+        if new:
+            self.waiting.appendList(new)
+            self._wake_at(min(r[0] for r in new))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] <= passed]
+        if due:
+            if len(due) < len(rows):
+                self.waiting.put([tuple(r) for r in rows[len(due) :]])
+            else:
+                self.waiting.clear()
+        out = list(self.judge(key, due, passed // 1_000_000))
+        wake = self.wake(passed // 1_000_000)
+        if len(due) < len(rows):
+            self._wake_at(rows[len(due)][0])
+        if wake is not None:
+            self._wake_at(wake * 1_000_000)
+        yield self.frame(out)
+
+    def _wake_at(self, micros: int) -> None:
+        self.handle.registerTimer(-(-int(micros) // 1000))
+
+    def names(self) -> list[str]:
+        return [c.strip().rsplit(" ", 1)[0].strip("`") for c in self.schema.split(",")]
+
+    def frame(self, rows: list[tuple]):
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=list(self.columns))
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(requests: DataFrame, client: str, ts: str, tie: str, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Admission on a stream: ``(client, tie, second, allowed)``.
+def _held(df: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """With event time as a timestamp, its watermark, and ``micros``."""
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    return timed.withColumn("micros", F.unix_micros(ts)).filter(F.col("micros").isNotNull())
 
-    State per client is its admissions inside the window, at most ``limit``.
-    Needs the RocksDB state store.
-    """
-    slim = requests.select(client, tie, epoch_seconds(F.col(ts)).alias("second"))
-    kinds = {c: slim.schema[c].dataType.simpleString() for c in (client, tie)}
-    return slim.groupBy(client).transformWithStateInPandas(
-        _Admission(client, tie, limit, seconds, False),
-        outputStructType=f"`{client}` {kinds[client]}, `{tie}` {kinds[tie]}, second long, allowed boolean",
-        outputMode="append",
-        timeMode="none",
-    )
+
+def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
-class _Breaking(StatefulProcessor):
-    def __init__(self, key: str, order: list[str], n: int, recover: int) -> None:
-        self.key, self.order, self.settings = key, order, (n, recover)
+class _Admission(_InOrder):
+    columns = ("key", "tie", "second", "allowed", "payload")
+
+    def __init__(self, waiting: str, limit: int, seconds: int, per_second: bool, only_allowed: bool) -> None:
+        super().__init__(waiting)
+        self.settings, self.only_allowed = (limit, seconds, per_second), only_allowed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "failures bigint, open_until bigint")
+        super().init(handle)
+        self.held = handle.getValueState("held", "seconds array<bigint>, counts array<bigint>")
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+    def judge(self, key, rows, now):
+        state = self.held.get()
+        quota = SlidingQuota(*self.settings, held=zip(*state) if state else ())
+        for micros, tie, payload in rows:
+            second = micros // 1_000_000
+            allowed = bool(quota.offer(second, 1)[0])
+            if allowed or not self.only_allowed:
+                yield key[0], tie, second, allowed, payload
+        self.newest = quota.held[-1][0] if quota.held else None
+        if quota.held:
+            self.held.update(([int(s) for s, _ in quota.held], [int(c) for _, c in quota.held]))
+
+    def wake(self, now):
+        if self.newest is None or self.newest <= now - self.settings[1]:
+            self.held.clear()
+            return None
+        return self.newest + self.settings[1]
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def rate_limit_stream(
+    requests: DataFrame, client: str, ts: str, tie: str, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS, lateness: str = "1 minute"
+) -> DataFrame:
+    """Admission on a stream, ``(client, tie, second, allowed)``, equal to :func:`rate_limit`.
+
+    A request is decided once the watermark has passed it, in the order of time and id.
+    State per client is its requests of ``lateness`` and its admissions inside the window,
+    at most ``limit``; afterwards the client is forgotten. Needs the RocksDB state store.
+    """
+    held = _held(requests, ts, lateness).filter(F.col(client).isNotNull())
+    slim = held.select(F.col(client).alias("key"), "micros", F.col(tie).alias("tie"), F.lit(None).cast("string").alias("payload"), ts)
+    processor = _Admission(f"micros bigint, tie {_kind(slim, 'tie')}, payload string", limit, seconds, False, False)
+    out = _run(slim, ["key"], processor, f"key {_kind(slim, 'key')}, tie {_kind(slim, 'tie')}, second long, allowed boolean, payload string")
+    return out.select(F.col("key").alias(client), F.col("tie").alias(tie), "second", "allowed")
 
-        breaker = Breaker(*self.settings, *(self.state.get() or (0, 0)))
-        pdf = _in_order(rows, self.order)
-        opened = []
-        for second, failed in zip(pdf["second"].tolist(), pdf["failed"].tolist()):
-            if breaker.second(second, int(failed), 0, 0, not failed):
-                opened.append((key[0], second, second + breaker.recover))
-        self.state.update((int(breaker.failures), int(breaker.open_until)))
-        yield pd.DataFrame(opened, columns=[self.key, "opened_at", "closes_at"])
 
-    def close(self) -> None:
-        pass
+_EXACT_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def breaker_stream(outcomes: DataFrame, key: str, ts: str, tie: str, failed: Column, n: int = FAILURE_THRESHOLD, recover: int = RECOVERY_SECONDS) -> DataFrame:
-    """Breaker openings as they happen. Needs the RocksDB state store."""
-    slim = outcomes.select(
-        key,
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
-        tie,
-        epoch_seconds(F.col(ts)).alias("second"),
-        F.coalesce(failed, F.lit(False)).alias("failed"),
-    )
-    kind = slim.schema[key].dataType.simpleString()
-    return slim.groupBy(key).transformWithStateInPandas(
-        _Breaking(key, ["micros", tie], n, recover),
-        outputStructType=f"`{key}` {kind}, opened_at long, closes_at long",
-        outputMode="append",
-        timeMode="none",
+def dedupe_stream(df: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int = 300, lateness: str = "1 minute") -> DataFrame:
+    """:func:`dedupe_with_ttl` on a stream, with the rows' own columns.
+
+    A key is free again exactly ``ttl`` after the event that was kept, in event time, and
+    then leaves the state. Events without a key are duplicates of nothing and stay.
+    """
+    names = df.columns
+    whole = F.to_json(F.struct(*names), _EXACT_TIME)
+    held = _held(df.withColumn("__whole", whole), ts, lateness)
+    # A row without a key is a key of its own.
+    alone = F.concat(F.lit("-"), F.col(tie).cast("string"), F.lit("|"), F.col("__whole"))
+    slim = held.select(
+        F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), alone).alias("key"), "micros", F.col(tie).alias("tie"), F.col("__whole").alias("payload"), ts
     )
+    processor = _Admission(f"micros bigint, tie {_kind(slim, 'tie')}, payload string", 1, ttl_seconds, False, True)
+    out = _run(slim, ["key"], processor, f"key string, tie {_kind(slim, 'tie')}, second long, allowed boolean, payload string")
+    return out.select(F.from_json("payload", df.schema, _EXACT_TIME).alias("r")).select("r.*")
 
 
-class _Notifier(StatefulProcessor):
-    """One notification group: who is in it, who was announced, when it flushes next."""
+class _Breaking(_InOrder):
+    columns = ("key", "opened_at", "closes_at")
 
-    def __init__(self, interval: int) -> None:
-        self.interval = interval
+    def __init__(self, waiting: str, n: int, recover: int) -> None:
+        super().__init__(waiting)
+        self.settings = (n, recover)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.members = handle.getMapState("members", "fingerprint string", "joined bigint")
-        self.group = handle.getValueState(
-            "group", "waiting array<bigint>, announced bigint, last_sent bigint, repeat_interval bigint, receiver string, dedup_key string"
-        )
+        super().init(handle)
+        self.state = handle.getValueState("breaker", "failures bigint, open_until bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, ["second", "fingerprint"])
-        state = self.group.get()
-        waiting, announced, last_sent = (list(state[0]), state[1], state[2]) if state else ([], 0, 0)
-        for row in pdf.itertuples(index=False):
-            if self.members.containsKey((row.fingerprint,)):
-                continue
-            self.members.updateValue((row.fingerprint,), (int(row.second),))
-            waiting.append(int(row.second))
-            if state is None and len(waiting) == 1:
-                self.handle.registerTimer((int(row.second) + int(row.group_wait)) * 1000)
-        first = pdf.iloc[0]
-        self.group.update((waiting, announced, last_sent, int(first.repeat_interval), first.receiver, first.dedup_key))
-        yield self._rows(key, [])
+    def judge(self, key, rows, now):
+        self.breaker = breaker = Breaker(*self.settings, *(self.state.get() or (0, 0)))
+        for micros, _, failed in rows:
+            second = micros // 1_000_000
+            if breaker.second(second, int(failed), 0, 0, not failed):
+                yield key[0], second, second + breaker.recover
+        self.state.update((int(breaker.failures), int(breaker.open_until)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        waiting, announced, last_sent, repeat, receiver, dedup_key = self.group.get()
-        waiting, flush = sorted(waiting), expiredTimerInfo.getExpiryTimeInMs() // 1000
-        watermark = timerValues.getCurrentWatermarkInMs() // 1000
-        sent = []
-        while flush <= watermark:
-            joined = sum(1 for second in waiting if second <= flush)
-            waiting = waiting[joined:]
-            if joined or flush - last_sent >= repeat:
-                announced, last_sent = announced + joined, flush
-                sent.append((receiver, dedup_key, flush, announced, joined, "new" if joined else "repeat"))
-            flush += self.interval
-        self.handle.registerTimer(flush * 1000)
-        self.group.update((waiting, announced, last_sent, repeat, receiver, dedup_key))
-        yield self._rows(key, sent)
-
-    @staticmethod
-    def _rows(key, sent):
-        import pandas as pd
+    def wake(self, now):
+        if self.breaker.failures == 0 and self.breaker.open_until <= now:
+            self.state.clear()
+        return self.breaker.open_until if self.breaker.open_until > now else None
 
-        columns = [*GROUP_LABELS, "severity", "receiver", "dedup_key", "notify_at", "members", "new_members", "reason"]
-        return pd.DataFrame([(*key, *row) for row in sent], columns=columns)
 
-    def close(self) -> None:
-        pass
+def breaker_stream(
+    outcomes: DataFrame, key: str, ts: str, tie: str, failed: Column, n: int = FAILURE_THRESHOLD, recover: int = RECOVERY_SECONDS, lateness: str = "1 minute"
+) -> DataFrame:
+    """Breaker openings on a stream, equal to :func:`breaker_intervals`.
+
+    Outcomes are counted once the watermark has passed them. A closed breaker without
+    failures leaves the state. Needs the RocksDB state store.
+    """
+    held = _held(outcomes, ts, lateness).filter(F.col(key).isNotNull())
+    slim = held.select(F.col(key).alias("key"), "micros", F.col(tie).alias("tie"), F.coalesce(failed, F.lit(False)).alias("failed"), ts)
+    processor = _Breaking(f"micros bigint, tie {_kind(slim, 'tie')}, failed boolean", n, recover)
+    return _run(slim, ["key"], processor, f"key {_kind(slim, 'key')}, opened_at long, closes_at long").withColumnRenamed("key", key)
+
+
+class _Notifier(_InOrder):
+    """One notification group: who is active, how many joined, when it flushes and ends."""
 
+    columns = (*GROUP_LABELS, "severity", "receiver", "dedup_key", "notify_at", "members", "new_members", "reason")
 
-def group_alerts_stream(alerts: DataFrame, lateness: str = "1 minute", interval: int = GROUP_INTERVAL) -> DataFrame:
+    def __init__(self, waiting: str, interval: int, timeout: int) -> None:
+        super().__init__(waiting)
+        self.interval, self.timeout = interval, timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.members = handle.getMapState("members", "fingerprint string", "last bigint")
+        self.group = handle.getValueState("group", "waiting bigint, members bigint, last_sent bigint, flush bigint, ended bigint, route string")
+
+    def judge(self, key, rows, now):
+        state = self.group.get()
+        self.life = list(state) if state else None
+        for micros, fingerprint, wait, route in rows:
+            second = micros // 1_000_000
+            yield from self._advance(key, second - 1, second)
+            last = self.members.getValue((fingerprint,)) if self.members.containsKey((fingerprint,)) else None
+            if self.life is None:
+                self.life = [0, 0, 0, second + wait, 0, route]
+            if last is None or second - last[0] >= self.timeout:
+                self.life[0] += 1
+            self.members.updateValue((fingerprint,), (int(second),))
+            self.life[4] = max(self.life[4], second + self.timeout)
+        # Rows of the watermark's own second may still come.
+        yield from self._advance(key, now - 1, now)
+        if self.life is not None:
+            self.group.update(tuple(x if isinstance(x, str) else int(x) for x in self.life))
+            for member in [m for m, last in self.members.iterator() if last[0] + self.timeout <= now - self.timeout]:
+                self.members.removeKey(member)
+
+    def _advance(self, key, flushed: int, ended: int):
+        """Flushes up to one second and the group's end up to another."""
+        while self.life is not None:
+            waiting, members, last_sent, flush, end, route = self.life
+            receiver, dedup_key, repeat = route.split("\x1f")
+            if end <= flush and end <= ended:
+                if last_sent:
+                    yield *key, receiver, dedup_key, end, members, 0, "resolved"
+                self.life = None
+                self.group.clear()
+                self.members.clear()
+            elif flush < end and flush <= flushed:
+                if waiting or flush - last_sent >= int(repeat):
+                    yield *key, receiver, dedup_key, flush, members + waiting, waiting, "new" if waiting else "repeat"
+                    last_sent = flush
+                self.life = [0, members + waiting, last_sent, flush + self.interval, end, route]
+            else:
+                return
+
+    def wake(self, now):
+        if self.life is None:
+            return None
+        return min(self.life[3] + 1, self.life[4])
+
+
+def group_alerts_stream(alerts: DataFrame, lateness: str = "1 minute", interval: int = GROUP_INTERVAL, timeout: int = RESOLVE_TIMEOUT) -> DataFrame:
     """Notifications of ``operators.alerts.group_alerts`` as the watermark passes their time.
 
-    ``alerts`` is ``(alertname, cluster, service, severity, fingerprint, ts)`` in
-    about time order. Needs the RocksDB state store.
+    ``alerts`` is ``(alertname, cluster, service, severity, fingerprint, ts)``. A group
+    whose members have all ended leaves the state. Needs the RocksDB state store.
     """
-    timed = alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    routed = route_alerts(timed).withColumn("second", epoch_seconds(F.col("ts")))
+    routed = route_alerts(_held(alerts, "ts", lateness))
+    route = F.concat_ws("\x1f", "receiver", "dedup_key", F.col("repeat_interval").cast("string"))
+    slim = routed.select(*GROUP_LABELS, "severity", "micros", "fingerprint", F.col("group_wait").cast("long").alias("wait"), route.alias("route"), "ts")
     labels = ", ".join(f"{c} string" for c in (*GROUP_LABELS, "severity"))
-    return routed.groupBy(*GROUP_LABELS, "severity").transformWithStateInPandas(
-        _Notifier(interval),
-        outputStructType=f"{labels}, receiver string, dedup_key string, notify_at long, members long, new_members long, reason string",
-        outputMode="append",
-        timeMode="eventTime",
-    )
+    processor = _Notifier("micros bigint, fingerprint string, wait bigint, route string", interval, timeout)
+    schema = f"{labels}, receiver string, dedup_key string, notify_at long, members long, new_members long, reason string"
+    return _run(slim, [*GROUP_LABELS, "severity"], processor, schema)
