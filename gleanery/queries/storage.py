@@ -47,14 +47,44 @@ def read_landing_parquet(spark, sf):
     return readers.read_landing(spark, f"{sf}/documents.parquet", "parquet", _DOC)
 
 
-@query("a02_list_objects", "SELECT 'priority=' || o_orderpriority AS folder, true AS has_bytes FROM orders GROUP BY o_orderpriority")
-def list_objects(spark, sf):
+# Names with a leading underscore, a space, a percent sign and letters beyond ASCII; some objects are empty.
+_NAME = "lang || '/' || CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN 'é ' ELSE '%41' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.TXT' ELSE '.json' END"
+_BODY = "CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END"
+
+
+def _named_objects(spark, sf):
     path = scratch_path(spark, "listing")
-    orders = table(spark, sf, "orders").withColumn("priority", F.col("o_orderpriority"))
-    orders.write.partitionBy("priority").json(path)
-    found = readers.list_objects(spark, path, prefix="priority=", suffixes=[".JSON"])
-    folder = F.replace(F.split_part("name", F.lit("/"), F.lit(1)), F.lit("%20"), F.lit(" "))
-    return found.groupBy(folder.alias("folder")).agg(F.bool_and(F.col("size_bytes") > 0).alias("has_bytes"))
+    named = table(spark, sf, "documents").select(F.expr(_NAME).alias("name"), F.expr(_BODY).alias("body"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))
+    writers.write_with_sidecar(named, path, "name", "body", "meta")
+    return path
+
+
+@query(
+    "a02_list_objects",
+    f"""SELECT name, octet_length(encode(body)) AS size_bytes, '.txt' AS content_suffix
+        FROM (SELECT {_NAME} AS name, {_BODY} AS body FROM documents WHERE doc_id % 2 = 0)""",
+)
+def list_objects(spark, sf):
+    return readers.list_objects(spark, _named_objects(spark, sf), suffixes=[".TXT"]).drop("modified_at")
+
+
+@query(
+    "a02_list_prefix",
+    f"""WITH o AS (SELECT {_NAME} AS name, {_BODY} AS body, lang FROM documents WHERE lang = 'fr')
+        SELECT name, octet_length(encode(body)) AS size_bytes FROM o WHERE starts_with(name, 'fr/_')
+        UNION ALL SELECT name || '.meta', octet_length(encode('{{"lang":"' || lang || '"}}')) FROM o WHERE starts_with(name, 'fr/_')""",
+)
+def list_prefix(spark, sf):
+    return readers.list_objects(spark, _named_objects(spark, sf), prefix="fr/_").select("name", "size_bytes")
+
+
+@query(
+    "a03_read_content",
+    f"""SELECT {_NAME} AS name, {_BODY} AS body, octet_length(encode({_BODY})) AS size_bytes, lang, 'application/octet-stream' AS content_type FROM documents""",
+)
+def read_content(spark, sf):
+    back = readers.read_with_sidecar(spark, _named_objects(spark, sf), content=True)
+    return back.select("name", F.col("content").cast("string").alias("body"), "size_bytes", F.col("metadata")["lang"].alias("lang"), "content_type")
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.sources.listing import listing, with_content
+
 CORRUPT = "_corrupt_record"
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
 MAX_BATCH_FILES = 100
@@ -38,30 +40,14 @@ def read_landing(spark: SparkSession, path: str, fmt: str, schema: T.StructType)
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
 
 
-def _binary(spark: SparkSession, root: str, recursive: bool, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-
-
-def _relative(root: str):
-    """The path below ``root``."""
-    plain = root.rstrip("/").split("://", 1)[-1]
-    return F.substring_index("path", plain + "/", -1)
-
-
 def list_objects(spark: SparkSession, root: str, prefix: str = "", suffixes: Sequence[str] = (), recursive: bool = True, max_results: int | None = None) -> DataFrame:
     """``(name, size_bytes, content_suffix, modified_at)``; file contents are never read.
 
-    Spark's file source skips empty files; a stored object has at least a byte.
+    Empty objects and names of any characters are listed; see :mod:`gleanery.sources.listing`.
     """
-    files = _binary(spark, root, recursive).select(
-        _relative(root).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.lower(F.regexp_extract("path", r"[.][^./]*$", 0)).alias("content_suffix"),
-        F.col("modificationTime").alias("modified_at"),
+    files = listing(spark, root, prefix, recursive).select(
+        "name", "size_bytes", F.lower(F.regexp_extract("name", r"[.][^./]*$", 0)).alias("content_suffix"), "modified_at"
     )
-    if prefix:
-        files = files.filter(F.col("name").startswith(prefix))
     if suffixes:
         files = files.filter(F.col("content_suffix").isin(*[s.lower() for s in suffixes]))
     return files.orderBy("name").limit(max_results) if max_results is not None else files
@@ -81,19 +67,15 @@ def read_with_sidecar(spark: SparkSession, root: str, content: bool = False) ->
 
     Hidden files go, and so do objects whose sidecar is missing or malformed.
     """
-    files = _binary(spark, root, True).withColumn("name", _relative(root))
-    hidden = F.col("name").rlike(r"(^|/)[.]")
-    objects = files.filter(~hidden & ~F.col("name").endswith(".meta"))
-    sidecars = (
-        files.filter(~hidden & F.col("name").endswith(".meta"))
-        .select(
-            F.expr("left(name, length(name) - 5)").alias("name"),
-            F.from_json(F.col("content").cast("string"), "map<string,string>").alias("metadata"),
-        )
-        .filter(F.col("metadata").isNotNull())
+    files = listing(spark, root)
+    is_meta = F.col("name").endswith(".meta")
+    sidecars = with_content(files.filter(is_meta), root).select(
+        F.expr("left(name, length(name) - 5)").alias("name"),
+        F.from_json(F.col("content").cast("string"), "map<string,string>").alias("metadata"),
     )
-    columns = ["name", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
-    paired = objects.select(*columns, *(["content"] if content else [])).join(sidecars, "name")
+    objects = files.filter(~is_meta)
+    paired = objects.join(sidecars.filter(F.col("metadata").isNotNull()), "name").select("name", "size_bytes", "modified_at", "metadata")
+    paired = with_content(paired, root) if content else paired
     kind = F.coalesce(F.element_at("metadata", "content_type"), F.lit(DEFAULT_CONTENT_TYPE))
     return paired.withColumn("content_type", kind)
 
