@@ -208,9 +208,15 @@ def with_task_metrics(tasks: DataFrame, metrics: DataFrame, key: str = "id") ->
     return tasks.join(metrics, key, "left")
 
 
-def overlay_metadata(objects: DataFrame, cached: DataFrame, key: str = "id", metadata: str = "metadata") -> DataFrame:
-    """Cached metadata keys override stored ones."""
-    over = cached.select(key, F.col(metadata).alias("__cached"))
+def overlay_metadata(objects: DataFrame, cached: DataFrame, key: str = "id", metadata: str = "metadata", order: str | None = None) -> DataFrame:
+    """Cached metadata keys override stored ones.
+
+    Of several cached entries for a key the last by ``order`` counts; without an order,
+    and among equals, the last by their JSON text.
+    """
+    text = F.to_json(metadata)
+    latest = F.max_by(F.col(metadata), F.struct(F.col(order), text) if order else F.coalesce(text, F.lit("")))
+    over = cached.groupBy(key).agg(latest.alias("__cached"))
     empty = F.create_map().cast("map<string,string>")
     merged = F.map_concat(F.coalesce(metadata, empty), F.coalesce("__cached", empty))
     return objects.join(over, key, "left").withColumn(metadata, merged).drop("__cached")
@@ -333,11 +339,12 @@ def allowed_moves(current: Column) -> Column:
 def apply_status(tasks: DataFrame, updates: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Set status where the move is legal; report the other requests.
 
-    ``updates`` is ``(id, wanted)``; of several for one task the alphabetically first
-    counts. Returns (tasks, rejected with current, wanted and allowed statuses;
-    ``current`` is null for unknown ids).
+    ``updates`` is ``(id, wanted, seq)``; of several for one task the first by ``seq``
+    counts, and at the same ``seq`` the alphabetically first. Returns (tasks, rejected with
+    current, wanted and allowed statuses; ``current`` is null for unknown ids).
     """
-    wanted = updates.groupBy("id").agg(F.min("wanted").alias("wanted"))
+    first = F.min(F.struct("seq", "wanted"))
+    wanted = updates.filter(F.col("wanted").isNotNull()).groupBy("id").agg(first["wanted"].alias("wanted"))
     moved = tasks.join(wanted, "id", "left")
     ok = may_move(F.col("status"), F.col("wanted"))
     state = moved.withColumns(

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from gleanery.functions import text as tx
 from gleanery.functions.values import as_number, is_uuid, parse_iso
+from gleanery.session import scratch_path, stored
 
 Rule = tuple[str, Column]
 
@@ -73,12 +74,15 @@ def first_error(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantine). Quarantined rows carry status, first error and all reasons.
 
-    Both halves are lazy filters over one scan expression; when both are to be
-    stored, write ``validate(df, rules)`` once partitioned by acceptance instead.
+    The input runs once: the judged rows are written under their verdict, and each half
+    reads its own folder.
     """
-    checked = validate(df, rules)
-    accepted = checked.filter(F.size("errors") == 0).drop("errors")
-    quarantine = checked.filter(F.size("errors") > 0).select(
+    path = scratch_path(df.sparkSession, "verdicts")
+    judged = validate(df, rules).withColumn("__rejected", (F.size("errors") > 0).cast("int"))
+    judged.write.partitionBy("__rejected").parquet(path)
+    checked = df.sparkSession.read.schema(judged.schema).parquet(path)
+    accepted = checked.filter("__rejected = 0").select(*df.columns)
+    quarantine = checked.filter("__rejected = 1").select(
         *df.columns,
         F.lit("failed").alias("status"),
         F.element_at("errors", 1).alias("error"),
@@ -336,6 +340,48 @@ def metadata_kinds(df: DataFrame, metadata: str) -> DataFrame:
     return df.agg(F.schema_of_variant_agg(F.col(metadata)).alias("metadata_schema"))
 
 
+# Types of a VARIANT that a metadata value may have, besides nested ones.
+METADATA_KINDS = ("STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN", "TIMESTAMP", "TIMESTAMP_NTZ")
+
+
+def metadata_values(df: DataFrame, key: str, metadata: str) -> DataFrame:
+    """(key, path, kind) of every value of a VARIANT column, nested ones too.
+
+    Paths are ``metadata.a.b`` for fields and end in ``[]`` for items. Every step of the
+    recursion opens the nested values of all rows by one level. Null metadata has no values.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(metadata).alias("v")).filter(F.col(metadata).isNotNull())
+    spark = df.sparkSession
+    # Spark's limit on the rows of a recursion guards against endless ones; this one ends.
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit", None)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    try:
+        walked = spark.sql(
+            f"""WITH RECURSIVE walk AS (
+                  SELECT id, '{metadata}' AS path, v, schema_of_variant(v) AS kind FROM {{rows}}
+                  UNION ALL
+                  SELECT id, CASE WHEN item.key IS NULL THEN path || '[]' ELSE path || '.' || item.key END, item.value, schema_of_variant(item.value)
+                  FROM walk, LATERAL variant_explode(v) item WHERE kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%')
+                SELECT id, path, regexp_extract(kind, '^[A-Z_]+', 0) AS kind FROM walk""",
+            rows=rows,
+        )
+        # Written while the limit is off.
+        return stored(walked.withColumnRenamed("id", key), "metadata_values")
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit") if before is None else spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
+def metadata_type_violations(df: DataFrame, key: str, metadata: str) -> DataFrame:
+    """(key, path, kind, values) of metadata values a record may not hold: null, binary, dates and others.
+
+    Metadata that is not an object is one at its root. Equal paths of a row are counted.
+    """
+    values = metadata_values(df, key, metadata)
+    root = F.col("path") == metadata
+    bad = F.when(root, F.col("kind") != "OBJECT").otherwise(~F.col("kind").isin("OBJECT", "ARRAY", *METADATA_KINDS))
+    return values.filter(bad).groupBy(key, "path", "kind").agg(F.count("*").alias("values"))
+
+
 def source_rules(name: Column, kind: Column, credentials: Column, configuration: Column, metadata: Column) -> list[Rule]:
     """Data sources: the keys each type needs in its maps."""
 

@@ -198,43 +198,50 @@ _KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(
     f"""SELECT c_custkey AS source_id, c_name AS source_name, o_orderkey AS task_id, o_orderstatus AS task_status,
               e.id AS execution_id, e.status AS execution_status, o.id AS object_id, o.path AS storage_path
        FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-       LEFT JOIN (SELECT {_KEY} AS id, l_orderkey, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'R') e ON l_orderkey = o_orderkey
-       LEFT JOIN (SELECT l_partkey AS id, {_KEY} AS execution_id, p_name AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25) o
+       LEFT JOIN (SELECT {_KEY} AS id, l_orderkey, l_linestatus AS status FROM lineitem) e ON l_orderkey = o_orderkey
+       LEFT JOIN (SELECT l_partkey AS id, {_KEY} AS execution_id, p_name AS path FROM lineitem JOIN part ON p_partkey = l_partkey) o
          ON o.execution_id = e.id""",
 )
 def lineage(spark, sf):
-    """Customers, their orders, the returned items, and the part stored by the large ones."""
+    """Customers, their orders, the items of these, and the part each item stored."""
     sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderstatus").alias("status"))
     items = table(spark, sf, "lineitem").withColumn(
         "id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
     )
-    e = items.filter(F.col("l_returnflag") == "R").select("id", F.col("l_orderkey").alias("task_id"), F.col("l_linestatus").alias("status"))
+    e = items.select("id", F.col("l_orderkey").alias("task_id"), F.col("l_linestatus").alias("status"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("storage_path"))
-    stored = items.filter(F.col("l_quantity") > 25).select(F.col("id").alias("execution_id"), "l_partkey").join(parts, "l_partkey")
+    stored = items.select(F.col("id").alias("execution_id"), "l_partkey").join(parts, "l_partkey")
     o = stored.select(F.col("l_partkey").alias("id"), "execution_id", "storage_path")
     return catalog.lineage(sources, t, e, o)
 
 
 @query(
     "d02_with_task_metrics",
-    f"WITH {TASKS}, {EXECUTIONS}, m AS (SELECT task_id, max(memory) AS peak, count(*) AS runs FROM executions WHERE status = 'failed' GROUP BY task_id) "
-    "SELECT id, type, round(peak, 6) AS peak, runs FROM tasks LEFT JOIN m ON task_id = id",
+    f"WITH {TASKS}, {EXECUTIONS}, m AS (SELECT task_id, max(memory) AS peak, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed FROM executions GROUP BY task_id) "
+    "SELECT id, type, round(peak, 6) AS peak, runs, failed FROM tasks LEFT JOIN m ON task_id = id",
 )
 def with_task_metrics(spark, sf):
-    e = executions(spark, sf).filter(F.col("status") == "failed")
-    m = e.groupBy(F.col("task_id").alias("id")).agg(F.round(F.max("memory"), 6).alias("peak"), F.count("*").alias("runs"))
+    totals = [F.round(F.max("memory"), 6).alias("peak"), F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed")]
+    m = executions(spark, sf).groupBy(F.col("task_id").alias("id")).agg(*totals)
     return catalog.with_task_metrics(tasks(spark, sf).select("id", "type"), m)
 
 
 @query(
     "d03_overlay_metadata",
-    "SELECT d.doc_id AS id, d.lang, CAST(l.quality AS VARCHAR) AS quality, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'labelled' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id)",
+    """WITH c AS (SELECT doc_id, quality, 0 AS version FROM labels UNION ALL SELECT doc_id, 1 - quality, 1 FROM labels WHERE toxic = 1),
+            l AS (SELECT doc_id, arg_max(quality, version) AS quality FROM c GROUP BY doc_id)
+       SELECT d.doc_id AS id, d.lang, CAST(l.quality AS VARCHAR) AS quality, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'labelled' END AS origin
+       FROM documents d LEFT JOIN l USING (doc_id)""",
 )
 def overlay_metadata(spark, sf):
+    """Labels as cached metadata; those of toxic documents were cached twice."""
     stored = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("origin"), F.col("source")).alias("metadata"))
-    cached = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("origin"), F.lit("labelled")).alias("metadata"))
-    m = catalog.overlay_metadata(stored, cached)
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic", F.lit(0).alias("version"))
+    twice = labels.filter("toxic = 1").select("id", (1 - F.col("quality")).alias("quality"), "toxic", F.lit(1).alias("version"))
+    own = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("origin"), F.lit("labelled"))
+    cached = labels.unionByName(twice).select("id", own.alias("metadata"), "version")
+    m = catalog.overlay_metadata(stored, cached, order="version")
     return m.select("id", *[F.col("metadata")[k].alias(k) for k in ("lang", "quality", "origin")])
 
 
@@ -389,15 +396,15 @@ def orphans(spark, sf):
 
 
 def _moves(spark, sf):
-    """Last line of each order asks for a move; some orders do not exist."""
-    item = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line"))
-    wanted = F.when(F.col("flag") == "R", F.lit("running")).when(F.col("flag") == "N", F.lit("pending")).otherwise(F.lit("cancelled"))
-    target = F.when(F.col("line") == "F", -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey"))
-    return item.select(target.alias("id"), wanted.alias("wanted"))
+    """A request per line item, in the order of the lines; some are for tasks that do not exist."""
+    wanted = F.when(F.col("l_returnflag") == "R", F.lit("running")).when(F.col("l_returnflag") == "N", F.lit("pending")).otherwise(F.lit("cancelled"))
+    target = F.when(F.col("l_orderkey") % 10 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey"))
+    return table(spark, sf, "lineitem").select(target.alias("id"), wanted.alias("wanted"), F.col("l_linenumber").alias("seq"))
 
 
-_MOVES = """moves AS (SELECT CASE WHEN max(l_linestatus) = 'F' THEN -l_orderkey - 1 ELSE l_orderkey END AS id,
-     CASE max(l_returnflag) WHEN 'R' THEN 'running' WHEN 'N' THEN 'pending' ELSE 'cancelled' END AS wanted FROM lineitem GROUP BY l_orderkey)"""
+_MOVES = """asked AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS id, l_linenumber AS seq,
+     CASE l_returnflag WHEN 'R' THEN 'running' WHEN 'N' THEN 'pending' ELSE 'cancelled' END AS wanted FROM lineitem),
+     moves AS (SELECT id, arg_min(wanted, (seq, wanted)) AS wanted FROM asked GROUP BY id)"""
 _LEGAL = "((status = 'pending' AND wanted IN ('running', 'cancelled')) OR (status = 'failed' AND wanted = 'pending') OR (status = 'running' AND wanted IN ('completed', 'failed')))"
 
 

@@ -285,11 +285,39 @@ def object_rules(spark, sf):
     return v.rule_counts(o, rules)
 
 
-@query("b10_metadata_kinds", "SELECT 'OBJECT<chars: BIGINT, lang: STRING, tags: ARRAY<STRING>>' AS metadata_schema")
-def metadata_kinds(spark, sf):
-    docs = table(spark, sf, "documents")
-    body = v.config_variant(F.to_json(F.struct(F.col("n_chars").alias("chars"), "lang", F.array("source").alias("tags"))))
-    return v.metadata_kinds(docs.select(body.alias("metadata")), "metadata")
+def _metadata(spark, sf):
+    """Documents with nested metadata; some hold nulls at different depths, some are no object."""
+    missing = lambda n, c: F.when(F.col("doc_id") % n == 0, F.lit(None)).otherwise(c)
+    body = F.struct(
+        F.col("n_chars").alias("chars"),
+        missing(5, F.col("lang")).alias("lang"),
+        F.array(F.col("source"), missing(7, F.col("lang")), missing(3, F.col("source"))).alias("tags"),
+        F.struct(F.array(F.struct(missing(11, F.col("source")).alias("c"), F.lit(0.5).alias("d"))).alias("b"), missing(2, F.lit(True)).alias("e")).alias("a"),
+    )
+    text = F.when(F.col("doc_id") % 13 == 0, F.to_json(F.array("source"))).otherwise(F.to_json(body, {"ignoreNullFields": "false"}))
+    return table(spark, sf, "documents").select("doc_id", v.config_variant(text).alias("metadata"))
+
+
+_METADATA = """metadata AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN to_json([source]) ELSE to_json({
+       chars: n_chars, lang: CASE WHEN doc_id % 5 <> 0 THEN lang END,
+       tags: [source, CASE WHEN doc_id % 7 <> 0 THEN lang END, CASE WHEN doc_id % 3 <> 0 THEN source END],
+       a: {b: [{c: CASE WHEN doc_id % 11 <> 0 THEN source END, d: 0.5}], e: CASE WHEN doc_id % 2 <> 0 THEN true END}}) END AS body FROM documents),
+     tree AS (SELECT doc_id, regexp_replace('metadata' || substr(t.fullkey, 2), '\\[[0-9]+\\]', '[]', 'g') AS path, t.type AS type FROM metadata, json_tree(body) t)"""
+
+
+@query(
+    "b10_metadata_types",
+    f"""WITH {_METADATA} SELECT doc_id, path, CASE type WHEN 'NULL' THEN 'VOID' ELSE type END AS kind, count(*) AS values FROM tree
+        WHERE CASE WHEN path = 'metadata' THEN type <> 'OBJECT' ELSE type = 'NULL' END GROUP BY ALL""",
+)
+def metadata_types(spark, sf):
+    return v.metadata_type_violations(_metadata(spark, sf), "doc_id", "metadata")
+
+
+@query("b10_metadata_values", f"WITH {_METADATA} SELECT path, count(*) AS values, count(*) FILTER (WHERE type IN ('OBJECT', 'ARRAY')) AS nested FROM tree GROUP BY path")
+def metadata_values(spark, sf):
+    walked = v.metadata_values(_metadata(spark, sf), "doc_id", "metadata")
+    return walked.groupBy("path").agg(F.count("*").alias("values"), F.count_if(F.col("kind").isin("OBJECT", "ARRAY")).alias("nested"))
 
 
 @query(

@@ -59,7 +59,7 @@ def stream_metrics(spark, sf):
           round(count(*) FILTER (WHERE failed) / count(*), 6) AS error_ratio, round(sum(length(props)) / 3600.0, 6) AS bytes_per_second FROM slid GROUP BY start_s, endpoint""",
 )
 def stream_rates(spark, sf):
-    r = jobs.stream_rates(requests(spark, sf), ["endpoint"], "seconds", F.col("failed"), F.length("props"), "60 minutes", "15 minutes", 3600)
+    r = jobs.stream_rates(requests(spark, sf), ["endpoint"], "seconds", F.col("failed"), F.length("props"), 3600, 900)
     return rounded(rounded(_opened(r), "error_ratio", "bytes_per_second"), "mean_seconds", digits=10)
 
 
