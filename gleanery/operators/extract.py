@@ -7,7 +7,8 @@ time; everything after it (cleaning, validation, records) is Column expressions.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator, Mapping
+from bisect import bisect_right
+from collections.abc import Callable, Collection, Iterator, Mapping
 from functools import partial
 from html.parser import HTMLParser
 
@@ -20,6 +21,8 @@ from gleanery.functions.values import as_number
 
 MIN_TABLE_ROWS = 1
 MAX_TABLE_ROWS = 10_000
+#: Characters of pages whose results are laid out together.
+CHUNK = 8 << 20
 
 # Fixed values from the HTML standard: elements without content, the elements an
 # opening tag closes, and the containers such a search stops at.
@@ -43,56 +46,77 @@ SCOPES = frozenset(("table", "ul", "ol", "dl", "select"))
 RAW_TEXT = frozenset(("script", "style"))
 
 
+class _Span:
+    """Where an element's text begins and ends."""
+
+    __slots__ = ("start", "end")
+
+
 class _Tree(HTMLParser):
-    """Follows the open elements of a page, closing the ones the author left open."""
+    """Follows the open elements of a page, closing the ones the author left open.
+
+    Text is kept once, in order; an element that is wanted has a :class:`_Span` of it. So
+    a piece of text costs the same however many elements are open round it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, object]] = []
+        self.open: list[tuple[str, _Span | None]] = []
+        self.texts: list[str] = []
+        self.tags: dict[str, list[int]] = {}
 
-    def opened(self, tag: str, attrs: dict[str, str | None]) -> object:
+    def opened(self, tag: str, attrs: dict[str, str | None]) -> _Span | None:
         return None
 
-    def closed(self, tag: str, note: object) -> None:
+    def closed(self, tag: str) -> None:
         pass
 
-    def text(self, data: str) -> None:
-        pass
+    def text_of(self, span: _Span) -> str:
+        return "".join(self.texts[span.start : span.end])
 
     def _pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.closed(*self.open.pop())
+            tag, span = self.open.pop()
+            self.tags[tag].pop()
+            if span is not None:
+                span.end = len(self.texts)
+            self.closed(tag)
+
+    def _deepest(self, tags: Collection[str]) -> int:
+        """The place of the innermost open element among ``tags``, or -1."""
+        return max((self.tags[t][-1] for t in tags if self.tags.get(t)), default=-1)
 
     def _imply_end(self, tag: str) -> None:
         ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_PARAGRAPH else set())
-        depth = len(self.open)
-        while depth and ends and self.open[depth - 1][0] not in SCOPES:
-            depth -= 1
-            if self.open[depth][0] in ends:
-                self._pop_to(depth)
+        scope = self._deepest(SCOPES)
+        open_ = [self.tags[t] for t in ends if self.tags.get(t)]
+        inside = [at[k] for at in open_ if (k := bisect_right(at, scope)) < len(at)]
+        if inside:
+            self._pop_to(min(inside))
 
     def handle_starttag(self, tag, attrs):
         self._imply_end(tag)
-        note = self.opened(tag, dict(attrs))
+        span = self.opened(tag, dict(attrs))
+        if span is not None:
+            span.start = span.end = len(self.texts)
         if tag in VOID_TAGS:
-            self.closed(tag, note)
+            self.closed(tag)
         else:
-            self.open.append((tag, note))
+            self.tags.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, span))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._pop_to(depth)
-                return
-            if self.open[depth][0] == "table" and tag in CLOSED_BY:
-                return
+        at = self._deepest((tag,))
+        # The end of a cell or row does not reach out of its table.
+        if at >= 0 and not (tag in CLOSED_BY and self._deepest(("table",)) > at):
+            self._pop_to(at)
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][0] in RAW_TEXT):
-            self.text(data)
+            self.texts.append(data)
 
     def run(self, html: str):
         self.feed(html)
@@ -123,12 +147,12 @@ class _Tables(_Tree):
             elif tag in ("td", "th"):
                 if table["cells"] is None:
                     table["cells"] = []
-                cell = {"text": [], "th": tag == "th", "cols": _span(attrs.get("colspan"), MOST_COLUMNS), "rows": _span(attrs.get("rowspan"), MOST_ROWS)}
+                cell = {"span": _Span(), "th": tag == "th", "cols": _span(attrs.get("colspan"), MOST_COLUMNS), "rows": _span(attrs.get("rowspan"), MOST_ROWS)}
                 table["cells"].append(cell)
-                return cell
+                return cell["span"]
         return None
 
-    def closed(self, tag, note):
+    def closed(self, tag):
         if not self.stack:
             return
         table = self.stack[-1]
@@ -140,10 +164,6 @@ class _Tables(_Tree):
         elif tag == "table":
             self.stack.pop()
 
-    def text(self, data):
-        for _, note in self.open:
-            if note is not None:
-                note["text"].append(data)
 
 
 # The most columns and rows that a cell may span in HTML. Rows are filled
@@ -155,7 +175,7 @@ def _span(value: str | None, most: int) -> int:
     return max(1, min(int(value), most)) if value and value.isdigit() else 1
 
 
-def _grid(table: dict) -> tuple[list[str], list[list[str | None]]]:
+def _grid(page: _Tables, table: dict) -> tuple[list[str], list[list[str | None]]]:
     """(column names, body rows), with row and column spans written out."""
     pending: dict[int, tuple[int, str | None]] = {}
     lines = []
@@ -172,7 +192,7 @@ def _grid(table: dict) -> tuple[list[str], list[list[str | None]]]:
         carried: dict[int, tuple[int, str | None]] = {}
         for cell in cells:
             carry()
-            text = unicodedata.normalize("NFKC", "".join(cell["text"])).strip() or None
+            text = unicodedata.normalize("NFKC", page.text_of(cell["span"])).strip() or None
             for _ in range(cell["cols"]):
                 if cell["rows"] > 1:
                     carried[len(line)] = (cell["rows"] - 1, text)
@@ -198,19 +218,29 @@ def _map_pages(pages: DataFrame, id_col: str, html_col: str, parse: Callable[[st
     """Rows of ``parse(page_id, html)`` for every page, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for page, html in zip(*(c.to_pylist() for c in batch.columns)) for r in parse(page, html or "")]
+        def laid_out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * len(schema)
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, schema.values())]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(schema))
+            return pa.RecordBatch.from_arrays(arrays, names=list(schema))
+
+        for batch in batches:
+            rows, held = [], 0
+            for page, html in zip(*batch.columns):
+                source = html.as_py() or ""
+                rows += parse(page.as_py(), source)
+                held += len(source)
+                if held > CHUNK:
+                    yield laid_out(rows)
+                    rows, held = [], 0
+            yield laid_out(rows)
 
     slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(html_col).alias("html"))
     return slim.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in schema.items()))
 
 
 def _tables_of(page: str, html: str) -> list[tuple]:
-    tables = _Tables().run(html).tables
-    return [(page, i, *_grid(table)) for i, table in enumerate(tables)] or [(page, None, None, None)]
+    tree = _Tables().run(html)
+    return [(page, i, *_grid(tree, table)) for i, table in enumerate(tree.tables)] or [(page, None, None, None)]
 
 
 def scan_tables(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -286,11 +316,11 @@ class _Matches(_Tree):
     def __init__(self, selectors: Mapping[str, str]) -> None:
         super().__init__()
         self.selectors = selectors
-        self.found: list[tuple[str, list[str]]] = []
+        self.found: list[tuple[str, _Span]] = []
 
     def opened(self, tag, attrs):
         classes = (attrs.get("class") or "").split()
-        texts = None
+        span = None
         for name, selector in self.selectors.items():
             if selector[0] == ".":
                 hit = selector[1:] in classes
@@ -299,25 +329,43 @@ class _Matches(_Tree):
             else:
                 hit = selector.lower() == tag
             if hit:
-                texts = [] if texts is None else texts
-                self.found.append((name, texts))
-        return texts
-
-    def text(self, data):
-        for _, note in self.open:
-            if note is not None:
-                note.append(data)
+                span = span or _Span()
+                self.found.append((name, span))
+        return span
 
 
 def _matches_of(page: str, html: str, selectors: Mapping[str, str]) -> list[tuple]:
     seen: dict[str, int] = {}
     out = []
-    for name, texts in _Matches(selectors).run(html).found:
+    tree = _Matches(selectors).run(html)
+    for name, span in tree.found:
         index = seen[name] = seen.get(name, -1) + 1
-        out.append((page, name, index, unicodedata.normalize("NFKC", "".join(texts))))
+        out.append((page, name, index, unicodedata.normalize("NFKC", tree.text_of(span))))
     return out
 
 
+class _Links(_Tree):
+    """Collects the targets of a page's links."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.targets: list[str] = []
+
+    def opened(self, tag, attrs):
+        if tag == "a" and attrs.get("href") is not None:
+            self.targets.append(attrs["href"])
+        return None
+
+
+class PageLinks:
+    """Table function over batches of ``(id, html)``: a row per link, in document order."""
+
+    def eval(self, pages: pa.RecordBatch):
+        found = [(page, target) for page, html in zip(*(c.to_pylist() for c in pages.columns)) for target in _Links().run(html or "").targets]
+        ids, targets = zip(*found) if found else ((), ())
+        yield pa.table({"page_id": pa.array(ids, pages.column(0).type), "target": pa.array(targets, pa.string())})
+
+
 def extract_selectors(pages: DataFrame, selectors: Mapping[str, str], html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """One row per match of ``name -> tag | .class | #id``, its text cleaned."""
     if not selectors or not all(s and s.strip(".#") for s in selectors.values()):

@@ -52,8 +52,11 @@ def run_extractor(name: str, pages: DataFrame) -> DataFrame:
 
 
 def register_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
-    """Offer a per-page handler class (``eval`` yielding rows) to SQL as a table function."""
-    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
+    """Offer a handler class to SQL as a table function over a table: ``name(TABLE(SELECT ...))``.
+
+    Its ``eval`` gets Arrow batches of the table's rows and yields Arrow tables.
+    """
+    spark.udtf.register(name, F.arrow_udtf(handler, returnType=returns))
 
 
 def register_metric(name: str, kind: str, labels: Sequence[str] = (), buckets: Sequence[float] = ()) -> None:

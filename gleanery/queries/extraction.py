@@ -215,24 +215,14 @@ def registered_extractor(spark, sf):
     return registry.run_extractor("headings", wide_table(spark, sf, "pages"))
 
 
-class Links:
-    """Table function: the link targets of one page."""
-
-    def eval(self, html: str):
-        import re
-
-        for target in re.findall(r'<a href="([^"]*)"', html or ""):
-            yield (target,)
-
-
 @query(
     "j01_table_function",
     """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages""",
 )
 def table_function(spark, sf):
-    registry.register_table_function(spark, "page_links", Links, "target string")
+    registry.register_table_function(spark, "page_links", extract.PageLinks, "page_id long, target string")
     wide_table(spark, sf, "pages").createOrReplaceTempView("gleanery_pages")
-    return spark.sql("SELECT page_id, target FROM gleanery_pages, LATERAL page_links(html)")
+    return spark.sql("SELECT page_id, target FROM page_links(TABLE(SELECT page_id, html FROM gleanery_pages))")
 
 
 def _samples(spark, sf):

@@ -159,3 +159,34 @@ def test_sidecars(spark, tmp_path):
     assert readers.list_objects(spark, root, prefix="sub/", suffixes=[".bin"]).count() == 1
     with pytest.raises(ValueError):
         readers.list_batch(spark, root, [".bin"], max_files=3)
+
+
+@pytest.mark.parametrize("markup", ["<b>x", "<td>x", "<li><b>x", "<table><tr><td>x", "<p><i>x"])
+def test_open_elements_cost_linear_time(markup):
+    """Four times the unclosed elements take about four times as long, not sixteen."""
+    import time
+
+    from gleanery.operators import extract
+
+    def seconds(n):
+        html = "<div class=q>" + markup * n
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            extract._matches_of("p", html, {"all": ".q", "none": "h1"})
+            extract._Tables().run(html)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(8000) < 9 * seconds(2000)
+
+
+def test_links_of_bad_markup(spark):
+    from gleanery.operators import extract, registry
+
+    html = "<p><a class=x href='/a?b&amp;c'>one<a href=two>2<td></a><script>'<a href=no>'</script><A HREF=\"\">"
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (None, "<a>x</a><a href=z")], "page_id long, html string")
+    registry.register_table_function(spark, "links_of", extract.PageLinks, "page_id long, target string")
+    df.createOrReplaceTempView("bad_pages")
+    got = [tuple(r) for r in spark.sql("SELECT * FROM links_of(TABLE(SELECT page_id, html FROM bad_pages))").collect()]
+    assert got == [(1, "/a?b&c"), (1, "two"), (1, "")]
