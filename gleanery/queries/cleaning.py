@@ -122,15 +122,43 @@ def encrypt_sensitive(spark, sf):
     return plain.select("id", F.col("credentials")["api_key"].alias("api_key"), F.col("credentials")["login"].alias("login"), "hidden")
 
 
+@query(
+    "b29_mask_value",
+    f"""SELECT doc_id, '***MASKED***' AS token, '***MASKED***' AS keys, n_chars AS size, {mask_sql('text')} AS note, lang AS plain,
+               '***MASKED***' AS inner_secret, CAST(n_chars AS VARCHAR) AS counted FROM documents""",
+)
+def mask_value(spark, sf):
+    """A number, an array and an object under secret names, and texts in an array."""
+    entry = F.struct(
+        F.col("n_chars").alias("Auth_Token"),
+        F.array("source").alias("keys"),
+        F.struct(F.col("n_chars").alias("size"), F.array(F.col("text"), F.col("lang")).alias("notes")).alias("body"),
+        F.array(F.create_map(F.lit("clientSecret"), F.struct("lang"), F.lit("n"), F.struct(F.col("n_chars").cast("string").alias("lang")))).alias("list"),
+    )
+    masked = wide_table(spark, sf, "documents").select("doc_id", tx.mask_value(entry).alias("m"))
+    pick = {"token": "$.Auth_Token", "keys": "$.keys", "note": "$.body.notes[0]", "plain": "$.body.notes[1]", "inner_secret": "$.list[0].clientSecret", "counted": "$.list[0].n.lang"}
+    texts = [F.variant_get("m", path, "string").alias(name) for name, path in pick.items()]
+    return masked.select("doc_id", F.variant_get("m", "$.body.size", "long").alias("size"), *texts)
+
+
+# The documents hold e-mail addresses, phone numbers with brackets, IPv4 addresses and plain card numbers.
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|0?[0-9]?[0-9])"
+_DIGIT = "CAST(substr(cards[i], len(cards[i]) - k, 1) AS INTEGER)"
+
+
 @query(
     "b36_redact_pii",
-    r"""SELECT doc_id,
-          regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-            '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}', '[EMAIL]', 'g'),
-            '(\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}', '[PHONE]', 'g'),
-            '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[IP]', 'g'),
-            '[0-9]{13,19}', '[CARD]', 'g') AS redacted
-        FROM documents""",
+    rf"""WITH t AS (
+          SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+            '[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,24}}', '[EMAIL]', 'g'),
+            '\+([2-9][0-9]{{0,2}}|1[0-9]{{1,2}}) ?\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}', '[PHONE]', 'g'),
+            '(\+1 ?)?\([2-9][0-9]{{2}}\) ?[2-9][0-9]{{2}}-[0-9]{{4}}', '[PHONE]', 'g'),
+            '({_OCTET}\.){{3}}{_OCTET}', '[IP]', 'g') AS text FROM documents),
+        c AS (SELECT doc_id, regexp_split_to_array(text, '[0-9]{{13,19}}') AS parts, regexp_extract_all(text, '[0-9]{{13,19}}') AS cards FROM t)
+        SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(
+          CASE WHEN list_sum(list_transform(range(0, len(cards[i])), lambda k:
+            CASE WHEN k % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN 2 * {_DIGIT} - 9 ELSE 2 * {_DIGIT} END)) % 10 = 0 THEN '[CARD]' ELSE cards[i] END, '')), '') AS redacted
+        FROM c""",
 )
 def redact_pii(spark, sf):
     return wide_table(spark, sf, "documents").select("doc_id", tx.redact_pii(F.col("text")).alias("redacted"))
