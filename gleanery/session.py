@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a folder beside the session's tables is used: the
-    warehouse is the one other place that the driver and all executors see alike.
+    Where the setting is absent, a folder beside the session's tables is used, as long as
+    all tasks can see it: a local warehouse serves a local master only.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"(file:)?/", warehouse) and not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"{warehouse.rstrip('/')}/intermediate"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
