@@ -4,6 +4,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions import text as tx
 from gleanery.operators import catalog, integrity, metrics, validation
@@ -20,15 +21,40 @@ def plan(df):
 WRITES = {n for n in all_queries() if n.startswith(("a0", "h05_route_stream", "f09_batch"))}
 
 
+# Windows over one row per partition or slice, or over one page of limited rows.
+SMALL_WINDOWS = {"g04_page_keyset", "g03_page_offset", "g03_page_past_end", "e09_percentile_exact_all"}
+
+
+def ordered_in_one_task(text):
+    """Whether a window gets all rows of a plan in one task."""
+    since = None
+    for line in text.splitlines():
+        node = line.lstrip(" :+-*()0123456789")
+        if node.startswith("Window "):
+            since = node
+        elif node.startswith("Exchange"):
+            if since and "SinglePartition" in node:
+                return since
+            since = None
+    return None
+
+
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - WRITES))
 def test_no_query_multiplies_rows_or_orders_in_one_task(name, spark, sf):
     text = plan(all_queries()[name](spark, sf))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
-    if name not in ("g04_page_keyset",):  # a window over one page of limited rows
-        for window in re.findall(r"Window \[.*", text):
-            assert re.search(r"\], \[\S", window), window
+    if name not in SMALL_WINDOWS:
+        assert ordered_in_one_task(text) is None
+
+
+def test_a_window_without_a_key_is_found(spark):
+    rows = spark.range(100).withColumn("k", F.col("id") % 3)
+    keyed, whole = Window.partitionBy("k").orderBy("id"), Window.orderBy("id")
+    assert ordered_in_one_task(plan(rows.withColumn("n", F.row_number().over(keyed)))) is None
+    assert "row_number" in ordered_in_one_task(plan(rows.withColumn("n", F.row_number().over(whole))))
+    assert "row_number" in ordered_in_one_task(plan(rows.withColumn("n", F.row_number().over(whole)).groupBy("k").agg(F.sum("n"))))
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
