@@ -116,8 +116,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.join(once, same, "left_semi")
     if repeated.isEmpty():
         return plain
-    sha = fresh(docs, "body_sha")
-    wanted = marks.filter("kept").select(F.col(id_col).alias(mine), F.col("text_sha256").alias("wanted_sha"))
+    sha, wanted_sha = fresh(docs, "body_sha"), fresh(docs, "wanted_sha")
+    wanted = marks.filter("kept").select(F.col(id_col).alias(mine), F.col("text_sha256").alias(wanted_sha))
     again = docs.join(repeated, same, "left_semi").withColumn(sha, F.sha2(F.regexp_replace(whole(text_col), SPACE, " "), 256))
-    again = again.join(wanted, same & (F.col(sha) == F.col("wanted_sha")), "left_semi").dropDuplicates([id_col, sha])
+    again = again.join(wanted, same & (F.col(sha) == F.col(wanted_sha)), "left_semi").dropDuplicates([id_col, sha])
     return plain.unionByName(again.drop(sha))

@@ -12,7 +12,7 @@ def frame(spark):
 
 
 #: Names that the operators use inside, as columns of the input.
-CLASHES = "key id n group doc text_sha256 marks position n_copies ids decoded kept size lead part row shard norm digest".split()
+CLASHES = "key id n group doc text_sha256 marks position n_copies ids decoded kept size lead part row shard norm digest wanted_sha body_sha kept_id copy_no".split()
 
 
 @pytest.fixture(scope="session")
