@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gleanery.functions.values import duration_text
 from gleanery.operators import alerts, metrics
-from gleanery.plans import journeys
 from gleanery.queries import query
 from gleanery.queries.views import EXECUTIONS, REQUESTS, TASKS, executions, requests, table, tasks
 
@@ -264,6 +264,16 @@ def execution_outputs(spark, sf):
     return metrics.execution_outputs(o, "execution", "output")
 
 
+_PART = "CASE WHEN {e} > 0 THEN {e} || '{u}' END"
+_DURATION = "coalesce(nullif(concat_ws(' ', " + ", ".join(_PART.format(e=e, u=u) for e, u in (("s // 86400", "d"), ("s // 3600 % 24", "h"), ("s // 60 % 60", "m"), ("s % 60", "s"))) + "), ''), '0s')"
+
+
+@query("e16_duration_text", f"WITH {EXECUTIONS} SELECT task_id, {_DURATION} AS took FROM (SELECT task_id, CAST(sum(seconds) * 60 AS BIGINT) AS s FROM executions GROUP BY task_id)")
+def duration_text_of_tasks(spark, sf):
+    total = executions(spark, sf).groupBy("task_id").agg((F.sum("seconds") * 60).alias("s"))
+    return total.select("task_id", duration_text(F.col("s")).alias("took"))
+
+
 @query(
     "e17_completion_report",
     f"""WITH {TASKS}, {EXECUTIONS} SELECT t.type, strftime(start_time, '%Y-%m-%d') AS day, count(*) FILTER (WHERE e.status = 'completed') AS done,

@@ -140,6 +140,14 @@ def export_listing(spark, sf):
     return back.select("id", "type", "status", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
 
 
+@query("a07_export_listing_json", f"WITH {TASKS} SELECT id, type, status, strftime(created_at, '%Y-%m-%d') AS day FROM tasks")
+def export_listing_json(spark, sf):
+    path = scratch_path(spark, "export")
+    writers.export_listing(tasks(spark, sf), "json", path)
+    back = spark.read.schema("id long, type string, status string, created_at timestamp").json(path)
+    return back.select("id", "type", "status", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
 def _messages(spark, sf):
     """Failed executions as queue messages."""
     e = executions(spark, sf).filter(F.col("status") == "failed")
