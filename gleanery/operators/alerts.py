@@ -94,10 +94,10 @@ def member_spans(alerts: DataFrame, labels: Sequence[str], fingerprint: str, ts:
     """
     keys = [*labels, fingerprint]
     seen = alerts.select(*keys, epoch_seconds(F.col(ts)).alias("second")).filter("second IS NOT NULL").distinct()
-    linked = slices.running(slices.by_range(seen, keys, ["second"]), keys, ["second"], {"__prev": slices.Running("prev", F.col("second"))})
+    linked = slices.running(slices.by_range(seen, keys, ["second"]), keys, ["second"], {"__prev": slices.Running("prev", F.col("second"))}, keep_slices=True)
     starts = F.col("__prev").isNull() | (F.col("second") - F.col("__prev") >= timeout)
     flagged = linked.withColumn("__start", F.when(starts, F.col("second"))).drop("__prev")
-    spans = slices.running(slices.by_range(flagged, keys, ["second"]), keys, ["second"], {"joined": slices.Running("max", F.col("__start"))})
+    spans = slices.running(flagged, keys, ["second"], {"joined": slices.Running("max", F.col("__start"))})
     return spans.groupBy(*keys, "joined").agg((F.max("second") + timeout).alias("ended"))
 
 
@@ -109,8 +109,8 @@ def group_lives(spans: DataFrame, labels: Sequence[str]) -> DataFrame:
     """
     per_second = spans.groupBy(*labels, "joined").agg(F.count("*").alias("n"), F.max("ended").alias("ended"))
     in_order = lambda df: slices.by_range(df, labels, ["joined"])
-    upto = slices.running(in_order(per_second), labels, ["joined"], {"__upto": slices.Running("max", F.col("ended"))})
-    before = slices.running(in_order(upto), labels, ["joined"], {"__before": slices.Running("prev", F.col("__upto"))})
+    upto = slices.running(in_order(per_second), labels, ["joined"], {"__upto": slices.Running("max", F.col("ended"))}, keep_slices=True)
+    before = slices.running(upto, labels, ["joined"], {"__before": slices.Running("prev", F.col("__upto"))})
     begins = F.col("__before").isNull() | (F.col("joined") >= F.col("__before"))
     begun = before.withColumn("__begin", F.when(begins, F.col("joined"))).drop("__upto", "__before")
     return slices.running(in_order(begun), labels, ["joined"], {"first_seen": slices.Running("max", F.col("__begin"))}).drop("__begin")

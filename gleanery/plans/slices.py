@@ -70,10 +70,11 @@ class Running:
         return F.last(column, ignorenulls=True).over(window)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Running]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Running], keep_slices: bool = False) -> DataFrame:
     """Add running values over each key in ``order`` to a sliced frame.
 
-    ``order`` must be a total order within a key.
+    ``order`` must be a total order within a key. With ``keep_slices`` the result is
+    sliced alike, for further running values over the same keys and order.
     """
     inputs = {name: f"__in_{i}" for i, name in enumerate(values)}
     position = F.struct(*order)
@@ -98,7 +99,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Ma
         rows.unionByName(carry, allowMissingColumns=True)
         .withColumns({n: v.over(inputs[n], within) for n, v in values.items()})
         .filter(F.col(_ROW) == 1)
-        .drop(_ROW, SLICE, *inputs.values())
+        .drop(_ROW, *([] if keep_slices else [SLICE]), *inputs.values())
     )
 
 
