@@ -7,9 +7,10 @@ by inverting the distribution, so any executor computes the same count again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import fresh, required, without
@@ -20,6 +21,9 @@ EVENNESS = 0.5
 #: Hash bits used for a uniform number; a double holds them exactly.
 BITS = 52
 
+# How far Stirling's formula for the logarithm of k! is off, for the k that its series does not serve.
+_STIRLING = [0.0, *(math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16))]
+
 
 def hash52(*parts: Column | str) -> Column:
     """52 bits of the MD5 of the parts joined by '|', as a long; null reads as 'null'."""
@@ -27,20 +31,36 @@ def hash52(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 13), 16, 10).cast("long")
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until the rest is below a double's resolution."""
-    most = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
+def poisson_p(rate: Column, k: Column) -> Column:
+    """P(X = k) of a Poisson variable, 0 for every k > 0 at rate 0.
+
+    In saddle-point form: ``exp(-rate)`` and the powers and factorials, which leave a double's
+    range, cancel before they are computed. No term needs another one.
+    """
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    small = F.array(*[F.lit(e) for e in _STIRLING])
+    beyond = F.when(k < len(_STIRLING), F.get(small, k.cast("int"))).otherwise(series)
+    away = (rate - x) / x
+    p = F.exp(x * (F.log1p(away) - away) - beyond) / F.sqrt(F.lit(2 * math.pi) * x)
+    return F.when(k == 0, F.exp(-rate)).otherwise(F.coalesce(p, F.lit(0.0)))
 
-    def step(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        total = state["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(state["cdf"], F.array(total)).alias("cdf"))
 
-    none = F.exp(-rate)
-    start = F.struct((-rate).alias("log_p"), none.alias("total"), F.array(none).alias("cdf"))
-    reached = F.aggregate(F.sequence(F.lit(1), most), start, step)["cdf"]
-    # With rate 0 every document has count 0.
-    return F.when(rate > 0, reached).otherwise(F.array(F.lit(0.0)).cast("array<double>"))
+def poisson_cdf(rates: DataFrame, key: str, rate: str) -> DataFrame:
+    """(key, first, cdf) per row of ``rates``, whose keys differ: P(X <= k) for k = first, first + 1, ...
+
+    The table holds 12 standard deviations and 30 numbers on either side of the rate. What lies outside is less
+    than a double tells from 0 or 1. So its length is about 24 times the root of the rate: less than the copies that
+    any one document of that rate gets, once the rate is large.
+    """
+    mean = F.col(rate)
+    reach = F.lit(12.0) * F.sqrt(mean) + F.lit(30.0)
+    low = F.greatest(F.floor(mean - reach), F.lit(0)).cast("long")
+    terms = rates.select(key, rate, F.explode(F.sequence(low, F.ceil(mean + reach).cast("long"))).alias("k"))
+    reached = F.sum("p").over(Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    summed = terms.withColumn("p", poisson_p(mean, F.col("k"))).withColumn("reached", reached)
+    # Sums of what is not negative never fall, so their order is that of k.
+    return summed.groupBy(key).agg(F.min("k").alias("first"), F.array_sort(F.collect_list("reached")).alias("cdf"))
 
 
 def source_rates(
@@ -90,20 +110,13 @@ def mix(
     """
     required(docs, id_col, source_col)
     docs = without(docs, "copy_no", "n_copies", "position")
-    mine, cdf = fresh(docs, "mix_source"), fresh(docs, "mix_cdf")
+    mine, first, cdf, u = (fresh(docs, n) for n in ("mix_source", "mix_first", "mix_cdf", "mix_u"))
     # One row per source, with a measured size: Spark broadcasts it only below its threshold.
-    rates = stored(
-        source_rates(docs, weights, total, source_col).select(F.col("source").alias(mine), poisson_cdf(F.col("rate")).alias(cdf)),
-        "source_rates",
-    )
-    uniform = hash52(F.lit(seed), F.col(id_col)) / F.lit(float(1 << BITS))
-    drawn = docs.withColumn(fresh(docs, "mix_u"), uniform)
-    u = drawn.columns[-1]
-    counted = drawn.join(rates, F.col(source_col).eqNullSafe(F.col(mine))).withColumn(
-        "n_copies", F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u))).cast("int")
-    )
-    # A table of one entry stands for rate 0. Its first entry does not tell: exp(-rate) is 0.0 from a rate of 746 on.
-    counted = counted.withColumn("n_copies", F.when(F.size(cdf) == 1, F.lit(0)).otherwise(F.col("n_copies")))
+    tables = poisson_cdf(source_rates(docs, weights, total, source_col), "source", "rate")
+    tables = stored(tables.select(F.col("source").alias(mine), F.col("first").alias(first), F.col("cdf").alias(cdf)), "source_rates")
+    drawn = docs.withColumn(u, hash52(F.lit(seed), F.col(id_col)) / F.lit(float(1 << BITS)))
+    below = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
+    counted = drawn.join(tables, F.col(source_col).eqNullSafe(F.col(mine))).withColumn("n_copies", (F.col(first) + below).cast("int"))
     copies = counted.filter("n_copies > 0").select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies"
     )

@@ -46,7 +46,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates AS (SELECT source, w / sum(w) OVER () * sum(n) OVER () / n AS rate FROM counts),
     terms AS (
       SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-      FROM rates, range(0, 200) t(k)),
+      FROM (SELECT source, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::BIGINT)) AS k FROM rates)),
     drawn AS (
       SELECT d.*, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
       FROM documents d),

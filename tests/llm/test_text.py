@@ -153,15 +153,32 @@ def test_mix_draws_a_poisson(spark):
         assert abs(shares.get(k, 0) - np.exp(-6) * 6.0**k / np.prod(np.arange(1.0, k + 1))) < 0.02
 
 
+def poisson(rate, n):
+    """P(X <= k) for k < n, term by term."""
+    return np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(n)])
+
+
 def test_poisson_cdf(spark):
-    rates = [0.0, 0.01, 0.5, 3.0, 40.0, 900.0]
-    rows = spark.createDataFrame([(x,) for x in rates], "rate double").select("rate", mixing.poisson_cdf(F.col("rate")).alias("c"))
-    for r in rows.collect():
-        if r.rate:
-            k = int(r.rate)
-            assert abs(r.c[-1] - 1) < 1e-9 and abs(r.c[k] - r.c[k - 1] if k else r.c[0] - np.exp(-r.rate)) < 0.4
-            mean = sum(1 - c for c in r.c)
-            assert abs(mean - r.rate) < 1e-6 * max(1, r.rate)
+    rates = [0.0, 1e-9, 0.01, 0.5, 3.0, 40.0, 900.0, 20_000.0]
+    rows = mixing.poisson_cdf(spark.createDataFrame([(x,) for x in rates], "rate double").selectExpr("rate AS key", "rate"), "key", "rate")
+    found = {r.key: (r.first, r.cdf) for r in rows.collect()}
+    assert sorted(found) == rates and found[0.0] == (0, [1.0] * 31)
+    for rate in rates[1:]:
+        first, cdf = found[rate]
+        want = poisson(rate, first + len(cdf))[first:]
+        assert np.abs(np.array(cdf) - want).max() < 1e-9 and abs(cdf[-1] - 1) < 1e-9
+
+
+def test_mix_at_a_rate_of_a_million(spark):
+    docs = spark.createDataFrame([(1, "rare"), (2, "rare"), (3, "none")], "doc_id long, source string")
+    rows = mixing.mix(docs, {"rare": 1.0}, total=2_000_000).groupBy("doc_id").agg(F.max("n_copies").alias("n"), F.count("*").alias("rows"))
+    got = {r.doc_id: (r.n, r.rows) for r in rows.collect()}
+    cdf = poisson(1e6, 1_010_000)
+    for doc_id in (1, 2):
+        u = int(hashlib.md5(f"0|{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        want = int(np.searchsorted(cdf, u, side="right"))
+        assert got[doc_id] == (want, want)
+    assert 3 not in got
 
 
 def test_mix_repeats_a_rare_source_most(spark):
