@@ -3,8 +3,9 @@
 Each text is counted once. A mergeable quantile sketch per language, source and measure
 (counts of values in bins of bounded relative width) then says what is usual there, and
 a document that passes the fixed base rules is kept when none of its measures lies far
-outside. A source with few documents is judged by its language, a small language by all:
-their sketches are the sums of the smaller ones.
+outside. The fences of a source are pulled towards those of its language and these towards
+those of all documents, the more so the fewer documents there are: the wider sketches are
+the sums of the smaller ones.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ class Measure:
     """A whole number per document, and how far beyond its quartile it may lie.
 
     The fence is the upper quartile, plus ``REACH`` times its distance from the median,
-    plus ``slack``; with ``both`` there is one below as well.
+    plus ``slack``; or the ``TAIL``-th percentile plus half the slack, whichever is less,
+    so that a clean source is held to its own tail even where its quartiles are zero.
+    With ``both`` there is a fence below the quartiles as well, at 0 at least.
     """
 
     name: str
@@ -47,6 +50,7 @@ class Measure:
 
 
 REACH = 3
+TAIL = 99
 MEASURES = (
     Measure("symbols", "n_symbols * 10000 div greatest(word_chars, 1)", 500),
     Measure("dup_lines", "n_dup_lines * 10000 div greatest(n_lines, 1)", 5000),
@@ -54,8 +58,8 @@ MEASURES = (
     Measure("capitals", "n_capitals * 10000 div greatest(word_chars, 1)", 2000),
     Measure("length", "word_chars * 100 div greatest(n_words, 1)", 150, both=True),
 )
-#: A sketch of fewer documents gives way to the next wider one.
-LEAST_ROWS = 100
+#: The next wider sketch's fence counts as much as that of so many documents.
+WIDER_ROWS = 100
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -151,11 +155,12 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
         at(50, "low").alias("mid_low"),
         at(50, "high").alias("mid_high"),
         at(75, "high").alias("q3"),
+        at(TAIL, "high").alias("tail"),
     )
     made = [F.max("total").alias("rows")]
     for m in MEASURES:
-        up = F.col("q3") + REACH * (F.col("q3") - F.col("mid_high")) + m.slack
-        down = F.col("q1") - REACH * (F.col("mid_low") - F.col("q1")) - m.slack
+        up = F.least(F.col("q3") + REACH * (F.col("q3") - F.col("mid_high")) + m.slack, F.col("tail") + m.slack // 2)
+        down = F.greatest(F.col("q1") - REACH * (F.col("mid_low") - F.col("q1")) - m.slack, F.lit(0))
         made.append(F.max(F.when(F.col("measure") == m.name, up)).alias(f"most_{m.name}"))
         if m.both:
             made.append(F.max(F.when(F.col("measure") == m.name, down)).alias(f"least_{m.name}"))
@@ -166,24 +171,25 @@ def _edges() -> list[str]:
     return [n for m in MEASURES for n in ([f"most_{m.name}", f"least_{m.name}"] if m.both else [f"most_{m.name}"])]
 
 
+def _pulled(level: str, edge: str, wider: str) -> str:
+    """A level's fence as it stands among the next wider one's, weighed by rows; no size makes it jump."""
+    return f"(({level}.rows * {level}.{edge} + {WIDER_ROWS} * {wider}) div ({level}.rows + {WIDER_ROWS}))"
+
+
 def thresholds(passing: DataFrame) -> DataFrame:
-    """Fences per (lang, source): of that group, its language or all, whichever first
-    has ``LEAST_ROWS`` rows; of all when none has."""
+    """Fences per (lang, source), each pulled towards its language's and that towards all rows'."""
     own = stored(sketch(passing, ["lang", "source"]), "sketches")
     wider = own.groupBy("lang", "measure", "low", "high").agg(F.sum("n").alias("n"))
     widest = wider.groupBy("measure", "low", "high").agg(F.sum("n").alias("n"))
     group = fences(own, ["lang", "source"])
-    language = fences(wider, ["lang"]).select(F.col("lang").alias("l"), F.struct("rows", *_edges()).alias("language"))
-    every = fences(widest.withColumn("one", F.lit(1)), ["one"]).select(F.struct("rows", *_edges()).alias("every"), "one")
+    language = fences(wider, ["lang"]).select(F.col("lang").alias("l"), F.struct("rows", *_edges()).alias("w"))
+    every = fences(widest.withColumn("one", F.lit(1)), ["one"]).select(F.struct("rows", *_edges()).alias("a"), "one")
     joined = (
-        group.select("lang", "source", F.lit(1).alias("one"), F.struct("rows", *_edges()).alias("group"))
-        .join(language, F.col("lang").eqNullSafe(F.col("l")), "left")
-        .join(every, "one", "left")
-    )
-    chosen = F.when(F.col("group.rows") >= LEAST_ROWS, F.col("group")).when(
-        F.col("language.rows") >= LEAST_ROWS, F.col("language")
+        group.select("lang", "source", F.lit(1).alias("one"), F.struct("rows", *_edges()).alias("o"))
+        .join(language, F.col("lang").eqNullSafe(F.col("l")))
+        .join(every, "one")
     )
-    return joined.select("lang", "source", chosen.otherwise(F.col("every")).alias("f")).select("lang", "source", "f.*")
+    return joined.select("lang", "source", *[F.expr(_pulled("o", e, _pulled("w", e, f"a.{e}"))).alias(e) for e in _edges()])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +206,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     # One row per language and source, with a measured size.
     limits = stored(thresholds(counted.filter(~F.col("base_failed"))), "thresholds")
-    limits = limits.withColumnsRenamed({"lang": "l", "source": "s"}).drop("rows")
+    limits = limits.withColumnsRenamed({"lang": "l", "source": "s"})
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     inside = ~F.col("base_failed")
     for m in MEASURES:
@@ -228,15 +234,15 @@ def _oracle() -> str:
     {name}_points AS (
       SELECT {by}, measure, max(total) AS total, min(low) FILTER (reached * 100 >= total * 25) AS q1,
              min(low) FILTER (reached * 100 >= total * 50) AS mid_low, min(high) FILTER (reached * 100 >= total * 50) AS mid_high,
-             min(high) FILTER (reached * 100 >= total * 75) AS q3
+             min(high) FILTER (reached * 100 >= total * 75) AS q3, min(high) FILTER (reached * 100 >= total * {TAIL}) AS tail
       FROM {name}_placed GROUP BY ALL),
     {name} AS (
       SELECT {by}, max(total) AS rows, {", ".join(
-          f"max(q3 + {REACH} * (q3 - mid_high) + {m.slack}) FILTER (measure = '{m.name}') AS most_{m.name}"
-          + (f", max(q1 - {REACH} * (mid_low - q1) - {m.slack}) FILTER (measure = '{m.name}') AS least_{m.name}" if m.both else "")
+          f"max(least(q3 + {REACH} * (q3 - mid_high) + {m.slack}, tail + {m.slack // 2})) FILTER (measure = '{m.name}') AS most_{m.name}"
+          + (f", max(greatest(q1 - {REACH} * (mid_low - q1) - {m.slack}, 0)) FILTER (measure = '{m.name}') AS least_{m.name}" if m.both else "")
           for m in MEASURES)}
       FROM {name}_points GROUP BY ALL)""")
-    pick = lambda e: f"CASE WHEN o.rows >= {LEAST_ROWS} THEN o.{e} WHEN w.rows >= {LEAST_ROWS} THEN w.{e} ELSE a.{e} END"
+    pick = lambda e: _pulled("o", e, _pulled("w", e, f"a.{e}")).replace(" div ", " // ")
     inside = " AND ".join(
         f"({values[m.name]}) <= {pick(f'most_{m.name}')}" + (f" AND ({values[m.name]}) >= {pick(f'least_{m.name}')}" if m.both else "")
         for m in MEASURES
