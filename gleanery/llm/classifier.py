@@ -208,7 +208,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     """Estimate the heuristics on all documents and fit the scorer on a bounded sample.
 
     The driver gets one count per vote pattern (``PATTERNS`` at most) and the hashed
-    features of at most ``2 * SAMPLE`` documents (``WIDTH`` numbers each at most).
+    features of at most ``2 * SAMPLE`` documents (``WIDTH`` numbers each at most). Of rows
+    repeated under one id the sample may hold the one whose text has the smallest hash.
     """
     required(docs, id_col, text_col)
     short_batches(docs.sparkSession)
@@ -217,15 +218,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [pattern_of(found) for _, found in _read(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int32())], names=["id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int32())], names=["id", "body", "pattern"])
 
-    voted = docs.select(id_col, text_col).mapInArrow(vote, f"id {kind}, pattern int")
+    body = F.xxhash64(F.col(text_col).cast("string"))
+    voted = docs.select(id_col, text_col, body).mapInArrow(vote, f"id {kind}, body long, pattern int")
     voted = stored(voted, "votes")
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior = estimate(counts)
     good = [p for p in counts if posterior[p] >= 0.5]
     chosen = {}
-    named = voted.filter(F.col("id").isNotNull())
+    named = voted.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("body", "pattern")).alias("first"))
+    named = stored(named.select("id", "first.pattern"), "named_votes")
     for mine in (F.col("pattern").isin(good), ~F.col("pattern").isin(good)):
         rows = named.filter(mine).select("id", "pattern", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).collect()
         chosen.update({r.id: r.pattern for r in rows})
@@ -239,9 +242,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
     rows = []
     if chosen:
-        sample = docs.select(id_col, text_col).filter(F.col(id_col).isin(list(chosen))).limit(2 * SAMPLE)
-        rows = sample.mapInArrow(feature, f"id {kind}, at array<long>, value array<double>").collect()
-    rows = sorted(rows, key=lambda r: (r.id, len(r.at)))
+        sample = docs.filter(F.col(id_col).isin(list(chosen))).groupBy(F.col(id_col).alias("id"))
+        sample = sample.agg(F.min(F.struct(body.alias("body"), F.col(text_col).alias("text"))).alias("first"))
+        rows = sample.select("id", "first.text").mapInArrow(feature, f"id {kind}, at array<long>, value array<double>").collect()
+    rows = sorted(rows, key=lambda r: r.id)
     weights, bias = fit_scorer([(r.at, r.value, posterior[chosen[r.id]]) for r in rows])
     return Model(posterior, weights, bias)
 
