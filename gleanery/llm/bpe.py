@@ -84,6 +84,10 @@ class Codec:
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.bytes_of: dict[int, bytes] = {r: t for t, r in ranks.items()}
+        self._written = {r: self._tokenizer.id_to_token(r) for r in self.bytes_of}
+        # The byte table reversed: which byte a character stands for.
+        self._byte = np.zeros(0x200, np.uint8)
+        self._byte[[ord(c) for c in table]] = np.arange(256)
         self._lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self._lengths[list(self.bytes_of)] = [len(t) for t in self.bytes_of.values()]
         self._known: dict[str, bytes] = {}
@@ -107,8 +111,13 @@ class Codec:
         return found
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for; an id outside the vocabulary is an error."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        """The bytes that ids stand for; an id outside the vocabulary is an error.
+
+        Tokens are joined as the library writes them, a character for each byte; the reversed
+        byte table gives the bytes, those of a character split over tokens one after another.
+        """
+        written = "".join(map(self._written.__getitem__, ids.tolist()))
+        return self._byte[np.frombuffer(written.encode("utf-16-le"), "<u2")].tobytes()
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and the one after the last character that each token touches."""
