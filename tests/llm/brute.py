@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -137,3 +138,21 @@ def exact(docs):
     for i, t in norm.items():
         members[t].append(i)
     return {i: (min(members[t]), len(members[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items()}
+
+
+def repeated(sources):
+    """Sorted ids, each as often as its Poisson draw says; sources weigh the root of their size."""
+    sizes = Counter(sources.values())
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    found = []
+    for i, s in sources.items():
+        rate = weights[s] / sum(weights.values()) * len(sources) / sizes[s]
+        u = int(hashlib.md5(f"0|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        times, p = 0, math.exp(-rate)
+        below = p
+        while below <= u:
+            times += 1
+            p *= rate / times
+            below += p
+        found += [i] * times
+    return sorted(found)
