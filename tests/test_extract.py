@@ -114,6 +114,20 @@ def test_long_documents_come_in_parts(spark):
     assert {(r.confidence, r.word_count) for r in got} == {(0.62, 25)} and len(got) == 3
 
 
+def test_words_meet_no_join_and_are_shuffled_as_runs(spark):
+    rows = [word(d, i, f"{d}{i}", 90) for d in "ab" for i in range(50)] + [word("a", None, None, 90), word(None, 1, "y", 90), word(None, 0, "x", -1)]
+    words = spark.createDataFrame(rows, WORDS).coalesce(1)
+    got = recognition.assemble_text(words, part_words=20)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    keyed = words.select("doc_id", F.floor(F.col("word_idx") / 20).alias("part"), *recognition.WORD)
+    assert recognition._runs(keyed).count() == 8
+    mixed = recognition.assemble_text(spark.createDataFrame(rows[::-1], WORDS).repartition(5, "word_idx"), part_words=20)
+    order = ["doc_id", "part"]
+    assert got.orderBy(*order).collect() == mixed.orderBy(*order).collect()
+    texts = {(r.doc_id, r.part): r.text for r in got.collect()}
+    assert texts[None, 0] == "x y" and texts["a", 0] == " " + " ".join(f"a{i}" for i in range(20))
+
+
 def test_a_long_document_is_judged_as_a_whole(spark, monkeypatch):
     """Noise in the tail alone does not cost the tail."""
     from gleanery.plans import journeys
