@@ -95,6 +95,22 @@ def test_selectors_must_be_given(spark):
 WORDS = "doc_id string, word_idx int, text string, conf double, left int, top int, width int, height int"
 
 
+def test_plain_markup_needs_no_rare_path(monkeypatch):
+    """Plain pages do without the standard parser's costly steps; any other page reads as it does."""
+    plain = '<!doctype html><title>a &amp; b</title><!-- c --><table class="x"><tr><th colspan="2">n<tr><td>1 &lt; 2<td><b>y</b><br/></table>'
+    odd = ["<p>a < b<b>c", "<td class=x>1", "<script>if (a < '</b>') 1</script><p>x", "<!-- a -- b --><p>x", "<plaintext><p>x", "<textarea><p>x</textarea><p>y", "<a href=\"1\"href='2'>z</a>"]
+    selectors = {"p": "p", "b": "b", "t": "title", "cell": "td", "area": "textarea", "a": "a"}
+    both = lambda page: (extract._tables_of("1", page), extract._matches_of("1", page, selectors))
+    pages = [plain, *odd, *[plain + o + plain for o in odd]]
+    quick = [both(p) for p in pages]
+    calls = []
+    step = extract._Tables.parse_starttag
+    monkeypatch.setattr(extract._Tables, "parse_starttag", lambda self, i: calls.append(i) or step(self, i))
+    assert extract._tables_of("1", plain) == quick[0][0] and not calls
+    monkeypatch.setattr(extract._Tree, "_plain", lambda self, html: 0)
+    assert [both(p) for p in pages] == quick and calls
+
+
 def word(doc, i, text, conf):
     return (doc, i, text, float(conf), i, 0, 5, 5)
 
