@@ -7,8 +7,11 @@ that a store with very many objects is listed by many tasks; the driver sees fol
 
 from __future__ import annotations
 
+import os
 import re
+import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,6 +40,40 @@ def _hidden(name: str) -> bool:
     return any(part.startswith(".") for part in name.split("/"))
 
 
+def _entries(system: fs.FileSystem, folder: str, recursive: bool) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, is a folder, bytes, microseconds since 1970) of what lies in ``folder``; none if it is not there.
+
+    Mounted folders are walked entry by entry, so that one may hold any number of files.
+    Other stores answer with the whole list, which is let go of while it is read.
+    """
+    if not isinstance(system, fs.LocalFileSystem):
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=recursive))
+        while found:
+            f = found.pop()
+            if f.type in (fs.FileType.File, fs.FileType.Directory):
+                is_folder = f.type == fs.FileType.Directory
+                yield f.path, is_folder, 0 if is_folder else f.size, (f.mtime_ns or 0) // 1000
+        return
+    open_ = [folder]
+    while open_:
+        try:
+            entries = os.scandir(open_.pop())
+        except FileNotFoundError:
+            continue
+        with entries:
+            for entry in entries:
+                try:
+                    state = entry.stat()
+                except FileNotFoundError:  # gone by now
+                    continue
+                if stat.S_ISDIR(state.st_mode):
+                    if recursive:
+                        open_.append(entry.path)
+                    yield entry.path, True, 0, 0
+                elif stat.S_ISREG(state.st_mode):
+                    yield entry.path, False, state.st_size, state.st_mtime_ns // 1000
+
+
 class _Folder(InputPartition):
     def __init__(self, path: str, recursive: bool) -> None:
         self.path, self.recursive = path, recursive
@@ -61,8 +98,8 @@ class _Reader(DataSourceReader):
             deeper = []
             for folder in open_:
                 own.append(_Folder(folder, False))
-                found = system.get_file_info(fs.FileSelector(folder, allow_not_found=folder == base))
-                deeper += [f.path for f in found if f.type == fs.FileType.Directory and self._may_hold(f.path[len(base) + 1 :])]
+                found = _entries(system, folder, False)
+                deeper += [path for path, is_folder, _, _ in found if is_folder and self._may_hold(path[len(base) + 1 :])]
             open_ = deeper
         return own + [_Folder(folder, True) for folder in open_]
 
@@ -72,12 +109,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
         system, base = self._open()
-        found = system.get_file_info(fs.FileSelector(partition.path, recursive=partition.recursive, allow_not_found=True))
-        files = [(f.path[len(base) + 1 :], f.size, f.mtime) for f in found if f.type == fs.FileType.File]
-        files = [f for f in files if f[0].startswith(self.prefix) and not _hidden(f[0])]
-        for k in range(0, len(files), BATCH_OBJECTS):
-            columns = zip(*files[k : k + BATCH_OBJECTS])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+        found = _entries(system, partition.path, partition.recursive)
+        files = ((path[len(base) + 1 :], size, changed) for path, is_folder, size, changed in found if not is_folder)
+        shown = (f for f in files if f[0].startswith(self.prefix) and not _hidden(f[0]))
+        while some := list(islice(shown, BATCH_OBJECTS)):
+            names, sizes, changed = zip(*some)
+            moments = pa.array(changed, pa.int64()).cast(_ARROW.field("modified_at").type)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), moments], schema=_ARROW)
 
 
 class ObjectListing(DataSource):

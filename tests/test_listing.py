@@ -60,3 +60,26 @@ def test_content_is_read_in_small_batches(spark, root, monkeypatch):
     got = {r.name: r.content for r in listing.with_content(files, root).collect()}
     assert got.pop("gone") is None
     assert {n: len(c) for n, c in got.items()} == sizes(root, [n for n in NAMES if n != "_x"])
+
+
+def test_a_folder_of_any_size_is_listed_in_little_memory(tmp_path):
+    import tracemalloc
+
+    from gleanery.sources.listing import _Folder, _Reader
+
+    folder = tmp_path / "many"
+    (folder / "deep").mkdir(parents=True)
+    for k in range(30_000):
+        (folder / f"object-{k}").touch()
+    (folder / "deep" / "last").write_text("abc")
+    reader = _Reader({"root": f"file://{tmp_path}"})
+    tracemalloc.start()
+    names, sizes = set(), 0
+    for batch in reader.read(_Folder(str(tmp_path), True)):
+        tracemalloc.reset_peak() if not names else None
+        names.update(range(len(names), len(names) + batch.num_rows))
+        sizes += sum(batch.column("size_bytes").to_pylist())
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(names) == 30_001 and sizes == 3 and held < 6 << 20
+    assert list(reader.read(_Folder(str(tmp_path / "absent"), True))) == []
