@@ -161,17 +161,17 @@ def text_confidence(words: DataFrame, doc: str = "doc_id") -> DataFrame:
 def assemble_table(cells: DataFrame, by: tuple[str, ...] = ("doc_id", "table_idx")) -> DataFrame:
     """Rows = distinct y, columns = distinct x, mean confidence; valid with enough sure cells.
 
-    ``coordinates`` is ``[x, y, width, height]``, ``confidence`` 0..1. Cells are
-    first reduced per grid position, so the distinct counts see no raw rows.
+    ``coordinates`` is ``[x, y, width, height]``, ``confidence`` 0..1. Rows and columns
+    are grouped each by themselves, so that no cell is multiplied for distinct counts.
     """
-    grid = cells.groupBy(*by, F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y")).agg(
-        # Decimal sums do not depend on the order of addition.
-        F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(20,9)")).alias("s")
-    )
+    x, y = F.col("coordinates")[0], F.col("coordinates")[1]
+    # Decimal sums do not depend on the order of addition.
+    rows = cells.groupBy(*by, y.alias("y")).agg(F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(20,9)")).alias("s"))
+    columns = cells.select(*by, x.alias("x")).distinct()
     confidence = (F.sum("s") / F.sum("n")).cast("double")
-    return grid.groupBy(*by).agg(
-        F.count_distinct("y").alias("rows"),
-        F.count_distinct("x").alias("columns"),
+    return rows.unionByName(columns, allowMissingColumns=True).groupBy(*by).agg(
+        F.count("y").alias("rows"),
+        F.count("x").alias("columns"),
         F.sum("n").alias("cells"),
         confidence.alias("confidence"),
         ((F.sum("n") >= MIN_CELLS) & (F.sum("s") >= F.sum("n") * F.lit(TABLE_CONFIDENCE).cast("decimal(20,9)"))).alias("valid"),

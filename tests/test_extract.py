@@ -163,6 +163,14 @@ def test_assemble_table(spark):
     assert not got["e"].valid
 
 
+def test_table_cells_are_not_multiplied(spark):
+    cells = [("d", [0, 0], 0.9), ("d", [0, 1], 1.0), ("d", [0, 1], 1.0), ("d", [None, 2], 0.8), (None, [3, None], 0.5), ("e", None, None)]
+    got = recognition.assemble_table(spark.createDataFrame(cells, "doc_id string, coordinates array<int>, confidence double"), ("doc_id",))
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r[1:] for r in got.collect()}
+    assert rows == {"d": (3, 1, 4, 0.925, True), None: (0, 1, 1, 0.5, False), "e": (0, 0, 1, None, False)}
+
+
 def test_unknown_output_format(spark):
     with pytest.raises(ValueError):
         recognition.format_ocr(spark.range(1), "xml")
