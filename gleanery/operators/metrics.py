@@ -417,9 +417,17 @@ def grid_rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, valu
 
 
 def request_rates(samples: DataFrame, by: Sequence[str], series: Sequence[str], ts: str, tie: str, value: str, seconds: int = grid.LOOKBACK, step: int = grid.STEP) -> DataFrame:
-    """Sum of the series' rates by ``by`` at each tick, whenever each was sampled."""
-    rates = grid_rate(samples, series, ts, tie, value, seconds, step)
-    return rates.groupBy(*by, "tick").agg(F.sum("rate").alias("rate"))
+    """Sum of the series' rates by ``by`` at each tick, whenever each was sampled.
+
+    A sum of trailing sums is the trailing sum of the sums, and ``by`` has a row at a tick
+    as soon as one of its series has. So deltas are added up over the series first, and
+    rows are repeated for ``by`` alone.
+    """
+    if not set(by) <= set(series):
+        raise ValueError(f"{list(by)} must be among the columns of the series {list(series)}")
+    deltas = counter_deltas(samples, series, ts, tie, value)
+    grown = grid.trailing_sums(deltas, by, ts, {"__grown": F.col("delta")}, seconds, step)
+    return grown.select(*by, "tick", (F.coalesce("__grown", F.lit(0.0)) / F.lit(float(seconds))).alias("rate"))
 
 
 def utilization(cpu: DataFrame, memory: DataFrame, seconds: int = grid.LOOKBACK, step: int = grid.STEP) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,8 @@ def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+#: The fold of two values, either of which may be null.
+_BOTH = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
 
 
 @dataclass(frozen=True)
@@ -138,9 +140,10 @@ def trailing(df: DataFrame, keys: Sequence[str], number: str, width: int, values
 
     ``values`` maps a name to (sum, min or max, Column). Time is cut into blocks
     of ``width``: a frame is the head of the row's own block and the tail of the
-    block before, and each is a running value inside one block. A row is looked
-    up in the block before by a probe sent there. Cost grows with the rows and
-    not with the rows per frame, and a key is spread over its blocks.
+    block before, and each is a running value inside one block. For it a row goes
+    to its own block and, moved on by ``width``, to the next, and nowhere after.
+    Cost grows with the rows and not with the rows per frame, and a key is spread
+    over its blocks.
     """
     if width < 1:
         raise ValueError("window width must be at least 1")
@@ -154,20 +157,21 @@ def trailing(df: DataFrame, keys: Sequence[str], number: str, width: int, values
             position.alias("__at"),
             F.floor(position / F.lit(width)).alias(SLICE),
             F.lit(is_row).alias(_ROW),
-            *[(v if is_row else F.lit(None)).alias(inputs[n]) for n, (_, v) in values.items()],
+            *[v.alias(inputs[n]) for n, (_, v) in values.items()],
         )
 
-    both = placed(at, True).unionByName(placed(at - F.lit(width), False))
+    both = placed(at, True).unionByName(placed(at + F.lit(width), False))
     block = Window.partitionBy(*keys, SLICE)
     head = block.orderBy("__at", F.col(_ROW).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # From the block's end back to the probe, which excludes its own position.
-    tail = block.orderBy(F.col("__at").desc(), _ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # What the block before holds after ``at - width``, which excludes a row moved on to ``at`` itself.
+    tail = block.orderBy(F.col("__at").desc(), F.col(_ROW).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = both.select(
         *keys,
         number,
-        *[
-            F.when(F.col(_ROW), _FOLDS[kind](inputs[n]).over(head)).otherwise(_FOLDS[kind](inputs[n]).over(tail)).alias(n)
-            for n, (kind, _) in values.items()
-        ],
+        _ROW,
+        *[_FOLDS[kind](F.when(F.col(_ROW), F.col(inputs[n]))).over(head).alias(f"{inputs[n]}_head") for n, (kind, _) in values.items()],
+        *[_FOLDS[kind](F.when(~F.col(_ROW), F.col(inputs[n]))).over(tail).alias(f"{inputs[n]}_tail") for n, (kind, _) in values.items()],
+    )
+    return parts.filter(_ROW).select(
+        *keys, number, *[_BOTH[kind](F.col(f"{inputs[n]}_head"), F.col(f"{inputs[n]}_tail")).alias(n) for n, (kind, _) in values.items()]
     )
-    return parts.groupBy(*keys, number).agg(*[_FOLDS[kind](n).alias(n) for n, (kind, _) in values.items()])

@@ -64,6 +64,23 @@ def test_series_sampled_at_different_seconds_add_up_at_every_tick(spark):
     assert len(inner) == 25 and all(0.7 - 9 / 60 <= v <= 0.7 + 9 / 60 for v in inner)
 
 
+def test_rates_are_added_up_before_rows_are_repeated(spark, samples, monkeypatch):
+    """Rows are repeated at later ticks for the group and not for each of its series."""
+    rows = [(k if k is None else "g", str(k), *rest) for k, *rest in samples]
+    df = timed(spark, rows, "g string, k string, t double, id long, value double")
+    repeated, plain = [], grid.filled
+    monkeypatch.setattr(grid, "filled", lambda ticks, keys, *rest: (repeated.append(list(keys)), plain(ticks, keys, *rest))[1])
+    got = {(r.g, r.tick): round(r.rate * 300, 6) for r in metrics.request_rates(df, ["g"], ["g", "k"], "ts", "id", "value").collect()}
+    assert repeated == [["g"]]
+    want = {}
+    for k, tick, own, _ in ticks_of(samples, 15, 300):
+        key = (k if k is None else "g", tick)
+        want[key] = want.get(key, 0) + sum(g for t, g in growth(own) if tick - 300 < t <= tick)
+    assert got == want
+    with pytest.raises(ValueError):
+        metrics.request_rates(df, ["id"], ["g", "k"], "ts", "id", "value")
+
+
 def test_last_values(spark, samples):
     df = timed(spark, samples, "k string, t double, id long, value double")
     got = {(r.k, r.tick): r.value for r in grid.last_values(df, ["k"], "ts", ["id"], ["value"]).collect()}

@@ -80,6 +80,14 @@ def test_trailing_equals_a_range_frame(skewed, width):
     same(got, want)
 
 
+def test_trailing_moves_each_row_twice(spark):
+    """Windows are formed where the rows went first; nothing is sent a second time."""
+    rows = spark.range(100).select(F.lit("k").alias("key"), F.col("id").alias("second"), F.col("id").alias("v"))
+    plan = slices.trailing(rows, ["key"], "second", 7, {"s": ("sum", F.col("v"))})._jdf.queryExecution().sparkPlan().toString()
+    executed = slices.trailing(rows, ["key"], "second", 7, {"s": ("sum", F.col("v"))})._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and executed.count("Exchange hashpartitioning") == 1
+
+
 def test_number_all_is_the_global_order(skewed):
     rows = slices.number_all(skewed, ["ts", "n"]).collect()
     ordered = sorted(rows, key=lambda r: (r.ts, r.n))
