@@ -268,16 +268,23 @@ def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id") -> tuple[D
     with very many operations is worked on in slices of bounded size.
     """
     columns = current.columns
+    others = [c for c in columns if c != key]
+    parts = slices.parts_for(ops.sparkSession, ops.count() + current.count())
+    dealt = (lambda x: x.repartition(parts, key)) if parts else (lambda x: x)
+    # A key that exists comes before its operations, as if it had just been created; so the
+    # operations are not joined. It brings the number of its rows, for each of which a
+    # rejected operation is reported.
+    given = current.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__copies")).withColumn("__given", F.lit(0))
+    rows = ops.withColumn("__given", F.lit(1)).unionByName(given, allowMissingColumns=True)
     # Create leaves the key present and delete leaves it absent, legal or not;
     # so the last of them before an operation says whether the key exists.
-    stored = current.select(key, F.lit(True).alias("__stored"))
-    present = F.when(F.col("op") == "create", F.lit(True)).when(F.col("op") == "delete", F.lit(False))
-    ordered = slices.running(
-        slices.by_range(ops, [key], ["seq"]), [key], ["seq"], {"__exists": slices.Running("before", present)}
-    )
+    present = F.when((F.col("__given") == 0) | (F.col("op") == "create"), F.lit(True)).when(F.col("op") == "delete", F.lit(False))
+    order = ["__given", "seq"]
+    values = {"__exists": slices.Running("before", present), "__copies": slices.Running("max", F.col("__copies"))}
+    ordered = slices.running(slices.by_range(rows, [key], order, parts), [key], order, values, parts=parts)
     judged = (
-        ordered.join(stored, key, "left")
-        .withColumn("__exists", F.coalesce("__exists", "__stored", F.lit(False)))
+        ordered.filter(F.col("__given") == 1)
+        .withColumn("__exists", F.coalesce("__exists", F.lit(False)))
         .withColumn(
             "reason",
             F.when((F.col("op") == "create") & F.col("__exists"), F.lit("already exists"))
@@ -286,10 +293,17 @@ def apply_writes(current: DataFrame, ops: DataFrame, key: str = "id") -> tuple[D
         )
     )
     legal = judged.filter(F.col("reason").isNull())
-    final = legal.groupBy(key).agg(F.max_by(F.struct("op", *[c for c in columns if c != key]), "seq").alias("w"))
-    written = final.filter(F.col("w.op") != "delete").select(key, *[F.col(f"w.{c}").alias(c) for c in columns if c != key])
-    state = current.join(final.select(key), key, "left_anti").unionByName(written.select(*columns))
-    rejected = judged.filter(F.col("reason").isNotNull()).select(*ops.columns, "reason")
+    final = legal.groupBy(key).agg(F.max_by(F.struct("op", *others), "seq").alias("w"))
+    # Old and new rows of a key meet once, so the operations are judged once. A null key
+    # equals no other: its old rows stay, whatever is written under it.
+    both = current.withColumn("__w", F.lit(False)).unionByName(
+        final.select(key, *[F.col(f"w.{c}").alias(c) for c in others], F.col("w.op").alias("__op"), F.lit(True).alias("__w")), allowMissingColumns=True
+    )
+    settled = dealt(both).withColumn("__settled", F.max("__w").over(Window.partitionBy(key)))
+    kept = F.when(F.col("__w"), F.col("__op") != "delete").otherwise(F.col(key).isNull() | ~F.col("__settled"))
+    state = settled.filter(kept).select(*columns)
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("__copies", F.lit(1)).cast("int")))
+    rejected = judged.filter(F.col("reason").isNotNull()).select(*ops.columns, "reason", copies.alias("__copy")).drop("__copy")
     return state, rejected
 
 

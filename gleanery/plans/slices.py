@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,17 @@ SLICE = "__slice"
 _ROW = "__row"
 
 
+#: Rows that a task of a window is to hold, where there are more than Spark's partitions make.
+TASK_ROWS = 1_000_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int | None:
+    """Partitions for so many rows that are kept and sorted in memory; none where Spark's own
+    number is enough, which adaptive execution may lower."""
+    parts = -(-rows // TASK_ROWS)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
     """Cut at sampled boundaries of ``(keys, order)``, whatever their distribution.
 
@@ -72,12 +83,14 @@ class Running:
         return F.last(column, ignorenulls=True).over(window)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Running], keep_slices: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Running], keep_slices: bool = False, parts: int | None = None) -> DataFrame:
     """Add running values over each key in ``order`` to a sliced frame.
 
     ``order`` must be a total order within a key. With ``keep_slices`` the result is
-    sliced alike, for further running values over the same keys and order.
+    sliced alike, for further running values over the same keys and order. ``parts`` is the
+    number of tasks that hold the slices, by default Spark's.
     """
+    dealt = (lambda x: x.repartition(parts, *keys, SLICE)) if parts else (lambda x: x)
     inputs = {name: f"__in_{i}" for i, name in enumerate(values)}
     position = F.struct(*order)
     rows = df.select(
@@ -85,7 +98,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Ma
         F.lit(1).alias(_ROW),
         *[v.encoded().alias(inputs[n]) for n, v in values.items()],
     )
-    summary = rows.groupBy(*keys, SLICE).agg(
+    summary = dealt(rows.select(*dict.fromkeys([*keys, *order, SLICE, *inputs.values()]))).groupBy(*keys, SLICE).agg(
         *[v.summarise(inputs[n], position).alias(inputs[n]) for n, v in values.items()]
     )
     # With no key there is one row per slice, a number fixed by the slicing.
@@ -98,7 +111,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Ma
     )
     within = Window.partitionBy(*keys, SLICE).orderBy(_ROW, *order)
     return (
-        rows.unionByName(carry, allowMissingColumns=True)
+        dealt(rows.unionByName(carry, allowMissingColumns=True))
         .withColumns({n: v.over(inputs[n], within) for n, v in values.items()})
         .filter(F.col(_ROW) == 1)
         .drop(_ROW, *([] if keep_slices else [SLICE]), *inputs.values())

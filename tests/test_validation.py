@@ -187,6 +187,35 @@ def test_apply_writes_in_order(spark):
     assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(1, "already exists"), (5, "not found"), (7, "not found")]
 
 
+def test_apply_writes_over_many_tasks(spark, monkeypatch):
+    """Beyond ``TASK_ROWS`` rows a task the work is dealt over more; repeated and null keys are as before."""
+    import random
+
+    from gleanery.plans import slices
+
+    r = random.Random(3)
+    current = [(k, f"old{k}") for k in range(0, 30, 2)] + [(4, "twice"), (None, "none"), (None, "none")]
+    keys = [*range(30), None] + [5] * 40
+    ops = [(r.choice(["create", "update", "delete", "merge"]), i, r.choice(keys), f"v{i}") for i in range(600)]
+    r.shuffle(ops)
+    here, left, rejected = {k for k, _ in current if k is not None}, {}, []
+    for op, seq, key, value in sorted(ops, key=lambda o: o[1]):
+        reason = {"create": "already exists" if key in here else None, "update": None if key in here else "not found", "delete": None if key in here else "not found"}.get(op, "unknown operation")
+        if reason:
+            rejected += [(seq, reason)] * (max(1, sum(k == key for k, _ in current)) if key is not None else 1)
+        else:
+            left[key] = (op, value)
+        here = here | {key} if op == "create" else here - {key} if op == "delete" else here
+    want = [(k, x) for k, x in current if k is None or k not in left] + [(k, x) for k, (op, x) in left.items() if op != "delete"]
+    for rows in (slices.TASK_ROWS, 20):
+        monkeypatch.setattr(slices, "TASK_ROWS", rows)
+        state, refused = catalog.apply_writes(spark.createDataFrame(current, "id int, v string"), spark.createDataFrame(ops, "op string, seq int, id int, v string"))
+        assert sorted(map(str, map(tuple, state.collect()))) == sorted(map(str, want))
+        assert sorted((x.seq, x.reason) for x in refused.collect()) == sorted(rejected)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_page_has_its_items_in_order_and_totals_past_the_end(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), "id")
     page = catalog.page_offset(df, ["k"], 4, 100).first()
