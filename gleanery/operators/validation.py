@@ -106,24 +106,55 @@ def config_variant(json_text: Column) -> Column:
     return F.try_parse_json(json_text)
 
 
-def json_kind(config: Column, path: str) -> Column:
+class Members:
+    """Members of a VARIANT column as columns of their own, each read once however many rules ask.
+
+    Rule sets take it in place of the column; ``read`` then adds what they asked for.
+    """
+
+    def __init__(self, config: Column):
+        self.config = config
+        self._reads: dict[str, Column] = {}
+
+    def column(self, what: str, path: str, reading: Column) -> Column:
+        name = f"__{what} {path}"
+        self._reads[name] = reading
+        return F.col(f"`{name}`")
+
+    def read(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[reading.alias(name) for name, reading in self._reads.items()])
+
+
+Config = Column | Members
+
+
+def json_get(config: Config, path: str, kind: str) -> Column:
+    """The member at ``path`` as ``kind``, null where it does not convert."""
+    if isinstance(config, Members):
+        return config.column(kind, path, json_get(config.config, path, kind))
+    return F.try_variant_get(config, path, kind)
+
+
+def json_kind(config: Config, path: str) -> Column:
     """'string', 'int', 'number', 'bool', 'array', 'object', 'null', or 'missing'."""
+    if isinstance(config, Members):
+        return config.column("kind", path, json_kind(config.config, path))
     schema = F.schema_of_variant(F.try_variant_get(config, path, "variant"))
     names = F.create_map(*[F.lit(x) for item in JSON_KINDS.items() for x in item])
     return F.coalesce(F.element_at(names, F.substring(schema, 1, 3)), F.lit("missing"))
 
 
-def json_text(config: Column, path: str) -> Column:
+def json_text(config: Config, path: str) -> Column:
     """The string at ``path``, null for any other kind."""
-    return F.when(json_kind(config, path) == "string", F.try_variant_get(config, path, "string"))
+    return F.when(json_kind(config, path) == "string", json_get(config, path, "string"))
 
 
-def json_number(config: Column, path: str) -> Column:
+def json_number(config: Config, path: str) -> Column:
     """The number at ``path``, null for any other kind."""
-    return F.when(json_kind(config, path).isin("int", "number"), F.try_variant_get(config, path, "double"))
+    return F.when(json_kind(config, path).isin("int", "number"), json_get(config, path, "double"))
 
 
-def _given(config: Column, path: str) -> Column:
+def _given(config: Config, path: str) -> Column:
     return json_kind(config, path) != "missing"
 
 
@@ -132,10 +163,10 @@ def _bad(condition: Column) -> Column:
     return ~F.coalesce(condition, F.lit(False))
 
 
-def _outside(config: Column, path: str, low: float, high: float | None = None) -> Column:
+def _outside(config: Config, path: str, low: float, high: float | None = None) -> Column:
     """Present, and not a number within [low, high]."""
     kind = json_kind(config, path)
-    number = F.try_variant_get(config, path, "double")
+    number = json_get(config, path, "double")
     inside = number >= low if high is None else number.between(low, high)
     return F.when(kind.isin("int", "number"), ~inside).otherwise(_given(config, path))
 
@@ -170,7 +201,7 @@ def field_type_rules(types: Mapping[str, str]) -> list[Rule]:
     return [(f"{name}_not_{kind}", F.col(name).isNotNull() & read(name, kind).isNull()) for name, kind in types.items()]
 
 
-def task_rules(config: Column) -> list[Rule]:
+def task_rules(config: Config) -> list[Rule]:
     """Task configuration: type, source, parameters, and what each type needs."""
     kind = json_text(config, "$.type")
     params = json_kind(config, "$.parameters") == "object"
@@ -194,7 +225,7 @@ def task_rules(config: Column) -> list[Rule]:
     ]
 
 
-def task_create_rules(kind: Column, config: Column, tags: Column, description: Column) -> list[Rule]:
+def task_create_rules(kind: Column, config: Config, tags: Column, description: Column) -> list[Rule]:
     """A creation request: source form per type, tag and description limits."""
     source = json_text(config, "$.source")
     tag_too_long = F.exists(F.map_entries(tags), lambda e: (F.length(e["key"]) > 50) | (F.length(e["value"]) > 100))
@@ -218,18 +249,18 @@ def compiles(pattern: str) -> bool:
     return True
 
 
-def _bad_patterns(config: Column) -> Column:
+def _bad_patterns(config: Config) -> Column:
     """True when some allowed pattern does not compile; only rows with patterns reach Python."""
     def any_bad(batches: pa.Array) -> pa.Array:
         return pa.array([p is not None and not all(compiles(x) for x in p) for p in batches.to_pylist()], pa.bool_())
 
-    patterns = F.try_variant_get(config, "$.security.allowed_patterns", "array<string>")
+    patterns = json_get(config, "$.security.allowed_patterns", "array<string>")
     return F.arrow_udf(any_bad, T.BooleanType())(F.when(F.size(patterns) > 0, patterns))
 
 
-def scrape_config_rules(config: Column, check_patterns: bool = True) -> list[Rule]:
+def scrape_config_rules(config: Config, check_patterns: bool = True) -> list[Rule]:
     """Scraping settings: domains, rates, concurrency, time limit, depth, patterns."""
-    domains = F.try_variant_get(config, "$.allowed_domains", "array<string>")
+    domains = json_get(config, "$.allowed_domains", "array<string>")
     rules = [
         ("source", _bad(json_text(config, "$.source").rlike("^https?://"))),
         ("allowed_domains", _bad(F.size(domains) >= 1)),
@@ -245,10 +276,10 @@ def scrape_config_rules(config: Column, check_patterns: bool = True) -> list[Rul
     return rules
 
 
-def ocr_config_rules(config: Column) -> list[Rule]:
+def ocr_config_rules(config: Config) -> list[Rule]:
     """Recognition settings. Absent optional settings take their defaults and pass."""
     path = json_text(config, "$.source_path")
-    languages = F.try_variant_get(config, "$.languages", "array<string>")
+    languages = json_get(config, "$.languages", "array<string>")
     suffix = F.lower(F.regexp_extract(path, r"[.][^./]*$", 0))
     threshold = json_number(config, "$.quality_threshold")
 

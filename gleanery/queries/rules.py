@@ -93,8 +93,9 @@ def task_rules(spark, sf):
     )
     source = F.when(~low, F.when(F.col("cost") < 1000, F.lit("  ")).otherwise(F.lit("https://example.com")))
     config = _json(kind.alias("type"), source.alias("source"), F.when(~failed, params).alias("parameters"))
-    rows = t.select(config.alias("config"))
-    return v.rule_counts(rows, v.task_rules(F.col("config")))
+    members = v.Members(F.col("config"))
+    rules = v.task_rules(members)
+    return v.rule_counts(members.read(t.select(config.alias("config"))), rules)
 
 
 @query(
@@ -153,7 +154,9 @@ def scrape_config_rules(spark, sf):
         F.when(e == "click", F.lit(-1)).otherwise(F.lit(2)).alias("depth"),
         F.struct(F.array(F.when(e == "purchase", F.lit("(unclosed")).otherwise(F.lit("^/ok/.*"))).alias("allowed_patterns")).alias("security"),
     )
-    return v.rule_counts(r.select(config.alias("config")), v.scrape_config_rules(F.col("config")))
+    members = v.Members(F.col("config"))
+    rules = v.scrape_config_rules(members)
+    return v.rule_counts(members.read(r.select(config.alias("config"))), rules)
 
 
 @query(
@@ -199,7 +202,9 @@ def ocr_config_rules(spark, sf):
         F.when(F.col("memory") < 0.5, F.lit(0)).otherwise(F.lit(2048)).alias("max_memory_mb"),
         F.lit(10).alias("batch_size"),
     )
-    return v.rule_counts(e.select(config.alias("config")), v.ocr_config_rules(F.col("config")))
+    members = v.Members(F.col("config"))
+    rules = v.ocr_config_rules(members)
+    return v.rule_counts(members.read(e.select(config.alias("config"))), rules)
 
 
 @query(

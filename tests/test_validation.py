@@ -187,6 +187,28 @@ def test_apply_writes_in_order(spark):
     assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(1, "already exists"), (5, "not found"), (7, "not found")]
 
 
+def test_members_of_a_configuration_are_read_once(spark):
+    """Rules over members read once say what rules over the configuration say."""
+    texts = [
+        "{}", "null", "[1]", "not json",
+        '{"source_path":"/in/a.PDF","output_format":"JSON","languages":["eng","x"],"processing_options":{"dpi":300,"page_segmentation_mode":14}}',
+        '{"source_path":7,"output_format":null,"processing_options":{"dpi":"300","ocr_engine_mode":1.5},"timeout_seconds":"x","size_bytes":0}',
+        '{"source_path":"/a/../b.gif","extraction_type":"form","quality_threshold":1.5,"max_memory_mb":0,"batch_size":true,"timeout_seconds":5000}',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, j string").select("id", v.config_variant(F.col("j")).alias("c"))
+    for rules_of in (v.ocr_config_rules, v.task_rules, lambda c: v.scrape_config_rules(c, check_patterns=False)):
+        plain = {r.id: r.errors for r in v.validate(df, rules_of(F.col("c"))).collect()}
+        members = v.Members(F.col("c"))
+        rules = rules_of(members)
+        read = members.read(df)
+        assert {r.id: r.errors for r in v.validate(read, rules).collect()} == plain
+        reads = read.columns[2:]
+        assert reads and len(set(reads)) == len(reads)
+        plan = v.rule_counts(read, rules)._jdf.queryExecution().optimizedPlan().toString()
+        asked = sum(name.startswith("__kind") for name in reads)
+        assert plan.count("schemaOfVariant(") == asked
+
+
 def test_apply_writes_over_many_tasks(spark, monkeypatch):
     """Beyond ``TASK_ROWS`` rows a task the work is dealt over more; repeated and null keys are as before."""
     import random
