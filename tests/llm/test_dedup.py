@@ -1,4 +1,5 @@
 import random
+import time
 from functools import partial
 
 import pytest
@@ -174,6 +175,31 @@ def test_similar_lines(spark, frame, short, monkeypatch):
     assert {x.doc_id: x.removed for x in queries.op8_fuzzy_lines(spark, "").collect()} == got
 
 
+def test_similar_texts_are_compared_without_their_common_ends(spark, frame):
+    """The verdict is that of the whole texts, and a long line with an edit takes no time by its square."""
+    r = random.Random(2)
+    rows = [("", "a"), ("a", "b"), ("aaaaaaaaaa", "aaaaaaaaaaa"), ("aaaaaaaaaaa", "aaaaaaaaaa"), ("é😀" * 20, "é😀" * 19 + "é"), ("abcdefghij", "bcdefghij")]
+    for _ in range(300):
+        a = "".join(r.choice("abé ") for _ in range(r.randint(1, 120)))
+        b = list(a)
+        for _ in range(r.randint(0, 1 + len(a) // 6)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice(["", "x", "😀"])
+        rows.append((a, "".join(b)))
+    pairs_ = [(i, i + 10_000, a, b, len(a), len(b)) for i, (a, b) in enumerate(rows)]
+    allowed = [max(na, nb) // 10 for *_, na, nb in pairs_]
+    df = frame(pairs_, "a long, b long, ta string, tb string, na int, nb int")
+    plain = {x.a: x.d for x in df.select("a", F.levenshtein("ta", "tb").alias("d")).collect()}
+    texts = df.selectExpr("a AS id", "ta AS norm").union(df.selectExpr("b", "tb"))
+    got = {x.a for x in line_dedup._similar(texts, df.select("a", "b", "na", "nb")).collect()}
+    assert got == {i for i, d in plain.items() if d <= allowed[i]}
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(200_000))
+    start = time.time()
+    near = frame([(1, 2, len(long), len(long) + 4)], "a long, b long, na int, nb int")
+    assert line_dedup._similar(frame([(1, long), (2, long[:600_000] + " end" + long[600_000:])], "id long, norm string"), near).count() == 1
+    assert time.time() - start < 60
+
+
 def test_op8_takes_short_and_unspaced_lines(spark, frame, monkeypatch):
     unspaced = "".join(chr(0x4E00 + 37 * k % 4001) for k in range(40))
     rows = ["Home", "home!", "--", "--", unspaced, unspaced, unspaced[:20] + "字" + unspaced[21:]]
