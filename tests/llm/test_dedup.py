@@ -200,6 +200,25 @@ def test_similar_texts_are_compared_without_their_common_ends(spark, frame):
     assert time.time() - start < 60
 
 
+def test_long_lines_with_random_edits_share_a_key(frame):
+    """Every tenth character changed at random: with n-grams alone 0.78 of such pairs met."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9)))
+    rows = []
+    for k in range(300):
+        text = " ".join(word() for _ in range(r.randint(30, 90)))
+        edited = list(text)
+        for i in r.sample(range(len(text)), len(text) // 10):
+            edited[i] = r.choice("abcdefghijklmnop")
+        rows += [(2 * k, text), (2 * k + 1, "".join(edited))]
+    lines = line_dedup._all_lines(frame(rows, "doc_id long, text string"), "doc_id", "text")
+    of = {x.at: x.doc_id for x in lines.select("at", "doc_id").collect()}
+    keys = {of[x.at]: set(x["keys"]) for x in line_dedup._sketched(lines).collect()}
+    met = sum(not keys[2 * k].isdisjoint(keys[2 * k + 1]) for k in range(300))
+    assert met >= 270
+    assert sum(not keys[2 * k].isdisjoint(keys[2 * k + 2]) for k in range(299)) == 0
+
+
 def test_op8_takes_short_and_unspaced_lines(spark, frame, monkeypatch):
     unspaced = "".join(chr(0x4E00 + 37 * k % 4001) for k in range(40))
     rows = ["Home", "home!", "--", "--", unspaced, unspaced, unspaced[:20] + "字" + unspaced[21:]]
