@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from functools import partial
@@ -5,6 +6,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery import session
 from gleanery.llm import exact_dedup, line_dedup, links, near_dedup, queries, substrings
 from gleanery.llm.common import table
 from tests.llm import brute
@@ -228,6 +230,36 @@ def test_op8_takes_short_and_unspaced_lines(spark, frame, monkeypatch):
     assert got == {0: [], 1: [0], 2: [], 3: [], 4: [], 5: [0], 6: [0]}
 
 
+def test_similar_lines_leave_nothing_behind_and_take_lots(spark, frame, monkeypatch):
+    """Intermediate tables and shuffle files go as soon as nothing reads them; texts are compared in several lots."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    rows = []
+    for size in [15, 25, 40] * 12:
+        line = [word() for _ in range(size)]
+        rows += [" ".join(line), " ".join([*line[:-1], word()]), " ".join(line[1:])]
+    docs = frame(list(enumerate(rows)), "doc_id long, text string")
+    made, lots, compared = [], [], line_dedup._compared
+    monkeypatch.setattr(line_dedup, "FEW", 2000)
+    monkeypatch.setattr(line_dedup, "_compared", lambda *x: lots.append(1) or compared(*x))
+    monkeypatch.setattr(session, "scratch_path", lambda s, n, f=session.scratch_path: made.append(f(s, n)) or made[-1])
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {x.split("/shuffle_")[1].split("_")[0] for x in map(str, listed(blocks.getAllFiles())) if "/shuffle_" in x}
+    before, setting = shuffles(), spark.conf.get(session._CLEANUP, None)
+    found = line_dedup.similar_lines(docs)
+    for _ in range(50):  # Spark removes them in a thread of its own
+        if len(shuffles() - before) <= 3:
+            break
+        time.sleep(0.1)
+    # Those of a few small questions to a table stay; there are some 50 shuffles in all.
+    assert len(shuffles() - before) <= 3 and spark.conf.get(session._CLEANUP, None) == setting
+    assert len(made) > 10 and [p.rsplit("/", 1)[1][:13] for p in made if os.path.exists(p.removeprefix("file:"))] == ["removed_lines"]
+    assert len(lots) > 2
+    want = brute.similar_lines(pairs(docs))
+    assert {x.doc_id: x.removed for x in found.collect()} == {i: want.get(i, []) for i, _ in pairs(docs)}
+
+
 @pytest.mark.parametrize("parts", ["4", "40"])
 def test_repeated_strings(spark, frame, parts):
     r = random.Random(7)
