@@ -202,6 +202,44 @@ def test_similar_texts_are_compared_without_their_common_ends(spark, frame):
     assert time.time() - start < 60
 
 
+def test_what_leaves_pairs_out_keeps_every_similar_one(frame):
+    """Letters, their counts cut off, and texts in short bound the distance from below, at its limit too."""
+    r, rows = random.Random(6), []
+    for k in range(200):
+        letters = ["cdghlmprsuv", "abcdefghijklmnopqrstuvwxyz é字", "sz"][k % 3]
+        a = [r.choice(letters) for _ in range(r.randint(10, 400))]
+        b = list(a)
+        for at in r.sample(range(len(a)), len(a) // 10 + r.choice([-1, 0, 0, 1])):
+            b[at] = r.choice(["", "", "s", "xs", "q"]) if k % 2 else r.choice("sq字")
+        rows.append(("".join(a), "".join(b)))
+    rows += [("s" * 6000, "s" * 6400), ("s" * 6000, "s" * 6700), ("ab" * 1500, "ab" * 1500 + "c" * 300), ("s" * 4500, "z" * 451 + "s" * 4499)]
+    pairs_ = [(i, i + 10_000, a, b, len(a), len(b)) for i, (a, b) in enumerate(rows)]
+    df = frame(pairs_, "a long, b long, ta string, tb string, na int, nb int")
+    plain = {x.a: x.d for x in df.select("a", F.levenshtein("ta", "tb").alias("d")).collect()}
+    texts = df.selectExpr("a AS id", "ta AS norm").union(df.selectExpr("b", "tb"))
+    got = {x.a for x in line_dedup._similar(texts, df.select("a", "b", "na", "nb")).collect()}
+    assert got == {i for i, _, _, _, na, nb in pairs_ if plain[i] <= max(na, nb) // 10}
+    assert 60 < len(got) < 200 and {200, 202, 203} <= got and 201 not in got
+
+
+def test_pairs_of_lists_are_left_out_by_their_facts(frame):
+    """Only pairs that fit are verified, in short lists and in long ones."""
+    entries = frame([(k, i, 1 + i % 3) for k, n in ((0, 6), (1, 30)) for i in range(100 * k, 100 * k + n)], "key long, id long, size int")
+    near = links.lists(entries.select("key", "id")).join(entries, ["key", "id"]).withColumn("facts", F.struct("size")).drop("size")
+    fits = "x.facts.size = y.facts.size"
+    found = {(p.a, p.b) for p in links.candidates(near.filter("key = 0"), 8, fits).collect()}
+    assert found == {(0, 3), (1, 4), (2, 5)}
+    asked = []
+
+    def verify(pairs):
+        asked.extend((p.a, p.b) for p in pairs.collect())
+        return pairs
+
+    groups = links.settle(near, frame([(100, 103)], "a long, b long"), verify, 8, fits)
+    assert asked and all((a - b) % 3 == 0 for a, b in asked)
+    assert {g.node: g.component for g in groups.collect()} == {i: 100 + (i - 100) % 3 for i in range(100, 130)}
+
+
 def test_long_lines_with_random_edits_share_a_key(frame):
     """Every tenth character changed at random: with n-grams alone 0.78 of such pairs met."""
     r = random.Random(3)
